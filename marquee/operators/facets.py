@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from marquee import fixed_values as V
 from marquee.functions.dates import moment, ntz
 from marquee.operators import search as S
+from marquee.session import small_table
 
 
 def _base(region: str | None, bbox) -> Column:
@@ -94,7 +95,7 @@ def facet_free(df: DataFrame, as_of, **filters) -> DataFrame:
 def category_order(df: DataFrame) -> DataFrame:
     """The canonical categories as a table (ord, category)."""
     rows = list(enumerate(V.CATEGORIES))
-    return df.sparkSession.createDataFrame(rows, "ord int, category string")
+    return small_table(df.sparkSession, rows, "ord int, category string")
 
 
 def visible_categories(counts: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import importlib
 
 SECTIONS = [
     "search_plans",
+    "engagement_plans",
 ]
 
 

@@ -391,8 +391,8 @@ def _(t):
 
 
 @query("a5_visible_categories", f"""
-SELECT CASE category WHEN 'Music' THEN 0 WHEN 'Art' THEN 1 WHEN 'Food & Drink' THEN 2
-         WHEN 'Family' THEN 4 ELSE 12 END AS ord, category, CAST(count(*) AS BIGINT) AS n
+SELECT CAST(CASE category WHEN 'Music' THEN 0 WHEN 'Art' THEN 1 WHEN 'Food & Drink' THEN 2
+         WHEN 'Family' THEN 4 ELSE 12 END AS BIGINT) AS ord, category, CAST(count(*) AS BIGINT) AS n
 FROM listings WHERE {BOXED} GROUP BY category
 """, "listings")
 def _(t):
