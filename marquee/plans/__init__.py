@@ -5,6 +5,9 @@ import importlib
 SECTIONS = [
     "search_plans",
     "engagement_plans",
+    "expression_plans",
+    "date_plans",
+    "place_plans",
 ]
 
 
