@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marquee import fixed_values as V
@@ -67,15 +69,24 @@ def listing_cards(df: DataFrame, as_of) -> DataFrame:
     )
 
 
-def publish(df: DataFrame, path: str) -> None:
-    """Q6: write a snapshot, refusing an empty one.
+def publish(df: DataFrame, root: str) -> str:
+    """Q6: write a snapshot and point readers at it, refusing an empty one.
 
-    The rows are written beside the target first and counted as written, so the
-    plan runs once and the old snapshot stays until the new one is complete.
+    Each snapshot has its own folder, so the previous one stays readable and
+    nothing is copied; the pointer changes only after the rows are written.
     """
     spark = df.sparkSession
-    staged = f"{path.rstrip('/')}.staged"
-    df.write.mode("overwrite").parquet(staged)
-    if spark.read.parquet(staged).isEmpty():
+    name = f"snapshot-{uuid.uuid4().hex}"
+    df.write.parquet(f"{root}/{name}")
+    if spark.read.parquet(f"{root}/{name}").isEmpty():
         raise ValueError("refusing to publish an empty snapshot")
-    spark.read.parquet(staged).write.mode("overwrite").parquet(path)
+    spark.range(1).select(
+        F.lit(name).alias("snapshot"), F.current_timestamp().alias("published_at")
+    ).write.mode("append").parquet(f"{root}/pointer")
+    return name
+
+
+def read_published(spark: SparkSession, root: str) -> DataFrame:
+    """Q6: the snapshot published last."""
+    latest = spark.read.parquet(f"{root}/pointer").orderBy(F.desc("published_at")).first()
+    return spark.read.parquet(f"{root}/{latest['snapshot']}")

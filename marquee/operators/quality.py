@@ -78,7 +78,7 @@ def source_outcomes(runs: DataFrame, outcomes: DataFrame) -> DataFrame:
     """
     counts = outcomes.groupBy("source").agg(
         F.count_if(~F.col("was_duplicate")).alias("saved"),
-        F.count_if("was_duplicate").alias("skipped"),
+        F.count_if(F.col("was_duplicate")).alias("skipped"),
     )
     zero = F.lit(0)
     return runs.join(counts, "source", "left").select(

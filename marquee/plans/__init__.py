@@ -8,6 +8,8 @@ SECTIONS = [
     "expression_plans",
     "date_plans",
     "place_plans",
+    "series_plans",
+    "matching_plans",
 ]
 
 

@@ -472,4 +472,4 @@ def _(t):
 
     path = job_folder(t.spark, "publish")
     B.publish(t.listings.where("is_free"), path)
-    return t.spark.read.parquet(path).select("id", "title")
+    return B.read_published(t.spark, path).select("id", "title")
