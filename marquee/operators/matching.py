@@ -24,6 +24,7 @@ from marquee.functions.dates import ntz, seconds_between
 from marquee.functions.geo import haversine
 from marquee.functions.similarity import letter_bound, length_bound, similarity
 from marquee.operators.names import similar_names
+from marquee.session import cut_lineage
 
 FACTS = ["url", "title", "no_title", "venue", "source", "start", "end", "lat", "lng"]
 HOUR, DAY = 3600, 86400
@@ -46,8 +47,11 @@ def match_facts(df: DataFrame) -> DataFrame:
 
 
 def representatives(facts: DataFrame) -> DataFrame:
-    """One row per group of copies; its id is the smallest of the group."""
-    return facts.groupBy(*FACTS).agg(F.min("id").alias("id"))
+    """One row per group of copies; its id is the smallest of the group.
+
+    Every candidate join reads it, so it is written once.
+    """
+    return cut_lineage(facts.groupBy(*FACTS).agg(F.min("id").alias("id")))
 
 
 def members(facts: DataFrame, reps: DataFrame) -> DataFrame:
@@ -348,7 +352,9 @@ def duplicate_pairs(df: DataFrame) -> DataFrame:
     reps = representatives(facts)
     pairs = candidates(reps, reps).where(F.col("a_id") > F.col("b_id"))
     later = score_pairs(pairs).where("is_dup")
-    edges = later.select(F.col("a_id").alias("x"), F.col("b_id").alias("y"), "match_method")
+    edges = cut_lineage(
+        later.select(F.col("a_id").alias("x"), F.col("b_id").alias("y"), "match_method")
+    )
 
     alike = F.col("url").isNotNull() | (
         F.col("start").isNotNull() & (F.col("title") != "") & (F.col("venue") != "")

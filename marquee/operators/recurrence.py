@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from marquee.functions import dates as D
 from marquee.functions import text as X
+from marquee.operators.staging import staged
 
 DAY_CODES = ["MO", "TU", "WE", "TH", "FR", "SA", "SU"]
 
@@ -40,29 +41,53 @@ def exception_dates(props: Column, start: Column | None = None) -> Column:
     return F.transform(texts, read)
 
 
-def rule_days(start: Column, rule: Column, first: Column, last: Column) -> Column:
-    """Days in [first, last] a recurrence rule names, as an array of dates.
+def _rule_parts(entries: DataFrame) -> DataFrame:
+    """Adds the parts of the rule as columns, each computed once per entry."""
+    def part(name: str) -> Column:
+        return F.try_element_at(F.col("r_parts"), F.lit(name))
+
+    def listed(name: str) -> Column:
+        return F.coalesce(F.split(part(name), ","), F.array().cast("array<string>"))
+
+    split = F.str_to_map(F.upper("rule"), F.lit(";"), F.lit("="))
+    parts = staged(entries, {"r_parts": split})
+    parts = staged(
+        parts,
+        {
+            "r_freq": part("FREQ"),
+            "r_step": F.coalesce(part("INTERVAL").try_cast("int"), F.lit(1)),
+            "r_days": listed("BYDAY"),
+            "r_dates": listed("BYMONTHDAY"),
+            "r_count": part("COUNT").try_cast("int"),
+            "r_until_text": part("UNTIL"),
+            "r_until_at": D.ics_ts(part("UNTIL")),
+            "r_first": F.to_date("m_start"),
+        },
+    )
+    # UNTIL is the last allowed moment; a date alone allows that whole day.
+    last_moment = F.make_dt_interval(days=F.lit(1)) - F.make_dt_interval(
+        secs=F.lit("0.000001").cast("decimal(18,6)")
+    )
+    until = F.when(F.col("r_until_text").contains("T"), F.col("r_until_at")).otherwise(
+        F.col("r_until_at") + last_moment
+    )
+    clock = F.col("m_start") - F.col("r_first").cast("timestamp_ntz")
+    return staged(parts, {"r_until": until, "r_clock": clock})
+
+
+RULE_COLUMNS = ["r_parts", "r_freq", "r_step", "r_days", "r_dates", "r_count", "r_until_text",
+                "r_until_at", "r_first", "r_until", "r_clock", "r_begin", "r_end"]
+
+
+def rule_moments(entries: DataFrame, low: Column, high: Column) -> DataFrame:
+    """Adds moments: the starts in [low, high] the entry's rule names.
 
     FREQ DAILY, WEEKLY, MONTHLY and YEARLY with INTERVAL, BYDAY (with ordinals
     for MONTHLY), BYMONTHDAY, COUNT and UNTIL; other rules name no day.
+    ``low`` may depend on the entry.
     """
-    parts = F.str_to_map(F.upper(rule), F.lit(";"), F.lit("="))
-
-    def part(name: str) -> Column:
-        return F.try_element_at(parts, F.lit(name))
-
-    freq = part("FREQ")
-    step = F.coalesce(part("INTERVAL").try_cast("int"), F.lit(1))
-    by_day = F.coalesce(F.split(part("BYDAY"), ","), F.array().cast("array<string>"))
-    by_month_day = F.coalesce(F.split(part("BYMONTHDAY"), ","), F.array().cast("array<string>"))
-    count = part("COUNT").try_cast("int")
-    until = D.ics_ts(part("UNTIL"))
-    # A date alone allows that whole day.
-    until = F.when(part("UNTIL").contains("T"), until).otherwise(
-        until + F.make_dt_interval(days=F.lit(1)) - F.make_dt_interval(secs=F.lit("0.000001").cast("decimal(18,6)"))
-    )
-    start_day = F.to_date(start)
-    clock = start - start_day.cast("timestamp_ntz")
+    freq, step, first = F.col("r_freq"), F.col("r_step"), F.col("r_first")
+    by_day, by_date, count = F.col("r_days"), F.col("r_dates"), F.col("r_count")
     codes = F.array(*[F.lit(c) for c in DAY_CODES])
 
     def week(d: Column) -> Column:
@@ -72,69 +97,60 @@ def rule_days(start: Column, rule: Column, first: Column, last: Column) -> Colum
         return F.year(d) * 12 + F.month(d)
 
     def fits(d: Column) -> Column:
-        code = F.get(codes, F.weekday(d))
-        dom = F.day(d)
+        code, dom = F.get(codes, F.weekday(d)), F.day(d)
         nth = F.concat(F.floor((dom + 6) / 7).cast("string"), code)
-        from_end = F.concat(
-            F.lit("-"), F.floor((F.day(F.last_day(d)) - dom + 7) / 7).cast("string"), code
-        )
+        back = F.floor((F.day(F.last_day(d)) - dom + 7) / 7).cast("string")
         plain = F.array_contains(by_day, code)
         no_days = F.size(by_day) == 0
+        ordinal = F.arrays_overlap(
+            by_day, F.array(nth, F.concat(F.lit("+"), nth), F.concat(F.lit("-"), back, code))
+        )
         monthly = (
-            F.when(
-                ~no_days,
-                plain
-                | F.array_contains(by_day, nth)
-                | F.array_contains(by_day, F.concat(F.lit("+"), nth))
-                | F.array_contains(by_day, from_end),
-            )
-            .when(F.size(by_month_day) > 0, F.array_contains(by_month_day, dom.cast("string")))
-            .otherwise(dom == F.day(start_day))
+            F.when(~no_days, plain | ordinal)
+            .when(F.size(by_date) > 0, F.array_contains(by_date, dom.cast("string")))
+            .otherwise(dom == F.day(first))
         )
+        weekly_ = plain | (no_days & (F.weekday(d) == F.weekday(first)))
+        yearly = (F.month(d) == F.month(first)) & (dom == F.day(first))
+        weeks = F.floor(F.date_diff(week(d), week(first)) / 7)
         return (
-            F.when(freq == "DAILY", (F.date_diff(d, start_day) % step == 0) & (no_days | plain))
-            .when(
-                freq == "WEEKLY",
-                (F.floor(F.date_diff(week(d), week(start_day)) / 7) % step == 0)
-                & (plain | (no_days & (F.weekday(d) == F.weekday(start_day)))),
-            )
-            .when(freq == "MONTHLY", ((months(d) - months(start_day)) % step == 0) & monthly)
-            .when(
-                freq == "YEARLY",
-                ((F.year(d) - F.year(start_day)) % step == 0)
-                & (F.month(d) == F.month(start_day))
-                & (dom == F.day(start_day)),
-            )
+            F.when(freq == "DAILY", (F.date_diff(d, first) % step == 0) & (no_days | plain))
+            .when(freq == "WEEKLY", (weeks % step == 0) & weekly_)
+            .when(freq == "MONTHLY", ((months(d) - months(first)) % step == 0) & monthly)
+            .when(freq == "YEARLY", ((F.year(d) - F.year(first)) % step == 0) & yearly)
             .otherwise(F.lit(False))
         )
 
     # A counted rule is followed from its first day, any other from the window.
-    begin = F.when(count.isNull(), F.greatest(start_day, first)).otherwise(start_day)
-    end = F.coalesce(F.least(last, F.to_date(until)), last)
-    days = F.when(begin <= end, F.sequence(begin, end)).otherwise(F.array().cast("array<date>"))
-    named = F.filter(days, fits)
-    in_time = F.filter(
-        named, lambda d: until.isNull() | (d.cast("timestamp_ntz") + clock <= until)
+    begin = F.when(count.isNull(), F.greatest(first, F.to_date(low))).otherwise(first)
+    end = F.least(F.to_date(high), F.to_date("r_until"))
+    spans = staged(_rule_parts(entries), {"r_begin": begin, "r_end": end})
+    days = F.when(
+        F.col("r_begin") <= F.col("r_end"), F.sequence(F.col("r_begin"), F.col("r_end"))
+    ).otherwise(F.array().cast("array<date>"))
+    clock, until = F.col("r_clock"), F.col("r_until")
+    starts = F.filter(
+        F.transform(F.filter(days, fits), lambda d: d.cast("timestamp_ntz") + clock),
+        lambda m: until.isNull() | (m <= until),
     )
-    counted = F.when(count.isNotNull(), F.slice(in_time, 1, F.greatest(count, F.lit(0)))).otherwise(in_time)
-    return F.filter(counted, lambda d: d.between(first, last))
-
-
-def _moments(start: Column, days: Column) -> Column:
-    clock = start - F.to_date(start).cast("timestamp_ntz")
-    return F.transform(days, lambda d: d.cast("timestamp_ntz") + clock)
+    spans = staged(spans, {"r_starts": starts})
+    counted = F.when(count.isNull(), F.col("r_starts")).otherwise(
+        F.slice("r_starts", F.lit(1), F.greatest(count, F.lit(0)))
+    )
+    moments = F.filter(counted, lambda m: m.between(low, high))
+    return staged(spans, {"moments": moments}).drop(*RULE_COLUMNS, "r_starts")
 
 
 def _with_times(vevents: DataFrame) -> DataFrame:
     props = F.col("props")
-    return vevents.select(
-        "*",
-        F.coalesce(F.try_element_at(props, F.lit("UID")), F.lit("")).alias("uid"),
-        D.ics_ts(prop(props, "DTSTART")).alias("m_start"),
-        D.ics_ts(prop(props, "DTEND")).alias("m_end"),
-        prop(props, "RRULE").alias("rule"),
-        D.ics_ts(prop(props, "RECURRENCE-ID")).alias("replaces"),
-    ).where(F.col("m_start").isNotNull())
+    times = {
+        "uid": F.coalesce(F.try_element_at(props, F.lit("UID")), F.lit("")),
+        "m_start": D.ics_ts(prop(props, "DTSTART")),
+        "m_end": D.ics_ts(prop(props, "DTEND")),
+        "rule": prop(props, "RRULE"),
+        "replaces": D.ics_ts(prop(props, "RECURRENCE-ID")),
+    }
+    return staged(vevents, times).where(F.col("m_start").isNotNull())
 
 
 def expand_rrule(vevents: DataFrame, first, last) -> DataFrame:
@@ -145,21 +161,17 @@ def expand_rrule(vevents: DataFrame, first, last) -> DataFrame:
     """
     low, high = D.ntz(first), D.ntz(last)
     entries = _with_times(vevents)
-    days = rule_days(F.col("m_start"), F.col("rule"), F.to_date(low), F.to_date(high))
-    recurring = entries.where(F.col("rule").isNotNull()).withColumn(
-        "__moments",
-        F.filter(
-            _moments(F.col("m_start"), days),
-            lambda m: m.between(low, high)
-            & ~F.coalesce(F.array_contains(exception_dates(F.col("props")), m), F.lit(False)),
-        ),
+    recurring = staged(
+        entries.where(F.col("rule").isNotNull()), {"skipped": exception_dates(F.col("props"))}
     )
+    kept = lambda m: ~F.coalesce(F.array_contains("skipped", m), F.lit(False))
+    recurring = rule_moments(recurring, low, high)
     replaced = entries.where(F.col("replaces").isNotNull()).select(
         "feed", "uid", F.col("replaces").alias("start")
     )
     repeats = (
-        recurring.withColumn("start", F.explode("__moments"))
-        .drop("__moments")
+        recurring.withColumn("start", F.explode(F.filter("moments", kept)))
+        .drop("moments", "skipped")
         .join(replaced, ["feed", "uid", "start"], "left_anti")
     )
     single = entries.where(F.col("rule").isNull() & F.col("m_start").between(low, high))
@@ -175,22 +187,25 @@ def next_occurrence(vevents: DataFrame, as_of, horizon_days: int = 800) -> DataF
     now = D.ntz(as_of)
     high = D.ntz(D.moment(as_of) + timedelta(days=horizon_days))
     zero = F.make_dt_interval(secs=F.lit(0).cast("decimal(18,6)"))
-    entries = _with_times(vevents).withColumn(
-        "length", F.when(F.col("m_end") > F.col("m_start"), F.col("m_end") - F.col("m_start"))
+    length = F.when(F.col("m_end") > F.col("m_start"), F.col("m_end") - F.col("m_start"))
+    entries = staged(
+        _with_times(vevents),
+        {
+            "length": length,
+            "cutoff": now - F.coalesce(length, zero),
+            "skipped": exception_dates(F.col("props"), F.col("m_start")),
+        },
     )
-    cutoff = now - F.coalesce("length", zero)
-    days = rule_days(F.col("m_start"), F.col("rule"), F.to_date(cutoff), F.to_date(high))
-    skipped = exception_dates(F.col("props"), F.col("m_start"))
+    entries = rule_moments(entries, F.col("cutoff"), high)
     ahead = F.filter(
-        _moments(F.col("m_start"), days),
-        lambda m: (m >= cutoff) & ~F.coalesce(F.array_contains(skipped, m), F.lit(False)),
+        "moments", lambda m: ~F.coalesce(F.array_contains("skipped", m), F.lit(False))
     )
     start = F.when(F.col("rule").isNull(), F.col("m_start")).otherwise(F.array_min(ahead))
     end = F.when(
         F.col("rule").isNull() & F.col("length").isNull(), F.col("m_end")
     ).otherwise(F.col("start") + F.col("length"))
     return (
-        entries.withColumn("start", start)
+        staged(entries, {"start": start})
         .withColumn("end", end)
         .where(F.coalesce("end", "start") >= now)
         .select("feed", "block", "uid", "start", "end")
