@@ -10,6 +10,8 @@ SECTIONS = [
     "place_plans",
     "series_plans",
     "matching_plans",
+    "feed_plans",
+    "stream_plans",
 ]
 
 
