@@ -12,7 +12,7 @@ from marquee.functions import dates as D
 from marquee.functions import geo as G
 from marquee.functions import price as P
 from marquee.functions import text as X
-from marquee.operators.categorize import category_of
+from marquee.operators.categorize import classify
 from marquee.operators.geocode import attach_coords, known_venue_address
 from marquee.operators.geofence import geofence
 from marquee.operators.search import date_bucket, is_hero_image
@@ -35,11 +35,12 @@ def build_listings(
     rows = geofence(rows.drop("__use", "geo_lat", "geo_lng", "geo_step"), strict)
     if not keep_rejected:
         rows = rows.where("accepted")
+    rows = classify(rows, "__category")
     cleaned = {
         **{c: X.clean_text(c) for c in ("title", "description", "venue_name")},
         **{c: F.trim(X.text_or_empty(c)) for c in ("address", "url", "image_url", "price_note")},
         "source_logo_url": X.text_or_empty("source_logo_url"),
-        "category": F.coalesce(X.blank_to_null("category"), category_of()),
+        "category": F.coalesce(X.blank_to_null("category"), F.col("__category")),
         "is_free": F.coalesce("is_free", F.lit(False)),
     }
     kept = [cleaned[c].alias(c) if c in cleaned else F.col(c) for c in raw.columns]

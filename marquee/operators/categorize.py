@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from marquee import fixed_values as V
 from marquee.functions import text as X
 from marquee.operators.listings import set_category
+from marquee.operators.staging import staged
 from marquee.session import small_table
 
 MAX_DIMENSION_ROWS = 20_000
@@ -56,10 +57,15 @@ def _searched() -> Column:
     )
 
 
-def _hits(text: Column, terms: Sequence[str]) -> Column:
+def _with_text(df: DataFrame) -> DataFrame:
+    """Adds the lower-cased texts, computed once for all keywords."""
+    return staged(df, {"__text": _searched(), "__venue": F.lower(X.text_or_empty("venue_name"))})
+
+
+def _hits(terms: Sequence[str]) -> Column:
     """How many of the terms the text contains."""
     listed = F.array(*[F.lit(t.lower()) for t in terms])
-    return F.size(F.filter(listed, lambda t: F.contains(text, t)))
+    return F.size(F.filter(listed, lambda t: F.contains(F.col("__text"), t)))
 
 
 def category_scores(
@@ -68,12 +74,11 @@ def category_scores(
     priorities: Mapping[str, float] = V.CATEGORY_PRIORITY,
 ) -> Column:
     """Array of (score, minus order, category), one per category."""
-    text, venue = _searched(), F.lower(X.text_or_empty("venue_name"))
     scored = []
     for order, (category, terms) in enumerate(keywords.items()):
-        raw = _hits(text, terms).cast("double")
+        raw = _hits(terms).cast("double")
         if category in venues:
-            raw = raw + F.when(X.any_term(venue, venues[category]), 5.0).otherwise(0.0)
+            raw = raw + F.when(X.any_term(F.col("__venue"), venues[category]), 5.0).otherwise(0.0)
         scored.append(
             F.struct(
                 (raw * F.lit(priorities.get(category, 1.0))).alias("score"),
@@ -84,15 +89,15 @@ def category_scores(
     return F.array(*scored)
 
 
-def category_of(**dimensions) -> Column:
-    """Category with the highest weighted score, first listed on ties, else Other."""
-    best = F.array_max(category_scores(**dimensions))
-    return F.when(best["score"] > 0, best["category"]).otherwise(F.lit("Other"))
-
-
 def classify(df: DataFrame, column: str = "category", **dimensions) -> DataFrame:
-    """C1 as a column of the table: a row-local expression, no join and no shuffle."""
-    return df.withColumn(column, category_of(**dimensions))
+    """Category with the highest weighted score, first listed on ties, else Other.
+
+    Row-local: no join and no shuffle.
+    """
+    scored = staged(_with_text(df), {"__best": F.array_max(category_scores(**dimensions))})
+    best = F.col("__best")
+    chosen = F.when(best["score"] > 0, best["category"]).otherwise(F.lit("Other"))
+    return scored.withColumn(column, chosen).drop("__text", "__venue", "__best")
 
 
 def classify_multi(
@@ -102,19 +107,17 @@ def classify_multi(
     keywords: Mapping[str, Sequence[str]] = V.CATEGORY_KEYWORDS,
 ) -> DataFrame:
     """Every category with enough hits, in dictionary order, else [Other]."""
-    text = _searched()
     named = F.array(
-        *[F.when(_hits(text, terms) >= threshold, F.lit(c)) for c, terms in keywords.items()]
-    )
-    found = F.array_compact(named)
-    return df.withColumn(
-        column, F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("Other")))
+        *[F.when(_hits(terms) >= threshold, F.lit(c)) for c, terms in keywords.items()]
     )
+    found = staged(_with_text(df), {"__found": F.array_compact(named)})
+    chosen = F.when(F.size("__found") > 0, F.col("__found")).otherwise(F.array(F.lit("Other")))
+    return found.withColumn(column, chosen).drop("__text", "__venue", "__found")
 
 
 def reclassify(df: DataFrame, **dimensions) -> DataFrame:
     """C4: (id, category, new_category, changed) for every row."""
-    fresh = df.select("id", "category", category_of(**dimensions).alias("new_category"))
+    fresh = classify(df, "new_category", **dimensions).select("id", "category", "new_category")
     return fresh.withColumn("changed", ~F.col("category").eqNullSafe(F.col("new_category")))
 
 
@@ -130,7 +133,7 @@ def retired_changes(
 ) -> DataFrame:
     """The (id, category) changes a reclassification makes."""
     moved = df.where(F.col("category").isin(list(retired)))
-    return moved.select("id", category_of(**dimensions).alias("category"))
+    return classify(moved, **dimensions).select("id", "category")
 
 
 def reclass_counts(changes: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ from marquee.functions.dates import ntz, seconds_between
 from marquee.functions.geo import haversine
 from marquee.functions.similarity import letter_bound, length_bound, similarity
 from marquee.operators.names import similar_names
-from marquee.session import cut_lineage
+from marquee.session import cut_lineage, spread
 
 FACTS = ["url", "title", "no_title", "venue", "source", "start", "end", "lat", "lng"]
 HOUR, DAY = 3600, 86400
@@ -181,15 +181,17 @@ def _similar_title(left: DataFrame, right: DataFrame, threshold: float = 0.85) -
         a.select("slot", F.col("title").alias("name")).distinct(),
         b.select("slot", F.col("title").alias("name")).distinct(),
         threshold, ["slot"],
-    ).select("slot", F.col("a_name"), F.col("b_name"))
-    sided = _side(a, "a").join(
-        names, (F.col("a_slot") == F.col("slot")) & (F.col("a_title") == F.col("a_name"))
     )
-    pairs = sided.drop("a_name", "a_slot").join(
-        _side(b, "b"), (F.col("b_slot") == F.col("slot")) & (F.col("b_title") == F.col("b_name"))
+    return _through(a, names, b, "title").where(
+        (gap_seconds() <= DAY) & (F.col("a_source") != F.col("b_source"))
     )
-    different = F.col("a_source") != F.col("b_source")
-    return pairs.where((gap_seconds() <= DAY) & different).drop("slot", "b_slot", "b_name")
+
+
+def _through(a: DataFrame, names: DataFrame, b: DataFrame, column: str) -> DataFrame:
+    """Pairs of one slot whose names form a listed pair."""
+    sided = _side(a, "a").join(names, F.col(f"a_{column}") == F.col("a_name")).drop("a_name", "score")
+    meet = (F.col("a_slot") == F.col("b_slot")) & (F.col(f"b_{column}") == F.col("b_name"))
+    return sided.join(_side(b, "b"), meet).drop("b_name", "a_slot", "b_slot")
 
 
 def _similar_venue(left: DataFrame, right: DataFrame, threshold: float = 0.80) -> DataFrame:
@@ -203,10 +205,7 @@ def _similar_venue(left: DataFrame, right: DataFrame, threshold: float = 0.80) -
     )
     a = a.withColumn("slot", _around(F.col("start"), DAY))
     b = b.withColumn("slot", _slot(F.col("start"), DAY))
-    sided = _side(a, "a").join(names, F.col("a_venue") == F.col("a_name")).drop("a_name")
-    pairs = sided.join(
-        _side(b, "b"), (F.col("a_slot") == F.col("b_slot")) & (F.col("b_venue") == F.col("b_name"))
-    ).drop("b_name", "a_slot", "b_slot")
+    pairs = _through(a, names, b, "venue")
     gap, bound = gap_seconds(), length_bound(F.col("a_title"), F.col("b_title"))
     longer = F.greatest(F.length("a_title"), F.length("b_title")) == F.length("a_title")
     prefix = F.when(longer, F.startswith("a_title", F.concat("b_title", F.lit(" at ")))).otherwise(
@@ -233,22 +232,22 @@ def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
     pairs = parts[0].select(*names)
     for part in parts[1:]:
         pairs = pairs.unionByName(part.select(*names))
-    return pairs.dropDuplicates(["a_id", "b_id"])
+    return spread(pairs, "a_id", "b_id").dropDuplicates(["a_id", "b_id"])
 
 
 # ---- scoring ---------------------------------------------------------------
 
 
-def _gated(condition: Column, a: Column, b: Column) -> Column:
+def _gated(condition: Column, a: Column, b: Column, floor: float) -> Column:
     """Similarity where it can matter; other rows cost no comparison."""
-    return similarity(F.when(condition, a), F.when(condition, b))
+    return similarity(F.when(condition, a), F.when(condition, b), floor)
 
 
 def titles_compatible(a: str, b: str) -> Column:
     """A title is missing, or the two are at least half alike."""
     ta, tb = F.col(f"{a}_title"), F.col(f"{b}_title")
     absent = F.col(f"{a}_no_title") | F.col(f"{b}_no_title")
-    return absent | (_gated(length_bound(ta, tb) >= 0.5, ta, tb) >= 0.5)
+    return absent | (_gated(length_bound(ta, tb) >= 0.5, ta, tb, 0.5) >= 0.5)
 
 
 def score_pairs(pairs: DataFrame, max_hours: int = 24) -> DataFrame:
@@ -263,10 +262,9 @@ def score_pairs(pairs: DataFrame, max_hours: int = 24) -> DataFrame:
     needs_venue = in_time & ~same_source & (length_bound(va, vb) >= 0.8)
 
     scored = pairs.withColumn("date_diff_hours", gap)
-    likely = needs_title & (letter_bound(ta, tb) >= 0.45)
-    scored = scored.withColumn("title_similarity", _gated(likely, ta, tb)).withColumn(
-        "venue_similarity", _gated(needs_venue, va, vb)
-    )
+    scored = scored.withColumn(
+        "title_similarity", _gated(needs_title, ta, tb, 0.45)
+    ).withColumn("venue_similarity", _gated(needs_venue, va, vb, 0.8))
     scored = scored.withColumn(
         "geo_distance_km", haversine("a_lat", "a_lng", "b_lat", "b_lng")
     )

@@ -287,10 +287,11 @@ def _(t):
 @query("s17_page_meta", """
 SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')) AS title,
   nullif(regexp_extract(html, '(?i)<meta name="description" content="([^"]*)"', 1), '') AS description
-FROM pages WHERE html NOT LIKE '%&%;%</title>%'
+FROM pages WHERE NOT contains(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&')
 """)
 def _(t):
-    kept = t.raw("pages").where("html not like '%&%;%</title>%'")
+    head = F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)
+    kept = t.raw("pages").where(~F.contains(head, F.lit("&")))
     return S.page_meta(kept).select("page_id", "title", "description")
 
 
@@ -380,7 +381,7 @@ def _(t):
     return back.select("id", "title", "event_date", F.coalesce("category", F.lit("none")).alias("category"))
 
 
-ESC = "replace(replace({0}, ',', '\\,'), ';', '\;')"
+ESC = r"replace(replace({0}, ',', '\,'), ';', '\;')"
 
 
 @query("k6_export_ics", f"""

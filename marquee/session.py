@@ -68,3 +68,14 @@ def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFram
     columns = list(zip(*rows)) if rows else [[] for _ in struct.fields]
     arrays = [pa.array(list(c), type=f.type) for c, f in zip(columns, arrow)]
     return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=arrow), struct)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash partitioning by keys with the session's partition count, kept as it is.
+
+    A later grouping on the keys needs no shuffle of its own. Unlike a plain
+    shuffle it is not merged into fewer tasks when the rows are small: use it in
+    front of work that is heavy per row.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)

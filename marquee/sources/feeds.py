@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marquee.functions import dates as D
 from marquee.functions import price as P
@@ -136,7 +137,7 @@ def from_page_state(
     return rows.select(*keep, "pos", *_mapped("v", mapping))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _event_lists(texts: pd.Series) -> pd.Series:
     """Entries of every "events":[...] array in a text (a list may end mid-text)."""
     decoder, marker = json.JSONDecoder(), '"events":'
@@ -217,22 +218,25 @@ def page_meta(pages: DataFrame, key: str = "page_id") -> DataFrame:
             F.regexp_extract(t, r"""(?i)content="([^"]*)\"""", 1).alias("value"),
         ),
     )
-    named = F.filter(pairs, lambda p: p["key"] != "")
+    named = staged(
+        pages,
+        {
+            "title": X.strip_html(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)),
+            "h1": X.strip_html(F.regexp_extract(html, r"(?is)<h1[^>]*>(.*?)</h1>", 1)),
+            "__pairs": F.filter(pairs, lambda p: p["key"] != ""),
+        },
+    )
+    # A repeated name keeps its first value.
     first = F.filter(
-        named, lambda p, i: ~F.exists(F.slice(named, F.lit(1), i), lambda q: q["key"] == p["key"])
+        "__pairs",
+        lambda p, i: ~F.exists(F.slice("__pairs", F.lit(1), i), lambda q: q["key"] == p["key"]),
     )
-    meta = F.map_from_entries(first)
 
     def m(name: str) -> Column:
         return F.try_element_at("meta", F.lit(name))
 
-    return pages.select(
-        key,
-        X.strip_html(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)).alias("title"),
-        X.strip_html(F.regexp_extract(html, r"(?is)<h1[^>]*>(.*?)</h1>", 1)).alias("h1"),
-        meta.alias("meta"),
-    ).select(
-        "*",
+    return staged(named, {"meta": F.map_from_entries(first)}).select(
+        key, "title", "h1", "meta",
         F.coalesce(m("og:image"), m("twitter:image")).alias("image"),
         F.coalesce(m("og:description"), m("description")).alias("description"),
         D.to_local(m("event:start_time")).alias("start"),
