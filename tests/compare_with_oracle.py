@@ -1,13 +1,17 @@
-"""Compare registered queries with their oracle SQL: python check.py [sf] [name-prefix ...]."""
+"""Compare registered queries with their oracle SQL.
+
+python tests/compare_with_oracle.py [sf] [name-prefix ...]
+"""
 
 import math
+import os
 import sys
 import time
 import traceback
 
 import duckdb
 
-sys.path.insert(0, "/root/repo")
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from __spark_entry__ import oracle_sql, queries  # noqa: E402
 from marquee.session import local_session  # noqa: E402
 
@@ -88,4 +92,5 @@ def main():
     print("BAD", bad)
 
 
-main()
+if __name__ == "__main__":
+    main()
