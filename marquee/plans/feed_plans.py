@@ -21,11 +21,21 @@ def iso(c):
     return F.date_format(c, ISO)
 
 
-def per_source(t, entry, wrap="entries", where="id >= 0"):
-    """One payload per source holding an entry per listing."""
-    rows = t.listings.where(where).groupBy("source").agg(
+# A payload holds at most this many ids of one source, however large the tables.
+PER_PAYLOAD = 200
+PART = "source || '-' || (id // 200)"
+
+
+def part():
+    """Name of the payload a listing is in."""
+    return F.concat("source", F.lit("-"), F.floor(F.col("id") / PER_PAYLOAD).cast("string"))
+
+
+def per_source(t, entry, wrap="entries"):
+    """Payloads (source, part, payload) holding an entry per listing."""
+    rows = t.listings.groupBy("source", part().alias("part")).agg(
         F.array_sort(F.collect_list(F.struct("id", entry.alias("e")))).alias("es"))
-    return rows.select("source", F.to_json(F.struct(F.col("es.e").alias(wrap))).alias("payload"))
+    return rows.select("source", "part", F.to_json(F.struct(F.col("es.e").alias(wrap))).alias("payload"))
 
 
 @query("s5_json_feed", f"""
@@ -88,8 +98,8 @@ def _(t):
     return plain(rows.select("source", "id", "title", "event_date"))
 
 
-@query("s8_chunked_state", """
-SELECT source AS page_id, CAST(id AS VARCHAR) AS entry, title || '!' AS title FROM listings WHERE title <> ''
+@query("s8_chunked_state", f"""
+SELECT {PART} AS page_id, CAST(id AS VARCHAR) AS entry, title || '!' AS title FROM listings WHERE title <> ''
 """, "listings")
 def _(t):
     def entry(title):
@@ -104,8 +114,8 @@ def _(t):
         literal = F.regexp_replace(F.to_json(F.array(text)), r"^\[|\]$", "")
         return F.concat(F.lit("<script>self.__next_f.push([1,"), literal, F.lit("])</script>"))
 
-    pages = old.join(new, "source").withColumn("flight", flight).select(
-        F.col("source").alias("page_id"),
+    pages = old.join(new.drop("source"), "part").withColumn("flight", flight).select(
+        F.col("part").alias("page_id"),
         F.concat(push(F.substring("flight", F.lit(1), half)),
                  push(F.substring("flight", half + 1, F.length("flight")))).alias("html"))
     return S.from_chunked_state(pages, {"title": "$.title"}).select("page_id", "entry", "title")
@@ -116,8 +126,9 @@ def _ics_feeds(t):
         F.lit("BEGIN:VEVENT\r\nUID:"), F.col("id").cast("string"),
         F.lit("\r\nDTSTART;TZID=America/Los_Angeles:"), F.date_format("event_date", "yyyyMMdd'T'HHmmss"),
         F.lit("\r\nSUMMARY:a long\r\n  "), F.col("title"), F.lit("\r\nX:1\r\nX:2\r\nEND:VEVENT\r\n"))
-    rows = t.listings.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("id", block.alias("b")))).alias("bs"))
-    return rows.select(F.col("source").alias("feed"),
+    rows = t.listings.groupBy(part().alias("feed")).agg(
+        F.array_sort(F.collect_list(F.struct("id", block.alias("b")))).alias("bs"))
+    return rows.select("feed",
                        F.concat(F.lit("BEGIN:VCALENDAR\r\n"), F.array_join("bs.b", ""), F.lit("END:VCALENDAR")).alias("value"))
 
 
@@ -131,7 +142,7 @@ def _ics_rows(entries):
 
 
 @query("s9_ics", f"""
-SELECT source AS feed, CAST(id AS VARCHAR) AS uid, 'a long ' || title AS summary, '2' AS x, {TS.format("event_date")} AS start FROM listings
+SELECT {PART} AS feed, CAST(id AS VARCHAR) AS uid, 'a long ' || title AS summary, '2' AS x, {TS.format("event_date")} AS start FROM listings
 """, "listings")
 def _(t):
     return _ics_rows(S.ics_entries(_ics_feeds(t)))
@@ -296,8 +307,8 @@ def _(t):
 
 
 @query("j13_resolve_refs", """
-SELECT l.source AS doc, CAST(l.id AS VARCHAR) AS key, CASE WHEN l.id % 4 = 3 THEN NULL WHEN l.id % 4 = 2 THEN 'own ' || l.id ELSE coalesce(v.title, NULL) END AS name
-FROM listings l LEFT JOIN listings v ON v.source = l.source AND v.id = l.id + 25
+SELECT l.source || '-' || (l.id // 200) AS doc, CAST(l.id AS VARCHAR) AS key, CASE WHEN l.id % 4 = 3 THEN NULL WHEN l.id % 4 = 2 THEN 'own ' || l.id ELSE coalesce(v.title, NULL) END AS name
+FROM listings l LEFT JOIN listings v ON v.source = l.source AND v.id = l.id + 25 AND v.id // 200 = l.id // 200
 """, "listings")
 def _(t):
     k = F.col("id") % 4
@@ -306,8 +317,8 @@ def _(t):
     body = F.concat(F.lit('{"name": '), F.regexp_replace(F.to_json(F.array("title")), r"^\[|\]$", ""),
                     F.coalesce(F.concat(F.lit(', "venue": '), pointer), F.lit("")), F.lit("}"))
     entry = F.concat(F.lit('"'), F.col("id").cast("string"), F.lit('": '), body)
-    docs = t.listings.groupBy("source").agg(F.concat(F.lit("{"), F.array_join(F.collect_list(entry), ", "), F.lit("}")).alias("payload"))
-    rows = S.resolve_refs(S.entities(docs, "source", "payload"), "$.venue")
+    docs = t.listings.groupBy(part().alias("part")).agg(F.concat(F.lit("{"), F.array_join(F.collect_list(entry), ", "), F.lit("}")).alias("payload"))
+    rows = S.resolve_refs(S.entities(docs, "part", "payload"), "$.venue")
     return rows.select("doc", "key", J.text_at("resolved", "$.name").alias("name"))
 
 

@@ -67,7 +67,8 @@ def json_ld_nodes(pages: DataFrame, keep: list[str] = ("page_id", "url")) -> Dat
         F.lit(1),
     )
     blocks = pages.select(*keep, F.posexplode(scripts).alias("block", "json"))
-    top = blocks.select(*keep, "block", F.explode(_as_list(J.parsed("json"), "$")).alias("top"))
+    blocks = staged(blocks, {"__v": J.parsed("json")})
+    top = blocks.select(*keep, "block", F.explode(_as_list(F.col("__v"), "$")).alias("top"))
     v = F.col("top")
     nested = F.concat(
         F.array(v),
