@@ -88,25 +88,50 @@ def event_rows(nodes: DataFrame, keep: list[str] = ("page_id", "url")) -> DataFr
         F.array(F.try_variant_get("node", "$['@type']", "string")),
     )
     events = nodes.where(F.exists(types, lambda x: F.endswith(x, F.lit("Event"))))
-    offer = J.price_from_offer("node")
+
+    def one(path: str) -> Column:
+        """The value, or the first of a list of values."""
+        first = F.try_variant_get("node", f"{path}[0]", "variant")
+        return F.coalesce(first, F.try_variant_get("node", path, "variant"))
+
+    rows = staged(
+        events,
+        {
+            "__name": J.text_at("node", "$.name"),
+            "__about": J.text_at("node", "$.description"),
+            "__start": J.text_at("node", "$.startDate"),
+            "__end": J.text_at("node", "$.endDate"),
+            "__url": J.text_at("node", "$.url"),
+            "__status": J.text_at("node", "$.eventStatus"),
+            "__place": one("$.location"),
+            "__image": one("$.image"),
+            "__offer": one("$.offers"),
+        },
+    )
+    rows = staged(
+        rows,
+        {
+            "event_date": D.to_local("__start"),
+            "end_date": D.to_local("__end"),
+            "__cost": J.price_from_offer("__offer", "$"),
+        },
+    )
     page_url = [c for c in keep if c != "url"]
-    return events.select(
+    return rows.select(
         *page_url,
-        X.squeeze(J.text_at("node", "$.name")).alias("title"),
-        X.strip_html(J.text_at("node", "$.description")).alias("description"),
-        F.coalesce(J.scalar_or_first("node", "$.location", "name"), F.lit("")).alias("venue_name"),
-        J.postal_address("node").alias("address"),
-        F.coalesce(J.number_at("node", "$.location.geo.latitude"),
-                   J.number_at("node", "$.location[0].geo.latitude")).alias("latitude"),
-        F.coalesce(J.number_at("node", "$.location.geo.longitude"),
-                   J.number_at("node", "$.location[0].geo.longitude")).alias("longitude"),
-        D.to_local(J.text_at("node", "$.startDate")).alias("event_date"),
-        D.to_local(J.text_at("node", "$.endDate")).alias("end_date"),
-        F.coalesce(J.text_at("node", "$.url"), F.col("url") if "url" in keep else F.lit("")).alias("url"),
-        F.coalesce(J.scalar_or_first("node", "$.image", "url"), F.lit("")).alias("image_url"),
-        offer["price"].alias("price"),
-        offer["is_free"].alias("is_free"),
-        F.coalesce(J.text_at("node", "$.eventStatus"), F.lit("")).alias("status"),
+        X.squeeze("__name").alias("title"),
+        X.strip_html("__about").alias("description"),
+        F.coalesce(J.text_at("__place", "$.name"), F.lit("")).alias("venue_name"),
+        J.postal_address("__place", "$").alias("address"),
+        J.number_at("__place", "$.geo.latitude").alias("latitude"),
+        J.number_at("__place", "$.geo.longitude").alias("longitude"),
+        "event_date",
+        "end_date",
+        F.coalesce("__url", F.col("url") if "url" in keep else F.lit("")).alias("url"),
+        F.coalesce(J.text_at("__image", "$.url"), J.scalar_at("__image", "$"), F.lit("")).alias("image_url"),
+        F.col("__cost.price").alias("price"),
+        F.col("__cost.is_free").alias("is_free"),
+        F.coalesce("__status", F.lit("")).alias("status"),
     ).where((F.col("title") != "") & F.col("event_date").isNotNull())
 
 
