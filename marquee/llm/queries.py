@@ -7,12 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.llm import chat, compression_rules, embedding_pq, language_id, mixing, simhash, substring_dedup
+from marquee.llm import (
+    chat, compression_rules, cotraining, embedding_pq, hmm_lm, language_id, mixing, sentencepiece_nbest, simhash, substring_dedup,
+)
 from marquee.llm.common import fold, table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_cotraining(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality scores of every document, from the labels and both views."""
+    return cotraining.quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op2_entropy_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """Copies of each document in a mix of 150 % of all words, sources weighing 3, 1, 2."""
     mixed = mixing.mix_sources(table(spark, folder, "documents"))
@@ -70,10 +77,21 @@ def op8_compression_rules(spark: SparkSession, folder: str) -> DataFrame:
         "zstd_ratio", "n_chunks", "n_odd_chunks")
 
 
+def op9_sentencepiece_nbest(spark: SparkSession, folder: str) -> DataFrame:
+    """Piece ids of every text with its four best segmentations."""
+    return sentencepiece_nbest.encode_texts(table(spark, folder, "documents").select("doc_id", "text"), sentencepiece_nbest.MODEL)
+
+
+def op10_hmm_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """log10 probabilities of every text under the latent and the base model, learned from six of seven folds."""
+    docs = table(spark, folder, "documents").withColumn("held_out", fold("doc_id", 7) == 2)
+    return hmm_lm.score_texts(docs, flag="held_out")
+
+
 QUERIES: dict[str, Query] = {
     q.__name__: q
-    for q in (op2_entropy_mixing, op3_chat_format, op4_paragraph_dedup, op5_language_id, op6_simhash_golay,
-              op7_embedding_pq, op8_compression_rules)
+    for q in (op1_cotraining, op2_entropy_mixing, op3_chat_format, op4_paragraph_dedup, op5_language_id, op6_simhash_golay,
+              op7_embedding_pq, op8_compression_rules, op9_sentencepiece_nbest, op10_hmm_scores)
 }
 
 #: Formatted length of a turn without its text, by role; escapes add one mark per control string.
