@@ -7,9 +7,14 @@ the blocks is complete and no all-pairs join is needed:
 * same URL: (url, day)
 * same source, title and venue: (source, title, venue, hour)
 * similar titles: shared rare bigrams of titles of the same day
-* similar venues: pairs of similar venue names, then (venue, day)
+* similar venues, similar titles: pairs of similar venue names, then (venue, day, title length)
+* a title that is the other with its place: (day, the shorter title)
+* similar venues, nearly one time: pairs of similar venue names, then (venue, three hours)
 * near each other: (grid cell, three hours)
 
+Pairs whose lengths or letters already rule out the title agreement a rule asks for
+never leave the JVM. Of a stored table only what a batch can reach is read.
+
 Rows alike in everything a rule reads are copies. They are compared once, by a
 representative, so a group of copies costs one row and not a square.
 """
@@ -190,30 +195,76 @@ def _similar_title(left: DataFrame, right: DataFrame, threshold: float = 0.85) -
 def _through(a: DataFrame, names: DataFrame, b: DataFrame, column: str) -> DataFrame:
     """Pairs of one slot whose names form a listed pair."""
     sided = _side(a, "a").join(names, F.col(f"a_{column}") == F.col("a_name")).drop("a_name", "score")
-    meet = (F.col("a_slot") == F.col("b_slot")) & (F.col(f"b_{column}") == F.col("b_name"))
-    return sided.join(_side(b, "b"), meet).drop("b_name", "a_slot", "b_slot")
+    keys = [c for c in ("slot", "band") if c in a.columns]
+    meet = [F.col(f"b_{column}") == F.col("b_name"), *[F.col(f"a_{c}") == F.col(f"b_{c}") for c in keys]]
+    return sided.join(_side(b, "b"), meet).drop("b_name", *[f"{x}_{c}" for x in "ab" for c in keys])
 
 
-def _similar_venue(left: DataFrame, right: DataFrame, threshold: float = 0.80) -> DataFrame:
-    """Pairs of similar venues on neighbouring days whose titles may still agree."""
-    dated = F.col("start").isNotNull() & (F.col("venue") != "")
-    a, b = left.where(dated), right.where(dated)
-    names = similar_names(
+#: Title agreement that the venue and place rules ask for.
+TITLE_WITH_VENUE, TITLE_WITH_TIME = 0.7, 0.45
+
+
+def _titles_may_agree(floor: float) -> Column:
+    """No title pair at or above the floor is lost: bounds by length, then by letters."""
+    a, b = F.col("a_title"), F.col("b_title")
+    return F.when(length_bound(a, b) < floor, False).otherwise(letter_bound(a, b) >= floor)
+
+
+def _length_band(title: str, floor: float) -> Column:
+    """Titles at least so similar lie in the same or neighbouring bands."""
+    step = F.log(F.lit((2 - floor) / floor))
+    return F.floor(F.log(F.greatest(F.length(title), F.lit(1)).cast("double")) / step)
+
+
+def _venue_names(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
+    return cut_lineage(similar_names(
         a.select(F.col("venue").alias("name")).distinct(),
         b.select(F.col("venue").alias("name")).distinct(),
         threshold, [],
-    )
-    a = a.withColumn("slot", _around(F.col("start"), DAY))
-    b = b.withColumn("slot", _slot(F.col("start"), DAY))
-    pairs = _through(a, names, b, "venue")
-    gap, bound = gap_seconds(), length_bound(F.col("a_title"), F.col("b_title"))
-    longer = F.greatest(F.length("a_title"), F.length("b_title")) == F.length("a_title")
-    prefix = F.when(longer, F.startswith("a_title", F.concat("b_title", F.lit(" at ")))).otherwise(
-        F.startswith("b_title", F.concat("a_title", F.lit(" at ")))
-    )
-    possible = (bound >= 0.7) | prefix | ((gap <= 3 * HOUR) & (bound >= 0.45))
+    ))
+
+
+def _similar_venue(left: DataFrame, right: DataFrame, threshold: float = 0.80) -> DataFrame:
+    """Pairs of similar venues whose titles may agree as their distance in time asks.
+
+    Within a day titles must be 0.7 alike, so their length band is part of the key;
+    within three hours 0.45, and the hours are.
+    """
+    placed = F.col("start").isNotNull() & (F.col("venue") != "") & (F.col("title") != "")
+    a, b = left.where(placed), right.where(placed)
+    names = _venue_names(a, b, threshold)
+    band = _length_band("title", TITLE_WITH_VENUE)
+    day_a = a.withColumn("slot", _around(F.col("start"), DAY)).withColumn(
+        "band", F.explode(F.array(band - 1, band, band + 1)))
+    day_b = b.withColumn("slot", _slot(F.col("start"), DAY)).withColumn("band", band)
+    hour_a = a.withColumn("slot", _around(F.col("start"), 3 * HOUR)).withColumn("band", F.lit(0))
+    hour_b = b.withColumn("slot", _slot(F.col("start"), 3 * HOUR)).withColumn("band", F.lit(0))
     different = F.col("a_source") != F.col("b_source")
-    return pairs.where((gap <= DAY) & different & possible)
+    by_day = _through(day_a, names, day_b, "venue").where(
+        (gap_seconds() <= DAY) & different & _titles_may_agree(TITLE_WITH_VENUE))
+    by_hour = _through(hour_a, names, hour_b, "venue").where(
+        (gap_seconds() <= 3 * HOUR) & different & _titles_may_agree(TITLE_WITH_TIME))
+    return by_day.unionByName(by_hour)
+
+
+def _title_with_place(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs of neighbouring days where one title goes on with " at " where the other ends."""
+    dated = F.col("start").isNotNull() & (F.col("title") != "") & (F.col("venue") != "")
+    parts = F.split("title", " at ")
+    heads = F.transform(
+        F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), " at "))
+    every = F.expr("cast(array() as array<string>)")
+    longer = F.explode(F.when(F.size(parts) > 1, heads).otherwise(every))
+
+    def side(df: DataFrame, around: bool, shorter: bool) -> DataFrame:
+        slot = _around(F.col("start"), DAY) if around else _slot(F.col("start"), DAY)
+        at = df.where(dated).withColumn("slot", slot)
+        return at.withColumn("head", F.col("title") if shorter else longer)
+
+    one = _joined(side(left, True, True), side(right, False, False), ["slot", "head"])
+    two = _joined(side(left, True, False), side(right, False, True), ["slot", "head"])
+    close = (gap_seconds() <= DAY) & (F.col("a_source") != F.col("b_source"))
+    return one.unionByName(two).where(close).drop("a_slot", "b_slot", "a_head", "b_head")
 
 
 def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -221,12 +272,16 @@ def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
 
     ``left`` and ``right`` are facts of representatives.
     """
+    untitled = F.col("a_no_title") | F.col("b_no_title")
+    moment = F.coalesce(gap_seconds() < HOUR, F.lit(False))
     parts = [
-        dup_by_url(left, right),
+        dup_by_url(left, right).where(
+            untitled | moment | (length_bound(F.col("a_title"), F.col("b_title")) >= 0.5)),
         _same_source_exact(left, right),
         _similar_title(left, right),
         _similar_venue(left, right),
-        geo_time_pairs(left, right),
+        _title_with_place(left, right),
+        geo_time_pairs(left, right).where(_titles_may_agree(TITLE_WITH_TIME)),
     ]
     names = [f"{s}_{c}" for s in "ab" for c in ["id", *FACTS]]
     pairs = parts[0].select(*names)
@@ -295,39 +350,54 @@ def score_pairs(pairs: DataFrame, max_hours: int = 24) -> DataFrame:
     )
 
 
-def _first_match(pairs: DataFrame, phase: int, method: Column) -> DataFrame:
+def _first_match(pairs: DataFrame, method: Column) -> DataFrame:
     """Per incoming representative the stored one that comes first by (start, id)."""
     order = F.struct(F.coalesce("b_start", ntz("1900-01-01")).alias("s"), F.col("b_id").alias("i"))
     return pairs.groupBy("a_id").agg(
-        F.min(
-            F.struct(
-                F.lit(phase).alias("phase"), order.alias("order"),
-                F.col("b_id").alias("match_id"), method.alias("method"),
-            )
-        ).alias("hit")
+        F.min(F.struct(order.alias("order"), F.col("b_id").alias("match_id"), method.alias("method"))).alias("hit")
     )
 
 
+def _reachable(stored: DataFrame, batch: DataFrame) -> DataFrame:
+    """Stored rows with a start on a day of the batch, the day before or the day after."""
+    days = batch.where(F.col("start").isNotNull()).select(
+        _around(F.col("start"), DAY).alias("day")).distinct()
+    return stored.join(days, _slot(F.col("event_date"), DAY) == F.col("day"), "left_semi")
+
+
+def _of_urls(stored: DataFrame, batch: DataFrame) -> DataFrame:
+    """Stored rows with a URL of the batch."""
+    urls = batch.where(F.col("url").isNotNull()).select(F.col("url").alias("wanted")).distinct()
+    return stored.join(urls, F.trim(F.col("url")) == F.col("wanted"), "left_semi")
+
+
 def best_match(batch: DataFrame, stored: DataFrame) -> DataFrame:
     """(id, match_id, match_method) of incoming rows that are stored already.
 
     URL first, then overlapping spans, then similarity; inside a phase the
-    earliest stored row. Incoming copies share the answer of their representative.
+    earliest stored row. Each phase takes only the rows that the one before left,
+    and reads only the stored rows these can reach: by URL, by source and title of
+    spans, by day. Incoming copies share the answer of their representative.
     """
     facts = match_facts(batch)
-    a, b = representatives(facts), representatives(match_facts(stored))
-    url_pairs = dup_by_url(a, b)
+    a = representatives(facts)
+    url_pairs = dup_by_url(a, match_facts(_of_urls(stored, a)))
     close = F.coalesce(gap_seconds() < DAY, F.lit(True))
     moment = F.coalesce(gap_seconds() < HOUR, F.lit(False))
     by_url = url_pairs.where(close).withColumn("ok", moment | titles_compatible("b", "a")).where("ok")
-    by_span = dup_by_overlap(a, b)
-    by_score = score_pairs(candidates(a, b)).where("is_dup and a_start is not null and b_start is not null")
-    hits = (
-        _first_match(by_url, 1, F.lit("url"))
-        .unionByName(_first_match(by_span, 2, F.lit("multiday_overlap")))
-        .unionByName(_first_match(by_score, 3, F.col("match_method")))
-    )
-    best = hits.groupBy("a_id").agg(F.min("hit").alias("hit"))
+    first = cut_lineage(_first_match(by_url, F.lit("url")))
+
+    left = cut_lineage(a.join(first, F.col("id") == F.col("a_id"), "left_anti"))
+    spans = match_facts(stored.where(_is_long("event_date", "end_date")))
+    second = cut_lineage(_first_match(dup_by_overlap(left, spans), F.lit("multiday_overlap")))
+
+    # by similarity only rows with a start can match
+    rest = cut_lineage(left.join(second, F.col("id") == F.col("a_id"), "left_anti").where(F.col("start").isNotNull()))
+    near = representatives(match_facts(_reachable(stored, rest)))
+    by_score = score_pairs(candidates(rest, near)).where("is_dup and b_start is not null")
+    third = _first_match(by_score, F.col("match_method"))
+
+    best = first.unionByName(second).unionByName(third)
     found = best.select(
         F.col("a_id").alias("rep"), F.col("hit.match_id").alias("match_id"),
         F.col("hit.method").alias("match_method"),
@@ -338,6 +408,31 @@ def best_match(batch: DataFrame, stored: DataFrame) -> DataFrame:
 # ---- duplicates within one table -------------------------------------------
 
 
+def _overlap_edges(reps: DataFrame) -> DataFrame:
+    """(x, y, match_method): spans of one source and title, tied as their overlaps connect them.
+
+    Rows of one source, title and venue are walked by start: a row that starts before
+    the latest end so far overlaps an earlier one, and one edge to the row that holds
+    this end is enough, so a series listed a thousand times gives a thousand edges. A
+    row without a venue meets every venue; rows with different venues meet only through it.
+    """
+    long = reps.where(_is_long("start", "end") & (F.col("title") != "")).select(
+        "id", "source", "title", "venue", "start", "end")
+    open_ = long.where("venue = ''")
+    meeting = open_.select("source", "title").distinct()
+    venues = long.join(meeting, ["source", "title"], "left_semi").where("venue <> ''").select(
+        "source", "title", "venue").distinct()
+    guests = open_.drop("venue").join(venues, ["source", "title"])
+    rows = long.unionByName(guests.select(*long.columns))
+    before = Window.partitionBy("source", "title", "venue").orderBy("start", "id").rowsBetween(
+        Window.unboundedPreceding, -1)
+    held = F.max(F.struct("end", "id")).over(before)
+    tied = rows.withColumn("held", held).where(F.col("held.end") >= F.col("start"))
+    return tied.select(
+        F.greatest("id", "held.id").alias("x"), F.least("id", "held.id").alias("y"),
+        F.lit("multiday_overlap").alias("match_method"))
+
+
 def duplicate_pairs(df: DataFrame) -> DataFrame:
     """(id_a, id_b, match_method) with id_a < id_b.
 
@@ -351,13 +446,19 @@ def duplicate_pairs(df: DataFrame) -> DataFrame:
     pairs = candidates(reps, reps).where(F.col("a_id") > F.col("b_id"))
     later = score_pairs(pairs).where("is_dup")
     edges = cut_lineage(
-        later.select(F.col("a_id").alias("x"), F.col("b_id").alias("y"), "match_method")
+        later.select(F.col("a_id").alias("x"), F.col("b_id").alias("y"), "match_method").unionByName(
+            _overlap_edges(reps)).dropDuplicates(["x", "y"])
     )
 
     alike = F.col("url").isNotNull() | (
         F.col("start").isNotNull() & (F.col("title") != "") & (F.col("venue") != "")
+    ) | (_is_long("start", "end") & (F.col("title") != ""))
+    alike = F.coalesce(alike, F.lit(False))
+    self_method = (
+        F.when(F.col("url").isNotNull(), "url")
+        .when((F.col("title") != "") & (F.col("venue") != ""), "exact_same_source")
+        .otherwise("multiday_overlap")
     )
-    self_method = F.when(F.col("url").isNotNull(), "url").otherwise("exact_same_source")
     groups = members(facts, reps).where(F.col("id") != F.col("rep"))
     kinds = reps.select(F.col("id").alias("rep"), alike.alias("alike"), self_method.alias("self_method"))
     copies = groups.join(kinds, "rep")

@@ -79,7 +79,41 @@ def _scored(t):
     return M.score_pairs(M.candidates(a, b)).where("is_dup")
 
 
-@query("j5_score_pairs")
+# Where one text contains the other, their similarity is known without the measure.
+_NT, _NV = NORM_TITLE.format, norm_venue_sql
+ALIKE = "CASE WHEN {0} = '' OR {1} = '' THEN 0e0 ELSE 2e0 * least(length({0}), length({1})) / (length({0}) + length({1})) END"
+OWN_PAIRS = f"""facts AS (
+  SELECT i.id AS a_id, s.id AS b_id, {_NT('i.title')} AS ta, {_NT('s.title')} AS tb, {_NV('i.venue_name')} AS va, {_NV('s.venue_name')} AS vb,
+    {GAP} / 3600e0 AS gap, i.source = s.source AS one_source, coalesce(nullif(trim(i.url), '') = nullif(trim(s.url), ''), false) AS one_url,
+    {PAIR_KM} AS km, {OVERLAP} AS overlapping
+  FROM spaced_incoming i JOIN spaced s ON i.id = s.id + 100000000
+), measured AS (
+  SELECT *, {ALIKE.format('ta', 'tb')} AS t, {ALIKE.format('va', 'vb')} AS v,
+    CASE WHEN length(ta) <= length(tb) THEN starts_with(tb, ta || ' at ') ELSE starts_with(ta, tb || ' at ') END AS prefixed FROM facts
+), judged AS (
+  SELECT *, CASE
+    WHEN one_url AND gap <= 24 AND (gap < 1 OR t >= 0.5) THEN 'url'
+    WHEN gap > 24 THEN NULL
+    WHEN one_source THEN CASE WHEN ta <> '' AND ta = tb AND gap < 1 AND va <> '' AND va = vb THEN 'exact_same_source' END
+    WHEN t >= 0.85 AND NOT coalesce(km > 1, false) THEN 'title'
+    WHEN t >= 0.7 AND v >= 0.8 THEN 'title_venue'
+    WHEN v >= 0.95 AND least(length(ta), length(tb)) >= 4 AND ta <> tb AND prefixed THEN 'venue_prefix_title'
+    WHEN gap <= 3 AND v >= 0.85 AND t >= 0.45 THEN 'venue_date'
+    WHEN gap <= 3 AND t >= 0.45 AND coalesce(km <= 0.15, false) THEN 'geo_date' END AS method FROM measured
+), matched AS (
+  SELECT *, CASE WHEN one_url AND gap < 24 AND (gap < 1 OR t >= 0.5) THEN 'url' WHEN overlapping THEN 'multiday_overlap'
+    ELSE method END AS match_method FROM judged
+)"""
+
+
+@query("j5_score_pairs", f"WITH {OWN_PAIRS} SELECT a_id, b_id, method AS match_method FROM judged WHERE method IS NOT NULL", "spaced_incoming")
+def _(t):
+    a = M.representatives(M.match_facts(t.spaced_incoming))
+    b = M.representatives(M.match_facts(t.spaced))
+    return M.score_pairs(M.candidates(a, b)).where("is_dup").select("a_id", "b_id", "match_method")
+
+
+@query("j5_score_pairs_listings")
 def _(t):
     return plain(_scored(t).select("a_id", "b_id", "match_method",
                                    F.round("title_similarity", 4).alias("title_similarity")))
@@ -98,11 +132,24 @@ def _(t):
     return _scored(t).where(exact).select("a_id", "b_id", "match_method")
 
 
+@query("j6_best_match_spaced", f"""WITH {OWN_PAIRS}
+SELECT a_id AS id, b_id AS match_id, match_method FROM matched WHERE match_method IS NOT NULL""", "spaced_incoming")
+def _(t):
+    return M.best_match(t.spaced_incoming, t.spaced)
+
+
 @query("j6_best_match")
 def _(t):
     return M.best_match(t.incoming, t.listings)
 
 
+@query("e1_duplicate_pairs_spaced", f"""WITH {OWN_PAIRS}
+SELECT b_id AS id_a, a_id AS id_b, coalesce(method, 'multiday_overlap') AS match_method FROM matched
+WHERE method IS NOT NULL OR overlapping""", "spaced_incoming")
+def _(t):
+    return M.duplicate_pairs(t.spaced.unionByName(t.spaced_incoming))
+
+
 @query("e1_duplicate_pairs")
 def _(t):
     both = t.listings.unionByName(t.incoming)
@@ -202,6 +249,15 @@ def _(t):
         F.coalesce(F.round("price", 2), F.lit(-1.0)).alias("price"), F.length("description").alias("longest")))
 
 
+@query("e5_upsert_batch_spaced", f"""WITH {OWN_PAIRS}
+SELECT a_id AS id, b_id AS listing_id, true AS was_duplicate FROM matched WHERE match_method IS NOT NULL
+UNION ALL
+SELECT a_id, (SELECT max(id) FROM spaced) + row_number() OVER (ORDER BY a_id), false FROM matched WHERE match_method IS NULL
+""", "spaced_incoming")
+def _(t):
+    return E.upsert_batch(t.spaced_incoming, t.spaced, AS_OF)["outcomes"]
+
+
 @query("e5_upsert_batch")
 def _(t):
     return E.upsert_batch(t.incoming, t.listings, AS_OF)["outcomes"]
@@ -213,7 +269,14 @@ def _(t):
     return done["table"].agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("ids"))
 
 
-@query("e7_titles_compatible")
+@query("e7_titles_compatible", f"""WITH {OWN_PAIRS}
+SELECT a_id, b_id, t >= 0.5 AS compatible FROM measured WHERE one_url AND gap <= 24""", "spaced_incoming")
+def _(t):
+    pairs = M.dup_by_url(M.match_facts(t.spaced_incoming), M.match_facts(t.spaced))
+    return pairs.select("a_id", "b_id", M.titles_compatible("b", "a").alias("compatible"))
+
+
+@query("e7_titles_compatible_listings")
 def _(t):
     pairs = M.dup_by_url(M.match_facts(t.incoming), M.match_facts(t.listings))
     return pairs.select("a_id", "b_id", M.titles_compatible("b", "a").alias("compatible"))

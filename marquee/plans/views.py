@@ -68,6 +68,30 @@ SELECT id + 100000000 AS id,
   CASE WHEN id % 2 = 0 THEN url ELSE url || '#re' END AS url,
   image_url, source_logo_url, price, is_free, price_note, region, created_at, updated_at
 FROM listings WHERE id % 3 = 0
+""",
+    # Listings three days apart, so only a row's own counterpart can match it; the title of one
+    # contains that of the other, which makes their similarity 2 * min / (a + b).
+    "spaced": """
+SELECT id, title, description, venue_name, address, latitude, longitude,
+  TIMESTAMP '1000-01-01 00:00:00' + INTERVAL '3' DAY * CAST(id % 900000 AS INT) + INTERVAL '1' HOUR * CAST(id % 20 AS INT) AS event_date,
+  CASE WHEN id % 12 = 9 THEN TIMESTAMP '1000-01-01 00:00:00' + INTERVAL '3' DAY * CAST(id % 900000 + 4 AS INT) ELSE NULL END AS end_date,
+  category, source, url, image_url, source_logo_url, price, is_free, price_note, region, created_at, updated_at
+FROM listings
+""",
+    "spaced_incoming": """
+SELECT id + 100000000 AS id,
+  CASE id % 12 WHEN 1 THEN title || ' party' WHEN 2 THEN substring(title, 1, 3) WHEN 4 THEN title || ' go'
+    WHEN 5 THEN title || ' encore party' WHEN 6 THEN title || ' at ' || venue_name || ' with friends and family'
+    WHEN 7 THEN title || ' with a great many friends' WHEN 8 THEN title || ' with a great many friends' ELSE title END AS title,
+  description, CASE WHEN id % 12 IN (8, 11) THEN '' ELSE venue_name END AS venue_name, address,
+  CASE WHEN id % 12 = 11 THEN latitude + CAST(1 AS DOUBLE) ELSE latitude END AS latitude, longitude,
+  event_date + INTERVAL '30' MINUTE * CAST(CASE id % 12 WHEN 0 THEN 0 WHEN 1 THEN 10 WHEN 2 THEN 10 WHEN 3 THEN 1 WHEN 4 THEN 20
+    WHEN 5 THEN 20 WHEN 6 THEN 20 WHEN 7 THEN 4 WHEN 8 THEN 4 WHEN 9 THEN 72 WHEN 10 THEN 60 ELSE 3 END AS INT) AS event_date,
+  CASE WHEN id % 12 = 9 THEN end_date + INTERVAL '5' DAY ELSE NULL END AS end_date, category,
+  CASE WHEN id % 12 IN (3, 9) THEN source ELSE 'FEED_' || CAST(id % 5 AS VARCHAR(20)) END AS source,
+  CASE WHEN id % 12 < 3 THEN url ELSE '' END AS url,
+  image_url, source_logo_url, price, is_free, price_note, region, created_at, updated_at
+FROM spaced
 """,
     "interactions": """
 SELECT event_id AS id, 's' || CAST(user_id AS VARCHAR(20)) AS session_id,
@@ -102,6 +126,8 @@ FROM events WHERE event_type = 'error'
 _VIEW_INPUTS = {
     "listings": ["orders", "customer", "nation", "region", "part"],
     "listings_incoming": ["listings"],
+    "spaced": ["listings"],
+    "spaced_incoming": ["spaced"],
     "interactions": ["events"],
     "page_views": ["events"],
     "search_queries": ["events"],
@@ -135,6 +161,14 @@ class Tables:
     def listings_incoming(self) -> DataFrame:
         return self._derived("listings_incoming")
 
+    @cached_property
+    def spaced(self) -> DataFrame:
+        return self._derived("spaced")
+
+    @cached_property
+    def spaced_incoming(self) -> DataFrame:
+        return self._derived("spaced_incoming")
+
     @property
     def incoming(self) -> DataFrame:
         return self.listings_incoming
@@ -154,9 +188,15 @@ class Tables:
 
 def with_views(*names: str) -> str:
     """WITH clause that defines the named views for the oracle."""
-    wanted = []
+    wanted: list[str] = []
+
+    def add(name: str) -> None:
+        if name in VIEW_SQL:
+            for needed in _VIEW_INPUTS[name]:
+                add(needed)
+            if name not in wanted:
+                wanted.append(name)
+
     for name in names:
-        for needed in ([*_VIEW_INPUTS[name], name] if name in VIEW_SQL else []):
-            if needed in VIEW_SQL and needed not in wanted:
-                wanted.append(needed)
+        add(name)
     return "WITH " + ",\n".join(f"{name} AS ({VIEW_SQL[name]})" for name in wanted)

@@ -179,6 +179,31 @@ def test_copies_join_the_same_cluster_with_few_pairs(make_listings):
     assert clusters == components(full)
 
 
+def test_spans_listed_twice_in_a_batch_are_one(make_listings):
+    show = {"title": "Long Show", "venue_name": "Pier", "source": "a"}
+    rows = [
+        {**show, "id": 1, "url": "u1", "event_date": datetime(2026, 1, 1), "end_date": datetime(2026, 2, 1)},
+        {**show, "id": 2, "url": "u2", "event_date": datetime(2026, 1, 4), "end_date": datetime(2026, 2, 3)},
+        {**show, "id": 3, "url": "u3", "event_date": datetime(2026, 3, 4), "end_date": datetime(2026, 3, 9)},
+        {**show, "id": 4, "url": "u4", "event_date": datetime(2026, 3, 8), "end_date": datetime(2026, 3, 12), "venue_name": ""},
+        {**show, "id": 5, "url": "u5", "event_date": datetime(2026, 1, 9), "end_date": datetime(2026, 1, 20), "venue_name": "Loft"},
+    ]
+    pairs = {(r.id_a, r.id_b) for r in M.duplicate_pairs(make_listings(rows)).collect()}
+    assert pairs == {(1, 2), (3, 4)}
+    done = E.upsert_batch(make_listings(rows), make_listings([]), "2026-01-01")
+    assert done["inserted"].count() == 3
+
+
+def test_one_key_with_half_the_rows(make_listings):
+    day = datetime(2026, 5, 1, 20)
+    stored = [{"id": i, "title": f"Show {i}" if i % 2 else "Gala", "venue_name": "Pier", "source": "a",
+               "event_date": day + timedelta(days=i % 2 * i), "url": "http://x/all" if i % 2 == 0 else f"u{i}"} for i in range(1, 401)]
+    batch = [{"id": 1000 + i, "title": "Gala", "venue_name": "Pier", "source": "b", "event_date": day,
+              "url": "http://x/all", "description": f"d{i}"} for i in range(200)]
+    got = M.best_match(make_listings(batch), make_listings(stored)).collect()
+    assert {(r.match_id, r.match_method) for r in got} == {(2, "url")} and len(got) == 200
+
+
 def test_clusters_of_chain_star_and_ring(spark):
     chain = [(i, i + 1) for i in range(100, 140)]
     star = [(200, i) for i in range(201, 260)]
