@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from marquee.llm.buckets import bucket_links
 from marquee.llm.common import packed, text_bytes, widened, written
 from marquee.operators.clusters import duplicate_clusters
+from marquee.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -147,31 +148,52 @@ def paragraph_table(docs: DataFrame, doc_id: str, text: str, how: Passages) -> D
 
 
 SETS = pa.schema([("node", pa.int64()), ("payload", pa.binary())])
+#: Bits of the filter of wanted paragraphs: 4 MB, whatever the input.
+FILTER_BITS = 1 << 25
+#: Bits of one row of the filter.
+ROW_BITS = 1 << 15
 
 
-def shingle_sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, how: Passages) -> DataFrame:
-    """(node, payload): the shingle set of each wanted paragraph, read from its first occurrence.
+def _spots(para: int) -> tuple[int, int]:
+    """Two places of a paragraph in the filter, from different bits of its number."""
+    return para & (FILTER_BITS - 1), (para >> 30) & (FILTER_BITS - 1)
+
+
+def bit_filter(nodes: DataFrame) -> np.ndarray:
+    """Fixed-size filter of the paragraphs (column node): those outside are not wanted for sure."""
+    para = F.col("node")
+    spots = F.array(para.bitwiseAND(F.lit(FILTER_BITS - 1)), F.shiftright(para, 30).bitwiseAND(F.lit(FILTER_BITS - 1)))
+    placed = nodes.select(F.explode(spots).alias("spot")).select(
+        F.shiftright("spot", 15).alias("at"), F.col("spot").bitwiseAND(F.lit(ROW_BITS - 1)).alias("bit"))
+    rows = placed.groupBy("at").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
+    out = np.zeros((FILTER_BITS // ROW_BITS, ROW_BITS // 8), np.uint8)
+    for r in rows:
+        out[r["at"]] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return out.ravel()
 
-    ``wanted`` has para, _id, _th, pos. Only documents that hold one are read into Python.
-    """
-    lists = wanted.groupBy("_id", "_th").agg(F.collect_set("pos").alias("_at"))
-    keyed = docs.select(*_ident(doc_id, text), F.col(f"`{text}`").cast("string").alias("_text"))
-    found = keyed.join(
-        lists.select(F.col("_id").alias("_i"), F.col("_th").alias("_t"), "_at"),
-        F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_th") == F.col("_t")))
-    lines = found.select(F.explode("_at").alias("pos"), F.split("_text", "\n").alias("_lines"))
-    lines = lines.select(F.element_at("_lines", (F.col("pos") + 1).cast("int")).cast("binary").alias("line"))
+
+def shingle_sets(docs: DataFrame, wanted: np.ndarray, text: str, how: Passages) -> DataFrame:
+    """(node, payload): shingle sets of the paragraphs that pass the filter, each at least once."""
+    def has(spot: int) -> bool:
+        return bool(wanted[spot >> 3] >> (spot & 7) & 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told: set[int] = set()
         for batch in batches:
             nodes, sets = [], []
             for data in batch.column(0):
-                words = data.as_py().lower().split()
-                nodes.append(text_key(words))
-                sets.append(np.unique(np.array(shingles(words, how.width), np.uint64)).view(np.int64).tobytes())
+                for _, words in paragraphs(data.as_py(), how.min_words):
+                    para = text_key(words)
+                    if para not in told and all(map(has, _spots(para))):
+                        if len(told) > 500_000:
+                            told.clear()
+                        told.add(para)
+                        nodes.append(para)
+                        sets.append(np.unique(np.array(shingles(words, how.width), np.uint64)).view(np.int64).tobytes())
             yield packed([nodes, sets], SETS)
 
-    return lines.mapInArrow(run, "node bigint, payload binary").dropDuplicates(["node"])
+    texts = docs.select(text_bytes(text).alias("_text")).where(F.col("_text").isNotNull())
+    return texts.mapInArrow(run, "node bigint, payload binary").dropDuplicates(["node"])
 
 
 def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", how: Passages = Passages()) -> DataFrame:
@@ -182,19 +204,19 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     """
     bands = tuned_bands(how.similarity, how.rows, how.recall)
     seen = written(paragraph_table(docs, doc_id, text, how), "paragraphs")
-    first = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_th", "pos")).alias("first")
-    distinct = written(seen.groupBy("para").agg(
-        first, F.count(F.lit(1)).alias("n"), *[F.min(f"b{i}").alias(f"b{i}") for i in range(bands)]), "distinct")
-    keys = distinct.select("para", F.explode(F.array(*[f"b{i}" for i in range(bands)])).alias("key"))
-    common = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    colliding = written(keys.join(common, "key").select("key", F.col("para").alias("node")), "colliding")
-    wanted = distinct.join(colliding.select(F.col("node").alias("para")).distinct(), "para", "left_semi")
-    sets = shingle_sets(docs, wanted.select("para", "first._id", "first._th", "first.pos"), doc_id, text, how)
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = seen.select(F.explode(F.array(*[f"b{i}" for i in range(bands)])).alias("key"), F.col("para").alias("node")).repartition(n, "key")
+    # one shuffle serves the count and the join; copies of one paragraph are no collision
+    common = keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
+    colliding = written(keys.join(common, "key").distinct(), "colliding")
+    sets = shingle_sets(docs, bit_filter(colliding.select("node").distinct()), text, how)
     links = bucket_links(colliding.join(sets, "node").select("key", "node", "payload"),
                          JaccardAtLeast(how.similarity), how.chunk, numeric=False)
     grouped = duplicate_clusters(links, "u", "v").withColumnRenamed("id", "para")
-    classes = distinct.select("para", "first", "n").join(grouped, "para", "left").where("cluster is not null or n > 1")
-    classes = classes.withColumn("cluster", F.coalesce("cluster", "para"))
+    first = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_th", "pos")).alias("first")
+    distinct = seen.groupBy("para").agg(first, F.count(F.lit(1)).alias("n"))
+    classes = distinct.join(grouped, "para", "left").where("cluster is not null or n > 1")
+    classes = cut_lineage(classes.select("para", "first", F.coalesce("cluster", "para").alias("cluster")))
     keeper = classes.groupBy("cluster").agg(F.min("first").alias("keep"))
     named = classes.select("para", "cluster").join(keeper, "cluster").select("para", "keep")
     own = F.struct(F.col("_id").isNull().alias("none"), "_id", "_th", "pos")
