@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from datetime import timedelta
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marquee.functions import dates as D
 from marquee.functions import text as X
 from marquee.operators.staging import staged
+from marquee.session import cut_lineage
 
 DAY_CODES = ["MO", "TU", "WE", "TH", "FR", "SA", "SU"]
 
@@ -41,6 +40,11 @@ def exception_dates(props: Column, start: Column | None = None) -> Column:
     return F.transform(texts, read)
 
 
+#: Rule parts that are read; a rule with any other names no day and is reported.
+RULE_PARTS = ["FREQ", "INTERVAL", "BYDAY", "BYMONTHDAY", "BYMONTH", "BYSETPOS", "WKST", "COUNT", "UNTIL"]
+LAST_MOMENT = "9999-12-31 23:59:59"
+
+
 def _rule_parts(entries: DataFrame) -> DataFrame:
     """Adds the parts of the rule as columns, each computed once per entry."""
     def part(name: str) -> Column:
@@ -49,15 +53,22 @@ def _rule_parts(entries: DataFrame) -> DataFrame:
     def listed(name: str) -> Column:
         return F.coalesce(F.split(part(name), ","), F.array().cast("array<string>"))
 
-    split = F.str_to_map(F.upper("rule"), F.lit(";"), F.lit("="))
+    def numbers(name: str) -> Column:
+        return F.transform(listed(name), lambda x: x.try_cast("int"))
+
+    split = F.str_to_map(F.upper(F.trim("rule")), F.lit(";"), F.lit("="))
     parts = staged(entries, {"r_parts": split})
+    codes = F.array(*[F.lit(c) for c in DAY_CODES])
     parts = staged(
         parts,
         {
             "r_freq": part("FREQ"),
             "r_step": F.coalesce(part("INTERVAL").try_cast("int"), F.lit(1)),
             "r_days": listed("BYDAY"),
-            "r_dates": listed("BYMONTHDAY"),
+            "r_dates": numbers("BYMONTHDAY"),
+            "r_months": numbers("BYMONTH"),
+            "r_places": numbers("BYSETPOS"),
+            "r_week": F.coalesce(F.array_position(codes, part("WKST")) - 1, F.lit(0)).cast("int"),
             "r_count": part("COUNT").try_cast("int"),
             "r_until_text": part("UNTIL"),
             "r_until_at": D.ics_ts(part("UNTIL")),
@@ -72,65 +83,162 @@ def _rule_parts(entries: DataFrame) -> DataFrame:
         F.col("r_until_at") + last_moment
     )
     clock = F.col("m_start") - F.col("r_first").cast("timestamp_ntz")
-    return staged(parts, {"r_until": until, "r_clock": clock})
+    known = F.array(*[F.lit(c) for c in RULE_PARTS])
+    other = F.array_except(F.map_keys("r_parts"), known)
+    unread = F.exists(F.concat("r_dates", "r_months", "r_places"), lambda x: x.isNull() | (x == 0))
+    frequent = F.col("r_freq").isin("DAILY", "WEEKLY")
+    day = "^([+-]?[1-9][0-9]?)?(MO|TU|WE|TH|FR|SA|SU)$"
+    bad_day = F.exists("r_days", lambda x: ~F.rlike(x, F.lit(day)) | (frequent & (F.length(x) > 2)))
+    reason = (
+        F.when(~F.coalesce(F.col("r_freq").isin("DAILY", "WEEKLY", "MONTHLY", "YEARLY"), F.lit(False)), "FREQ")
+        .when(F.size(other) > 0, F.array_join(F.array_sort(other), ","))
+        .when(F.coalesce(unread, F.lit(False)), "number")
+        .when(F.coalesce(bad_day, F.lit(False)), "BYDAY")
+        .when(part("INTERVAL").isNotNull() & F.coalesce(part("INTERVAL").try_cast("int") < 1, F.lit(True)), "INTERVAL")
+        .when(part("COUNT").isNotNull() & F.col("r_count").isNull(), "COUNT")
+        .when(part("UNTIL").isNotNull() & F.col("r_until_at").isNull(), "UNTIL")
+    )
+    return staged(parts, {"r_until": until, "r_clock": clock, "r_reason": F.when(F.col("rule").isNotNull(), reason)})
 
 
-RULE_COLUMNS = ["r_parts", "r_freq", "r_step", "r_days", "r_dates", "r_count", "r_until_text",
-                "r_until_at", "r_first", "r_until", "r_clock", "r_begin", "r_end"]
+RULE_COLUMNS = ["r_parts", "r_freq", "r_step", "r_days", "r_dates", "r_months", "r_places", "r_week", "r_count",
+                "r_until_text", "r_until_at", "r_first", "r_until", "r_clock", "r_begin", "r_end", "r_days_on", "r_numbers", "r_back"]
 
 
-def rule_moments(entries: DataFrame, low: Column, high: Column) -> DataFrame:
-    """Adds moments: the starts in [low, high] the entry's rule names.
+def _week(d: Column) -> Column:
+    """First day of the rule's week."""
+    return F.date_sub(d, F.pmod(F.weekday(d) - F.col("r_week"), F.lit(7)))
 
-    FREQ DAILY, WEEKLY, MONTHLY and YEARLY with INTERVAL, BYDAY (with ordinals
-    for MONTHLY), BYMONTHDAY, COUNT and UNTIL; other rules name no day.
-    ``low`` may depend on the entry.
-    """
+
+def _months(d: Column) -> Column:
+    return F.year(d) * 12 + F.month(d) - 1
+
+
+def _month_start(number: Column) -> Column:
+    return F.make_date(F.floor(number / 12).cast("int"), F.pmod(number, F.lit(12)).cast("int") + 1, F.lit(1))
+
+
+def _period(d: Column) -> Column:
+    """Number of the day, week, month or year of a rule that holds a day."""
+    freq = F.col("r_freq")
+    return (
+        F.when(freq == "YEARLY", F.year(d))
+        .when(freq == "MONTHLY", _months(d))
+        .when(freq == "WEEKLY", F.unix_date(_week(d)))
+        .otherwise(F.unix_date(d))
+    )
+
+
+def _days_in_step() -> Column:
+    """Days of [r_begin, r_end] in the periods the rule's interval names, those between left out."""
     freq, step, first = F.col("r_freq"), F.col("r_step"), F.col("r_first")
-    by_day, by_date, count = F.col("r_days"), F.col("r_dates"), F.col("r_count")
+    begin, end = F.col("r_begin"), F.col("r_end")
+
+    def stepped(number) -> Column:
+        """Numbers of the periods, the first at or before begin."""
+        behind = number(begin) - number(first)
+        start = number(first) + F.floor(behind / step).cast("int") * step
+        return F.sequence(start, F.greatest(number(end), start), step)
+
+    years = F.transform(stepped(F.year), lambda y: F.sequence(F.make_date(y, F.lit(1), F.lit(1)), F.make_date(y, F.lit(12), F.lit(31))))
+    months = F.transform(stepped(_months), lambda m: F.sequence(_month_start(m), F.last_day(_month_start(m))))
+    weeks = F.transform(stepped(lambda d: F.floor(F.date_diff(_week(d), F.lit("1970-01-05").cast("date")) / 7).cast("int")),
+                        lambda w: F.sequence(F.date_add(F.date_add(F.lit("1970-01-05").cast("date"), w * 7), F.col("r_shift")),
+                                             F.date_add(F.date_add(F.lit("1970-01-05").cast("date"), w * 7), F.col("r_shift") + 6)))
+    days = F.transform(stepped(F.unix_date), lambda n: F.array(F.date_from_unix_date(n)))
+    every = F.when(freq == "YEARLY", years).when(freq == "MONTHLY", months).when(freq == "WEEKLY", weeks).otherwise(days)
+    return F.when(begin <= end, F.flatten(every)).otherwise(F.array().cast("array<date>"))
+
+
+def _fits(d: Column) -> Column:
+    """A day of a named period that the BY parts name."""
+    freq, first = F.col("r_freq"), F.col("r_first")
+    by_day, by_date, by_month = F.col("r_days"), F.col("r_dates"), F.col("r_months")
     codes = F.array(*[F.lit(c) for c in DAY_CODES])
+    code, dom = F.get(codes, F.weekday(d)), F.day(d)
+    no_days, no_dates, no_months = F.size(by_day) == 0, F.size(by_date) == 0, F.size(by_month) == 0
+    in_month = no_months | F.array_contains(by_month, F.month(d))
+    on_date = no_dates | F.array_contains(by_date, dom) | F.array_contains(by_date, dom - F.day(F.last_day(d)) - 1)
+
+    def nth_of(place: Column, length: Column) -> Column:
+        """The day is the n-th, or n-th last, of its weekday in a month or year."""
+        ahead = F.floor((place + 6) / 7).cast("string")
+        back = F.floor((length - place + 7) / 7).cast("string")
+        return F.arrays_overlap(by_day, F.array(
+            code, F.concat(ahead, code), F.concat(F.lit("+"), ahead, code), F.concat(F.lit("-"), back, code)))
+
+    in_the_month = nth_of(dom, F.day(F.last_day(d)))
+    in_the_year = nth_of(F.dayofyear(d), F.dayofyear(F.make_date(F.year(d), F.lit(12), F.lit(31))))
+    on_day = no_days | F.array_contains(by_day, code)
+    start_date = no_days & no_dates & (dom == F.day(first))
+    monthly = start_date | (~(no_days & no_dates) & on_date & (no_days | in_the_month))
+    yearly = (
+        F.when(no_days & no_dates, (dom == F.day(first)) & (~no_months | (F.month(d) == F.month(first))))
+        .when(no_days, on_date)
+        .when(no_months & no_dates, in_the_year)
+        .otherwise(on_date & in_the_month)
+    )
+    weekly_ = F.when(no_days, F.weekday(d) == F.weekday(first)).otherwise(on_day) & on_date
+    return in_month & (
+        F.when(freq == "DAILY", on_day & on_date)
+        .when(freq == "WEEKLY", weekly_)
+        .when(freq == "MONTHLY", monthly)
+        .otherwise(yearly)
+    )
+
+
+def _placed() -> Column:
+    """BYSETPOS: the n-th or n-th last of the days of each period; r_numbers and r_back number the periods."""
+    days, places, numbers = F.col("r_days_on"), F.col("r_places"), F.col("r_numbers")
 
-    def week(d: Column) -> Column:
-        return F.date_sub(d, F.weekday(d))
-
-    def months(d: Column) -> Column:
-        return F.year(d) * 12 + F.month(d)
-
-    def fits(d: Column) -> Column:
-        code, dom = F.get(codes, F.weekday(d)), F.day(d)
-        nth = F.concat(F.floor((dom + 6) / 7).cast("string"), code)
-        back = F.floor((F.day(F.last_day(d)) - dom + 7) / 7).cast("string")
-        plain = F.array_contains(by_day, code)
-        no_days = F.size(by_day) == 0
-        ordinal = F.arrays_overlap(
-            by_day, F.array(nth, F.concat(F.lit("+"), nth), F.concat(F.lit("-"), back, code))
-        )
-        monthly = (
-            F.when(~no_days, plain | ordinal)
-            .when(F.size(by_date) > 0, F.array_contains(by_date, dom.cast("string")))
-            .otherwise(dom == F.day(first))
-        )
-        weekly_ = plain | (no_days & (F.weekday(d) == F.weekday(first)))
-        yearly = (F.month(d) == F.month(first)) & (dom == F.day(first))
-        weeks = F.floor(F.date_diff(week(d), week(first)) / 7)
-        return (
-            F.when(freq == "DAILY", (F.date_diff(d, first) % step == 0) & (no_days | plain))
-            .when(freq == "WEEKLY", (weeks % step == 0) & weekly_)
-            .when(freq == "MONTHLY", ((months(d) - months(first)) % step == 0) & monthly)
-            .when(freq == "YEARLY", ((F.year(d) - F.year(first)) % step == 0) & yearly)
-            .otherwise(F.lit(False))
-        )
+    def kept(d: Column, i: Column) -> Column:
+        own = F.element_at(numbers, i + 1)
+        ahead = (i + 2 - F.array_position(numbers, own)).cast("int")
+        last = F.size(numbers) + 1 - F.array_position("r_back", own)
+        return F.array_contains(places, ahead) | F.array_contains(places, (i - last).cast("int"))
 
+    return F.when(F.size(places) == 0, days).otherwise(F.filter(days, kept))
+
+
+def _period_edges() -> tuple[Column, Column]:
+    """First and last day of the periods that hold r_begin and r_end."""
+    freq, begin, end = F.col("r_freq"), F.col("r_begin"), F.col("r_end")
+    low = (
+        F.when(freq == "YEARLY", F.make_date(F.year(begin), F.lit(1), F.lit(1)))
+        .when(freq == "MONTHLY", _month_start(_months(begin)))
+        .when(freq == "WEEKLY", _week(begin)).otherwise(begin)
+    )
+    high = (
+        F.when(freq == "YEARLY", F.make_date(F.year(end), F.lit(12), F.lit(31)))
+        .when(freq == "MONTHLY", F.last_day(end))
+        .when(freq == "WEEKLY", F.date_add(_week(end), 6)).otherwise(end)
+    )
+    return low, high
+
+
+def rule_moments(entries: DataFrame, low: Column, high: Column) -> DataFrame:
+    """Adds moments, the starts in [low, high] the entry's rule names, and r_reason.
+
+    FREQ DAILY, WEEKLY, MONTHLY and YEARLY with INTERVAL, BYDAY (with ordinals for
+    MONTHLY and YEARLY), BYMONTHDAY from either end, BYMONTH, BYSETPOS, WKST, COUNT and
+    UNTIL, alone or together. A rule with another part names no day; r_reason says
+    which. ``low`` and ``high`` may depend on the entry and on the columns r_*.
+    """
+    parsed = _rule_parts(entries)
+    count, until, clock, first = F.col("r_count"), F.col("r_until"), F.col("r_clock"), F.col("r_first")
     # A counted rule is followed from its first day, any other from the window.
     begin = F.when(count.isNull(), F.greatest(first, F.to_date(low))).otherwise(first)
-    end = F.least(F.to_date(high), F.to_date("r_until"))
-    spans = staged(_rule_parts(entries), {"r_begin": begin, "r_end": end})
-    days = F.when(
-        F.col("r_begin") <= F.col("r_end"), F.sequence(F.col("r_begin"), F.col("r_end"))
-    ).otherwise(F.array().cast("array<date>"))
-    clock, until = F.col("r_clock"), F.col("r_until")
+    end = F.least(F.to_date(high), F.to_date(until))
+    spans = staged(parsed, {"r_begin": begin, "r_end": end, "r_shift": F.col("r_week"), "r_high": high})
+    readable = F.col("r_reason").isNull() & F.col("rule").isNotNull()
+    edge_low, edge_high = _period_edges()
+    on = F.when(readable, F.filter(_days_in_step(), lambda d: d.between(edge_low, edge_high) & _fits(d)))
+    spans = staged(spans, {"r_days_on": F.coalesce(on, F.array().cast("array<date>"))})
+    numbered = F.when(F.size("r_places") > 0, F.transform("r_days_on", lambda d: _period(d).cast("int")))
+    spans = staged(staged(spans, {"r_numbers": numbered}), {"r_back": F.reverse("r_numbers")})
+    chosen = F.filter(_placed(), lambda d: d.between(F.col("r_begin"), F.col("r_end")))
     starts = F.filter(
-        F.transform(F.filter(days, fits), lambda d: d.cast("timestamp_ntz") + clock),
+        F.transform(chosen, lambda d: d.cast("timestamp_ntz") + clock),
         lambda m: until.isNull() | (m <= until),
     )
     spans = staged(spans, {"r_starts": starts})
@@ -138,7 +246,15 @@ def rule_moments(entries: DataFrame, low: Column, high: Column) -> DataFrame:
         F.slice("r_starts", F.lit(1), F.greatest(count, F.lit(0)))
     )
     moments = F.filter(counted, lambda m: m.between(low, high))
-    return staged(spans, {"moments": moments}).drop(*RULE_COLUMNS, "r_starts")
+    spent = F.coalesce(F.size("r_starts") >= count, F.lit(False)) | F.coalesce(F.col("r_high") >= until, F.lit(False))
+    return staged(spans, {"moments": moments, "spent": spent}).drop(*RULE_COLUMNS, "r_starts", "r_shift")
+
+
+def unread_rules(vevents: DataFrame) -> DataFrame:
+    """(feed, block, uid, rule, reason) of entries whose rule is not expanded."""
+    parsed = _rule_parts(_with_times(vevents).where(F.col("rule").isNotNull()))
+    return parsed.where(F.col("r_reason").isNotNull()).select(
+        "feed", "block", "uid", "rule", F.col("r_reason").alias("reason"))
 
 
 def _with_times(vevents: DataFrame) -> DataFrame:
@@ -171,7 +287,7 @@ def expand_rrule(vevents: DataFrame, first, last) -> DataFrame:
     )
     repeats = (
         recurring.withColumn("start", F.explode(F.filter("moments", kept)))
-        .drop("moments", "skipped")
+        .drop("moments", "skipped", "spent", "r_reason", "r_high")
         .join(replaced, ["feed", "uid", "start"], "left_anti")
     )
     single = entries.where(F.col("rule").isNull() & F.col("m_start").between(low, high))
@@ -182,13 +298,29 @@ def expand_rrule(vevents: DataFrame, first, last) -> DataFrame:
     )
 
 
-def next_occurrence(vevents: DataFrame, as_of, horizon_days: int = 800) -> DataFrame:
-    """R2: per entry the first occurrence that is not over yet."""
+#: Periods of a rule looked at in turn for its next occurrence; the last reaches any date.
+LOOKAHEADS = (30, 400, 10_000)
+
+
+def _ahead(periods: int) -> Column:
+    """End of a lookahead of so many of the rule's periods, no later than the last date there is."""
+    step, freq = F.col("r_step").cast("double") * periods, F.col("r_freq")
+    days = F.when(freq == "YEARLY", step * 366).when(freq == "MONTHLY", step * 31).when(freq == "WEEKLY", step * 7).otherwise(step)
+    room = F.date_diff(F.to_date(F.lit(LAST_MOMENT)), F.to_date("cutoff"))
+    until = F.date_add(F.to_date("cutoff"), F.least(F.coalesce(days, F.lit(0.0)), room.cast("double")).cast("int"))
+    return F.least(until.cast("timestamp_ntz"), D.ntz(LAST_MOMENT))
+
+
+def next_occurrence(vevents: DataFrame, as_of) -> DataFrame:
+    """R2: per entry the first occurrence that is not over yet, however far off.
+
+    Most rules answer within the first lookahead; the rest are looked at again with a
+    longer one until they answer, are spent, or the calendar ends.
+    """
     now = D.ntz(as_of)
-    high = D.ntz(D.moment(as_of) + timedelta(days=horizon_days))
     zero = F.make_dt_interval(secs=F.lit(0).cast("decimal(18,6)"))
     length = F.when(F.col("m_end") > F.col("m_start"), F.col("m_end") - F.col("m_start"))
-    entries = staged(
+    todo = staged(
         _with_times(vevents),
         {
             "length": length,
@@ -196,17 +328,25 @@ def next_occurrence(vevents: DataFrame, as_of, horizon_days: int = 800) -> DataF
             "skipped": exception_dates(F.col("props"), F.col("m_start")),
         },
     )
-    entries = rule_moments(entries, F.col("cutoff"), high)
-    ahead = F.filter(
-        "moments", lambda m: ~F.coalesce(F.array_contains("skipped", m), F.lit(False))
-    )
-    start = F.when(F.col("rule").isNull(), F.col("m_start")).otherwise(F.array_min(ahead))
+    columns, answers = todo.columns, []
+    for periods in LOOKAHEADS:
+        tried = rule_moments(todo, F.col("cutoff"), _ahead(periods))
+        ahead = F.filter("moments", lambda m: ~F.coalesce(F.array_contains("skipped", m), F.lit(False)))
+        start = F.when(F.col("rule").isNull(), F.col("m_start")).otherwise(F.array_min(ahead))
+        tried = cut_lineage(staged(tried, {"start": start}).drop("moments"))
+        ended = F.col("spent") | F.col("r_reason").isNotNull() | (F.col("r_high") >= D.ntz("9999-12-31 00:00:00"))
+        answers.append(tried.where(F.col("start").isNotNull()).select(*columns, "start"))
+        todo = tried.where(F.col("start").isNull() & F.col("rule").isNotNull() & ~ended).select(*columns)
+        if todo.isEmpty():
+            break
+    found = answers[0]
+    for more in answers[1:]:
+        found = found.unionByName(more)
     end = F.when(
         F.col("rule").isNull() & F.col("length").isNull(), F.col("m_end")
     ).otherwise(F.col("start") + F.col("length"))
     return (
-        staged(entries, {"start": start})
-        .withColumn("end", end)
+        found.withColumn("end", end)
         .where(F.coalesce("end", "start") >= now)
         .select("feed", "block", "uid", "start", "end")
     )

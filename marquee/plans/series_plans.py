@@ -124,8 +124,8 @@ def _(t):
 # week, counted every third day, or single.
 LOW, HIGH = "1998-06-17 10:30:00", "1998-09-30 23:59:59"
 RRULE_SQL = f"""
-WITH base AS (SELECT id, event_date AS s, CAST(event_date AS DATE) AS d0, source FROM listings WHERE event_date >= TIMESTAMP '1998-01-01' AND event_date < TIMESTAMP '1998-10-01'),
- days AS (SELECT CAST(unnest(generate_series(TIMESTAMP '1998-01-01', TIMESTAMP '1998-10-31', INTERVAL 1 DAY)) AS DATE) AS d),
+WITH base AS (SELECT id, event_date AS s, CAST(event_date AS DATE) AS d0, source FROM listings),
+ days AS (SELECT CAST(unnest(generate_series(TIMESTAMP '1998-01-01', TIMESTAMP '2003-12-31', INTERVAL 1 DAY)) AS DATE) AS d),
  occ AS (
   SELECT b.id, b.source, d + (s - CAST(d0 AS TIMESTAMP)) AS moment FROM base b JOIN days ON d >= d0
    WHERE id % 3 = 0 AND isodow(d) IN (1, 4)
@@ -149,8 +149,7 @@ def _vevents(t):
     exdate = F.create_map(F.lit("EXDATE;TZID=America/Los_Angeles"),
                           F.concat(F.lit("19980706T"), F.date_format("event_date", "HHmmss")))
     props = F.when(rule.isNull(), props).otherwise(F.map_concat(props, exdate, F.create_map(F.lit("RRULE"), rule)))
-    kept = t.listings.where("event_date >= timestamp_ntz'1998-01-01 00:00:00' and event_date < timestamp_ntz'1998-10-01 00:00:00'")
-    return kept.select(F.col("source").alias("feed"), F.col("id").alias("block"), props.alias("props"))
+    return t.listings.select(F.col("source").alias("feed"), F.col("id").alias("block"), props.alias("props"))
 
 
 @query("r1_expand_rrule", f"""{RRULE_SQL}
@@ -168,6 +167,67 @@ def _(t):
     return plain(R.next_occurrence(_vevents(t), LOW).select("block", "start"))
 
 
+# Rules of many parts, an UNTIL, an override by another entry, and rules that are not read.
+PARTS = [
+    "FREQ=MONTHLY;BYDAY=MO,TU,WE,TH,FR;BYSETPOS=-1", "FREQ=MONTHLY;BYDAY=FR;BYMONTHDAY=13", "FREQ=WEEKLY;BYMONTH=6,7",
+    "FREQ=MONTHLY;BYMONTHDAY=-1;INTERVAL=2", "FREQ=YEARLY;BYMONTH=11;BYDAY=4TH", "FREQ=YEARLY;UNTIL=20010101T000000",
+    "FREQ=WEEKLY;INTERVAL=2;WKST=SU;BYDAY=SU,MO", "FREQ=MONTHLY;BYDAY=-1SU,2TU", "FREQ=YEARLY;BYWEEKNO=20", "FREQ=YEARLY;INTERVAL=4",
+]
+MONTHS_ON = "(year(d) * 12 + month(d) - year(d0) * 12 - month(d0))"
+PARTS_SQL = f"""
+WITH base AS (SELECT id, source, event_date AS s, CAST(event_date AS DATE) AS d0, id % {len(PARTS)} AS k FROM listings),
+ days AS (SELECT CAST(unnest(generate_series(TIMESTAMP '1999-01-01', TIMESTAMP '2003-12-31', INTERVAL 1 DAY)) AS DATE) AS d),
+ occ AS (
+  SELECT id, k, d, d + (s - CAST(d0 AS TIMESTAMP)) AS moment FROM base JOIN days ON d >= d0 AND CASE k
+   WHEN 0 THEN d = last_day(d) - CASE isodow(last_day(d)) WHEN 6 THEN 1 WHEN 7 THEN 2 ELSE 0 END
+   WHEN 1 THEN day(d) = 13 AND isodow(d) = 5
+   WHEN 2 THEN isodow(d) = isodow(d0) AND month(d) IN (6, 7)
+   WHEN 3 THEN d = last_day(d) AND {MONTHS_ON} % 2 = 0
+   WHEN 4 THEN month(d) = 11 AND isodow(d) = 4 AND day(d) BETWEEN 22 AND 28
+   WHEN 5 THEN month(d) = month(d0) AND day(d) = day(d0) AND d + (s - CAST(d0 AS TIMESTAMP)) <= TIMESTAMP '2001-01-01'
+   WHEN 6 THEN isodow(d) IN (7, 1) AND ((d - CAST(isodow(d) % 7 AS INT)) - (d0 - CAST(isodow(d0) % 7 AS INT))) % 14 = 0
+   WHEN 7 THEN (isodow(d) = 7 AND day(d) > day(last_day(d)) - 7) OR (isodow(d) = 2 AND day(d) BETWEEN 8 AND 14)
+   WHEN 9 THEN month(d) = month(d0) AND day(d) = day(d0) AND (year(d) - year(d0)) % 4 = 0
+   ELSE false END)
+"""
+
+
+def _ruled(t):
+    rules = F.array(*[F.lit(r) for r in PARTS])
+    k = (F.col("id") % len(PARTS)).cast("int")
+    start = F.date_format("event_date", "yyyyMMdd'T'HHmmss")
+    props = F.create_map(F.lit("UID"), F.col("id").cast("string"), F.lit("DTSTART"), start, F.lit("RRULE"), F.get(rules, k))
+    series = t.listings.select(F.col("source").alias("feed"), F.col("id").alias("block"), props.alias("props"))
+    # one occurrence of each weekly series in June is moved by an entry of its own
+    moved = F.date_add(F.lit("2000-06-05").cast("date"), F.pmod(F.weekday("event_date"), F.lit(7)))
+    at = F.concat(F.date_format(moved, "yyyyMMdd"), F.date_format("event_date", "'T'HHmmss"))
+    own = F.create_map(F.lit("UID"), F.col("id").cast("string"), F.lit("DTSTART"), F.lit("20000701T120000"), F.lit("RECURRENCE-ID"), at)
+    changed = t.listings.where(k == 2).select(
+        F.col("source").alias("feed"), (-F.col("id")).alias("block"), own.alias("props"))
+    return series.unionByName(changed)
+
+
+@query("r1_rule_parts", f"""{PARTS_SQL}
+SELECT id AS block, {TS.format('moment')} AS start FROM occ WHERE NOT (k = 2 AND d BETWEEN DATE '2000-06-05' AND DATE '2000-06-11')
+UNION ALL SELECT -id, '2000-07-01 12:00:00' FROM base WHERE k = 2
+""".strip(), "listings")
+def _(t):
+    return plain(R.expand_rrule(_ruled(t), "1999-01-01 00:00:00", "2003-12-31 23:59:59").select("block", "start"))
+
+
+@query("r1_unread_rules", "SELECT id AS block, 'BYWEEKNO' AS reason FROM listings WHERE id % 10 = 8", "listings")
+def _(t):
+    return R.unread_rules(_ruled(t)).select("block", "reason")
+
+
+@query("r2_next_of_rule_parts", f"""{PARTS_SQL}
+SELECT id AS block, {TS.format('min(moment)')} AS start FROM occ GROUP BY id
+UNION ALL SELECT -id, '2000-07-01 12:00:00' FROM base WHERE k = 2
+""".strip(), "listings")
+def _(t):
+    return plain(R.next_occurrence(_ruled(t), "1999-01-01 00:00:00").select("block", "start"))
+
+
 @query("r3_expand_series", f"""
 WITH base AS (SELECT id, event_date AS s, end_date AS e, url, id % 7 AS wd,
     CASE WHEN id % 4 = 0 THEN TRUE ELSE FALSE END AS named, epoch(end_date - event_date) / 86400 AS span FROM listings),

@@ -22,6 +22,11 @@ RULES = [
     "FREQ=DAILY;INTERVAL=2;COUNT=7", "FREQ=WEEKLY;BYDAY=MO,WE,FR", "FREQ=WEEKLY;INTERVAL=3",
     "FREQ=MONTHLY;BYDAY=2TU", "FREQ=MONTHLY;BYDAY=-1FR;COUNT=3", "FREQ=MONTHLY", "FREQ=MONTHLY;BYMONTHDAY=15",
     "FREQ=YEARLY", "FREQ=WEEKLY;UNTIL=20260701T000000", "FREQ=DAILY;BYDAY=SA,SU",
+    "FREQ=MONTHLY;BYDAY=MO,TU,WE,TH,FR;BYSETPOS=-1", "FREQ=MONTHLY;BYDAY=FR;BYMONTHDAY=13", "FREQ=WEEKLY;BYMONTH=6,7",
+    "FREQ=MONTHLY;BYMONTHDAY=-1", "FREQ=MONTHLY;BYMONTHDAY=31,-31;INTERVAL=2", "FREQ=YEARLY;BYMONTH=11;BYDAY=4TH", "FREQ=YEARLY;BYDAY=20MO,-1SU",
+    "FREQ=YEARLY;BYMONTH=2,8", "FREQ=YEARLY;BYMONTHDAY=1,-1", "FREQ=YEARLY;BYDAY=MO;BYMONTHDAY=7", "FREQ=DAILY;BYMONTH=3;INTERVAL=5",
+    "FREQ=WEEKLY;INTERVAL=2;WKST=SU;BYDAY=SU,MO", "FREQ=MONTHLY;BYDAY=SA;BYSETPOS=1,3;COUNT=5", "FREQ=YEARLY;BYMONTH=1,6;BYDAY=TU;BYSETPOS=2,-1",
+    "FREQ=DAILY;BYMONTHDAY=-1,15",
 ]
 
 
@@ -38,6 +43,17 @@ def test_rules_agree_with_a_calendar_library(spark):
         assert sorted(got.get(i, [])) == rrulestr(rule, dtstart=start).between(low, high, inc=True), rule
 
 
+def test_the_next_occurrence_has_no_horizon(spark):
+    rules = ["FREQ=YEARLY;INTERVAL=4", "FREQ=YEARLY;INTERVAL=90", "FREQ=YEARLY;BYMONTH=2;BYMONTHDAY=29", "FREQ=YEARLY;UNTIL=20250601T000000",
+             "FREQ=DAILY;COUNT=3", "FREQ=YEARLY;INTERVAL=4;COUNT=2", "FREQ=HOURLY", "FREQ=MONTHLY;BYDAY=FR;BYMONTHDAY=13"]
+    rows = [("f", i, {"UID": str(i), "DTSTART": "20250101T100000", "RRULE": r}) for i, r in enumerate(rules)]
+    df = spark.createDataFrame(rows, "feed string, block int, props map<string,string>")
+    got = {r.block: r.start for r in R.next_occurrence(df, "2026-01-01").collect()}
+    assert got == {0: datetime(2029, 1, 1, 10), 1: datetime(2115, 1, 1, 10), 2: datetime(2028, 2, 29, 10),
+                   5: datetime(2029, 1, 1, 10), 7: datetime(2026, 2, 13, 10)}
+    assert [(r.block, r.reason) for r in R.unread_rules(df).collect()] == [(6, "FREQ")]
+
+
 def test_replaced_occurrence_is_left_to_its_own_entry(spark):
     rows = [
         ("f", 0, {"UID": "a", "DTSTART": "20260105T100000", "RRULE": "FREQ=WEEKLY;COUNT=3", "EXDATE": "20260112T100000"}),
