@@ -274,6 +274,8 @@ MARKETS = [
 
 # Source category tag -> category (C7) and ordered rules.
 CATEGORY_TAGS = {
+    "arts & theatre": "Theater", "theatre": "Theater", "art": "Art", "museums": "Art",
+    "art & museums": "Art",
     "music": "Music", "food & drink": "Food & Drink", "food": "Food & Drink",
     "sports & active": "Sports", "sports": "Sports", "outdoors & adventure": "Wellness",
     "outdoors": "Wellness", "film": "Film", "nightlife": "Nightlife",
@@ -294,3 +296,11 @@ VENUE_STOP_PHRASES = [
 VENUE_STOP_VERBS = (
     "has|have|had|is|are|was|were|will|would|could|should|created|held|said|told"
 )
+
+# How an article writes a date (S10), tried in this order.
+ARTICLE_DATE_PATTERNS = [
+    r"(?:Monday|Tuesday|Wednesday|Thursday|Friday|Saturday|Sunday),?\s+([A-Z][a-z]+ \d{1,2}(?:,?\s+\d{4})?)",
+    r"([A-Z][a-z]+ \d{1,2}(?:st|nd|rd|th)?,?\s+\d{4})",
+    r"([A-Z][a-z]+ \d{1,2}(?:st|nd|rd|th)?)",
+]
+ARTICLE_CLOCK_PATTERN = r"(?i)(\d{1,2}(?::\d{2})?\s*[AP]M)"

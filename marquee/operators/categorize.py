@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marquee import fixed_values as V
@@ -153,6 +153,11 @@ def rule_category(
     return df.withColumn(column, chosen)
 
 
+def category_tags(spark: SparkSession) -> DataFrame:
+    """The shipped dictionary (tag, category)."""
+    return small_table(spark, list(V.CATEGORY_TAGS.items()), "tag string, category string")
+
+
 def map_category(
     df: DataFrame, raw: str, dimension: DataFrame, default: str = "Other", column: str = "category"
 ) -> DataFrame:

@@ -54,18 +54,23 @@ def _(t):
 
 
 def _ld_pages(t):
-    k = F.col("id") % 4
+    """Events alone, in a list, a graph, an item list, below a place, three levels down; some dated in words, one unreadable."""
+    k = F.col("id") % 7
     place = F.struct(F.lit("Place").alias("@type"), F.col("venue_name").alias("name"),
                      F.struct(F.col("address").alias("streetAddress")).alias("address"),
                      F.struct("latitude", "longitude").alias("geo"))
+    told = F.date_format("event_date", "MMMM d, yyyy h:mm a")
+    start = F.when(F.col("id") % 9 == 0, told).when(F.col("id") % 9 == 1, "some day").otherwise(iso("event_date"))
     node = F.to_json(F.struct(
         F.when(k == 1, "MusicEvent").otherwise("Event").alias("@type"), F.col("title").alias("name"),
-        iso("event_date").alias("startDate"), iso("end_date").alias("endDate"), place.alias("location"),
+        start.alias("startDate"), iso("end_date").alias("endDate"), place.alias("location"),
         F.array("image_url").alias("image"), F.col("url"),
         F.when(F.col("is_free"), F.struct(F.lit("0").alias("price"))).otherwise(
             F.struct(F.round("price", 2).cast("string").alias("price"))).alias("offers")))
     ld = (F.when(k == 0, node).when(k == 1, F.concat(F.lit("["), node, F.lit(', {"@type": "Place", "name": "x"}]')))
           .when(k == 2, F.concat(F.lit('{"@context": "x", "@graph": ['), node, F.lit("]}")))
+          .when(k == 3, F.concat(F.lit('{"@type": "Place", "name": "x", "event": ['), node, F.lit("]}")))
+          .when(k == 4, F.concat(F.lit('{"@graph": [{"@type": "WebPage", "mainEntity": {"about": '), node, F.lit("}}]}")))
           .otherwise(F.concat(F.lit('{"@type": "ItemList", "itemListElement": [{"item": '), node, F.lit("}]}"))))
     html = F.concat(F.lit('<html><script type="application/ld+json">{broken</script>'
                           '<script data-x type="application/ld+json">\n'), ld, F.lit("</script><p>x</p></html>"))
@@ -75,13 +80,18 @@ def _ld_pages(t):
 @query("s6_json_ld", f"""
 SELECT id AS page_id, trim(title) AS title, {TS.format("event_date")} AS event_date, {TS.format("end_date")} AS end_date,
   venue_name, address, image_url, CASE WHEN url = '' THEN 'https://p.example.com/' ELSE url END AS url,
-  CASE WHEN NOT is_free THEN round(price, 2) END AS price, is_free FROM listings
+  CASE WHEN NOT is_free THEN round(price, 2) END AS price, is_free FROM listings WHERE id % 9 <> 1
 """, "listings")
 def _(t):
     return plain(S.from_json_ld(_ld_pages(t)).select(
         "page_id", "title", "event_date", "end_date", "venue_name", "address", "image_url", "url", "price", "is_free"))
 
 
+@query("s6_rejected_events", "SELECT id AS page_id, 'some day' AS start_text, 'startDate' AS reason FROM listings WHERE id % 9 = 1", "listings")
+def _(t):
+    return S.rejected_events(_ld_pages(t)).select("page_id", "start_text", "reason")
+
+
 @query("s7_page_state", f"""
 SELECT source, id, title, {TS.format("event_date")} AS event_date FROM listings
 """, "listings")
@@ -157,12 +167,15 @@ def _(t):
     return _ics_rows(S.read_ics(t.spark, folder).withColumn("feed", F.lit("file")))
 
 
-def _rss(t):
-    k = F.col("id") % 3
-    body = F.concat(
-        F.lit("&lt;p&gt;Come "), F.when(k == 0, F.concat(F.date_format("event_date", "EEEE, MMMM d"), F.lit(" 1998")))
-        .when(k == 1, "soon").otherwise("later"), F.lit(", at The Sunset Hall, $"), (F.col("id") % 90).cast("string"), F.lit(".&lt;/p&gt;"))
-    published = F.when(k == 1, "Mon, 08 Jun 1998 09:30:00 GMT").otherwise("Thu, 01 Jan 1998 09:30:00 GMT")
+def _rss(t, published_at="08 Jun 1998 09:30:00"):
+    """Articles that name a day with a clock, one of last year first, no day, or are old."""
+    k = F.col("id") % 5
+    month_day = F.date_format("event_date", "EEEE, MMMM d")
+    said = (F.when(k == 0, F.concat(month_day, F.lit(" from 7:30pm"))).when(k == 1, "soon")
+            .when(k == 2, F.concat(F.lit("on "), F.date_format("event_date", "MMMM d"), F.lit("th, 1998, not Monday, March 3, 1997")))
+            .when(k == 3, F.concat(month_day, F.lit(" 1998"))).otherwise("on Friday, Hall 12"))
+    body = F.concat(F.lit("&lt;p&gt;Come "), said, F.lit(", at The Sunset Hall, $"), (F.col("id") % 90).cast("string"), F.lit(".&lt;/p&gt;"))
+    published = F.when(k == 3, "Thu, 01 Jan 1998 09:30:00 GMT").otherwise(f"Mon, {published_at} GMT")
     item = F.concat(
         F.lit('<item xmlns:content="c" xmlns:media="m"><title>T '), F.col("id").cast("string"), F.lit("</title><link>https://n.example.com/"), F.col("id").cast("string"),
         F.lit("</link><pubDate>"), published, F.lit("</pubDate><description>About</description><content:encoded>"), body,
@@ -170,11 +183,16 @@ def _rss(t):
     return t.listings.select("id", item.alias("payload"))
 
 
-RSS_ROWS = """
+_NAMED = "(TIMESTAMP '1998-01-01' + INTERVAL '1' MONTH * (month(event_date) - 1) + INTERVAL '1' DAY * (day(event_date) - 1))"
+_REAL = "NOT (month(event_date) = 2 AND day(event_date) = 29)"
+_NEAR = "floor(epoch(TIMESTAMP '1998-06-17 10:30:00' - {0}) / 86400) < 60"
+RSS_ROWS = f"""
 SELECT id, 'T ' || id AS title, 'https://n.example.com/' || id AS url, 'The Sunset Hall' AS venue_name,
-  CASE WHEN id % 3 = 0 THEN '1998-' || strftime(event_date, '%m-%d 00:00:00') ELSE '1998-06-08 09:30:00' END AS event_date,
+  strftime(CASE WHEN id % 5 = 0 AND {_REAL} AND {_NEAR.format("(" + _NAMED + " + INTERVAL '1170' MINUTE)")} THEN {_NAMED} + INTERVAL '1170' MINUTE
+    WHEN id % 5 = 2 AND {_REAL} AND {_NEAR.format(_NAMED)} THEN {_NAMED}
+    ELSE TIMESTAMP '1998-06-08 09:30:00' END, '%Y-%m-%d %H:%M:%S') AS event_date,
   CAST(id % 90 AS DOUBLE) AS price, '/i.jpg' AS image_url
-FROM listings WHERE id % 3 <> 2 AND NOT (id % 3 = 0 AND month(event_date) = 2 AND day(event_date) = 29)
+FROM listings WHERE id % 5 <> 3
 """
 
 
@@ -184,6 +202,17 @@ def _(t):
     return plain(rows.select("id", "title", "url", "venue_name", "event_date", "price", "image_url"))
 
 
+@query("s10_read_rss", RSS_ROWS.replace("SELECT id, 'T '", "SELECT 'T '"), "listings")
+def _(t):
+    """The same items written as feed files and read by the file reader."""
+    folder = job_folder(t.spark, "rss")
+    items = _rss(t).join(t.listings.select("id", "source"), "id")
+    files = items.groupBy("source").agg(F.concat(F.lit("<channel>"), F.array_join(F.collect_list("payload"), ""), F.lit("</channel>")).alias("value"))
+    files.write.partitionBy("source").text(folder)
+    rows = S.from_rss(S.read_rss(t.spark, folder), AS_OF)
+    return plain(rows.select("title", "url", "venue_name", "event_date", "price", "image_url"))
+
+
 @query("s11_html_cards", f"""
 SELECT id AS page_id, CAST(p AS BIGINT) AS pos, title || ' &' AS title, 'https://s.example.com/e/' || id || '/' || p AS link, {TS.format("event_date")} AS starts
 FROM listings, (SELECT unnest([0, 1]) AS p)

@@ -101,14 +101,19 @@ def _(t):
     return C.rule_category(rows, "x", V.BAR_NIGHT_RULES, "Nightlife").select("id", "category")
 
 
-@query("c7_map_category", """
-SELECT l.id, coalesce(n.n_name, 'Other') AS category FROM listings l
-LEFT JOIN nation n ON lower(n.n_name) = lower(l.source) AND n.n_nationkey % 2 = 0
+TAGS_SQL = ", ".join("('" + k.replace("'", "''") + f"', '{v}')" for k, v in V.CATEGORY_TAGS.items())
+
+
+@query("c7_map_category", f"""
+SELECT l.id, coalesce(d.category, 'Other') AS category
+FROM (SELECT id, CASE id % 5 WHEN 0 THEN 'Arts & Theatre' WHEN 1 THEN 'museums' WHEN 2 THEN category WHEN 3 THEN 'FAMILY' ELSE 'odd' END AS tag FROM listings) l
+LEFT JOIN (VALUES {TAGS_SQL}) d(tag, category) ON d.tag = lower(l.tag)
 """, "listings")
 def _(t):
-    dim = t.raw("nation").where("n_nationkey % 2 = 0").select(
-        F.col("n_name").alias("tag"), F.col("n_name").alias("category"))
-    return C.map_category(t.listings.drop("category"), "source", dim).select("id", "category")
+    k = F.col("id") % 5
+    tag = F.when(k == 0, "Arts & Theatre").when(k == 1, "museums").when(k == 2, F.col("category")).when(k == 3, "FAMILY").otherwise("odd")
+    rows = t.listings.withColumn("tag", tag).drop("category")
+    return C.map_category(rows, "tag", C.category_tags(t.spark)).select("id", "category")
 
 
 NAMED = in_area_sql("address", "venue_name")

@@ -39,7 +39,7 @@ def checkpoint_root(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
         if not configured:
-            if not context.master.startswith("local"):
+            if context.master != "local" and not context.master.startswith("local["):
                 raise ValueError("set spark.checkpoint.dir to a shared folder")
             configured = tempfile.mkdtemp(prefix="marquee-ckpt-")
         context.setCheckpointDir(configured)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marquee import fixed_values as V
 from marquee.functions import dates as D
 from marquee.functions import price as P
 from marquee.functions import text as X
@@ -59,82 +60,103 @@ def _as_list(v: Column, path: str) -> Column:
     return F.coalesce(many, F.when(one.isNotNull(), F.array(one)), F.array().cast("array<variant>"))
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _events_within(scripts: pd.Series) -> pd.Series:
+    """Objects of a type that ends in Event, as JSON, wherever they stand in the scripts of a page."""
+    def walk(top) -> list[str]:
+        found, waiting = [], [top]
+        while waiting:
+            node = waiting.pop()
+            if isinstance(node, dict):
+                kinds = node.get("@type")
+                kinds = kinds if isinstance(kinds, list) else [kinds]
+                if any(isinstance(k, str) and k.endswith("Event") for k in kinds):
+                    found.append(json.dumps(node))
+                waiting += list(node.values())[::-1]
+            elif isinstance(node, list):
+                waiting += node[::-1]
+        return found
+
+    def page(texts) -> list[str]:
+        out: list[str] = []
+        for text in texts if texts is not None else ():
+            try:
+                out += walk(json.loads(text))
+            except (ValueError, RecursionError):
+                continue
+        return out
+
+    return scripts.map(page)
+
+
+EVENT_SCHEMA = (
+    "name string, description string, startDate string, endDate string, url string, eventStatus string, "
+    "location string, image string, offers string"
+)
+
+
 def json_ld_nodes(pages: DataFrame, keep: list[str] = ("page_id", "url")) -> DataFrame:
-    """Every JSON-LD node of a page: top level, @graph, and list items."""
+    """Every event of a page's JSON-LD, however deep: pos and the node's members as text."""
     scripts = F.regexp_extract_all(
         X.text_or_empty("html"),
         F.lit(r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"),
         F.lit(1),
     )
-    blocks = pages.select(*keep, F.posexplode(scripts).alias("block", "json"))
-    blocks = staged(blocks, {"__v": J.parsed("json")})
-    top = blocks.select(*keep, "block", F.explode(_as_list(F.col("__v"), "$")).alias("top"))
-    v = F.col("top")
-    nested = F.concat(
-        F.array(v),
-        _as_list(v, "$['@graph']"),
-        F.transform(
-            _as_list(v, "$.itemListElement"),
-            lambda e: F.coalesce(F.try_variant_get(e, "$.item", "variant"), e),
-        ),
-    )
-    return top.select(*keep, "block", F.posexplode(nested).alias("pos", "node"))
+    marked = pages.where(F.contains(F.lower("html"), F.lit("ld+json"))).select(*keep, scripts.alias("scripts"))
+    found = marked.select(*keep, F.posexplode(_events_within("scripts")).alias("pos", "node"))
+    found = found.withColumnRenamed("url", "__page_url")
+    kept = [c if c != "url" else "__page_url" for c in keep]
+    return staged(found, {"e": F.from_json("node", EVENT_SCHEMA)}).select(*kept, "pos", "node", "e.*")
+
+
+def _read_events(nodes: DataFrame) -> DataFrame:
+    """Adds the dates and the first place, image and offer of each event."""
+    def first(member: str) -> Column:
+        """The object of a member, or of the first of its list; text that is neither gives NULL."""
+        v = J.parsed(F.when(F.rlike(F.col(member), F.lit(r"^\s*[\[{]")), F.col(member)))
+        return F.coalesce(F.try_variant_get(v, "$[0]", "variant"), v)
+
+    def read(member: str) -> Column:
+        return F.coalesce(D.to_local(member), D.parse_date(member))
+
+    rows = staged(nodes, {
+        "__place": first("location"), "__image": first("image"), "__offer": first("offers"),
+        "event_date": read("startDate"), "end_date": read("endDate"),
+    })
+    return staged(rows, {"__cost": J.price_from_offer("__offer", "$"), "title": X.squeeze(X.text_or_empty("name"))})
 
 
 def event_rows(nodes: DataFrame, keep: list[str] = ("page_id", "url")) -> DataFrame:
-    """Listing columns of the nodes that are events."""
-    types = F.coalesce(
-        F.try_variant_get("node", "$['@type']", "array<string>"),
-        F.array(F.try_variant_get("node", "$['@type']", "string")),
-    )
-    events = nodes.where(F.exists(types, lambda x: F.endswith(x, F.lit("Event"))))
-
-    def one(path: str) -> Column:
-        """The value, or the first of a list of values."""
-        first = F.try_variant_get("node", f"{path}[0]", "variant")
-        return F.coalesce(first, F.try_variant_get("node", path, "variant"))
-
-    rows = staged(
-        events,
-        {
-            "__name": J.text_at("node", "$.name"),
-            "__about": J.text_at("node", "$.description"),
-            "__start": J.text_at("node", "$.startDate"),
-            "__end": J.text_at("node", "$.endDate"),
-            "__url": J.text_at("node", "$.url"),
-            "__status": J.text_at("node", "$.eventStatus"),
-            "__place": one("$.location"),
-            "__image": one("$.image"),
-            "__offer": one("$.offers"),
-        },
-    )
-    rows = staged(
-        rows,
-        {
-            "event_date": D.to_local("__start"),
-            "end_date": D.to_local("__end"),
-            "__cost": J.price_from_offer("__offer", "$"),
-        },
-    )
-    page_url = [c for c in keep if c != "url"]
+    """Listing columns of the event nodes that have a name and a date."""
+    rows = _read_events(nodes)
+    image = F.when(~F.rlike("image", F.lit(r"^\s*[\[{]")), F.col("image"))
+    page_url = F.col("__page_url") if "url" in keep else F.lit("")
     return rows.select(
-        *page_url,
-        X.squeeze("__name").alias("title"),
-        X.strip_html("__about").alias("description"),
+        *[c for c in keep if c != "url"],
+        "title",
+        X.strip_html("description").alias("description"),
         F.coalesce(J.text_at("__place", "$.name"), F.lit("")).alias("venue_name"),
         J.postal_address("__place", "$").alias("address"),
         J.number_at("__place", "$.geo.latitude").alias("latitude"),
         J.number_at("__place", "$.geo.longitude").alias("longitude"),
         "event_date",
         "end_date",
-        F.coalesce("__url", F.col("url") if "url" in keep else F.lit("")).alias("url"),
-        F.coalesce(J.text_at("__image", "$.url"), J.scalar_at("__image", "$"), F.lit("")).alias("image_url"),
+        F.coalesce(X.blank_to_null("url"), page_url).alias("url"),
+        F.coalesce(J.text_at("__image", "$.url"), J.scalar_at("__image", "$"), image, F.lit("")).alias("image_url"),
         F.col("__cost.price").alias("price"),
         F.col("__cost.is_free").alias("is_free"),
-        F.coalesce("__status", F.lit("")).alias("status"),
+        X.text_or_empty("eventStatus").alias("status"),
     ).where((F.col("title") != "") & F.col("event_date").isNotNull())
 
 
+def rejected_events(pages: DataFrame, keep: list[str] = ("page_id", "url")) -> DataFrame:
+    """Events that give no listing, with what they say: no name, or a date that is not read."""
+    rows = _read_events(json_ld_nodes(pages, keep))
+    reason = F.when(F.col("title") == "", "name").when(F.col("event_date").isNull(), "startDate")
+    return rows.where(reason.isNotNull()).select(
+        *[c for c in keep if c != "url"], "pos", "title", F.col("startDate").alias("start_text"), reason.alias("reason"))
+
+
 def from_json_ld(pages: DataFrame) -> DataFrame:
     """Page HTML to listing rows."""
     return event_rows(json_ld_nodes(pages))
@@ -332,26 +354,36 @@ def rss_items(df: DataFrame, payload: str = "payload") -> DataFrame:
 
 
 def article_date(content: str, published: str, as_of, grace_days: int = 30) -> Column:
-    """Date named in an article, else a recent publication stamp, else NULL."""
-    text, now = X.text_or_empty(content), D.moment(as_of)
-    days = "Monday|Tuesday|Wednesday|Thursday|Friday|Saturday|Sunday"
-    patterns = [
-        rf"(?:{days}),?\s+([A-Z][a-z]+ \d{{1,2}}(?:,?\s+\d{{4}})?)",
-        r"([A-Z][a-z]+ \d{1,2}(?:st|nd|rd|th)?,?\s+\d{4})",
-        r"([A-Z][a-z]+ \d{1,2}(?:st|nd|rd|th)?)",
-    ]
-    tries = []
-    for pattern in patterns:
-        found = F.regexp_replace(F.regexp_extract(text, pattern, 1), r"(?<=\d)(?:st|nd|rd|th)", "")
-        found = F.regexp_replace(found, ",", "")
-        dated = F.when(found.rlike(r"\d{4}$"), found).otherwise(F.concat(found, F.lit(f" {now.year}")))
-        tries.append(F.when(found != "", D.parse_date(dated, ["MMMM d yyyy", "MMM d yyyy"])))
+    """The date a recent article names, with the clock near it, else its publication stamp.
+
+    An article published more than ``grace_days`` ago has no date, whatever it names. A
+    date without a year is of the year of publication. Of each pattern the first hit
+    counts; one that is no date, or lies 60 days or more back or two years or more
+    ahead, leaves the choice to the next pattern.
+    """
+    text, now = X.text_or_empty(content), D.ntz(as_of)
     stamp = F.regexp_extract(
         X.text_or_empty(published), r"(\d{1,2} [A-Z][a-z]{2} \d{4} \d{2}:\d{2}:\d{2})", 1
     )
     stamped = D.parse_date(stamp, ["d MMM yyyy HH:mm:ss"])
-    fresh = F.floor(D.seconds_between(D.ntz(now), stamped) / 86400) <= grace_days
-    return F.coalesce(*tries, F.when(fresh, stamped))
+
+    def whole_days(later: Column, earlier: Column) -> Column:
+        return F.floor(D.seconds_between(later, earlier) / 86400)
+
+    year = F.coalesce(F.year(stamped), F.year(now)).cast("string")
+    tries = []
+    for pattern in V.ARTICLE_DATE_PATTERNS:
+        near = rf"(?s){pattern}(.{{0,80}})"
+        found = F.regexp_replace(F.regexp_extract(text, near, 1), r"(?<=\d)(?:st|nd|rd|th)|,", "")
+        clock = F.upper(F.regexp_extract(F.regexp_extract(text, near, 2), V.ARTICLE_CLOCK_PATTERN, 1))
+        clock = F.regexp_replace(clock, r"^(\d{1,2})(:\d{2})?\s*([AP]M)$", "$1$2 $3")
+        dated = F.when(found.rlike(r"\d{4}$"), found).otherwise(F.concat(found, F.lit(" "), year))
+        both = F.concat_ws(" ", F.regexp_replace(dated, r"\s+", " "), X.blank_to_null(clock))
+        moment = D.parse_date(both, [f"{m} d yyyy{c}" for m in ("MMMM", "MMM") for c in (" h:mm a", " h a", "")])
+        plausible = (whole_days(now, moment) < 60) & (whole_days(moment, now) < 730)
+        tries.append(F.when((found != "") & plausible, moment))
+    old = F.coalesce(whole_days(now, stamped) > grace_days, F.lit(False))
+    return F.when(~old, F.coalesce(*tries, stamped))
 
 
 def from_rss(items: DataFrame, as_of, default_address: str = "Santa Monica, CA") -> DataFrame:
