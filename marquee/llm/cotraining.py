@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marquee.llm.common import text_bytes, widened, written
+from marquee.llm.common import hashed_sample, text_bytes, widened, written
 
 #: Size of both feature spaces; a feature fits 16 bits.
 SPACE = 1 << 16
@@ -214,7 +214,7 @@ def co_trained(table: DataFrame, how: CoTraining) -> tuple[View, View, float, di
     ``table``: row, _id, seen, about, label (null: none). The report counts labelled rows
     and the pseudo-labels of each round.
     """
-    labelled = table.where("label is not null").orderBy(F.xxhash64("row"), "row").limit(how.sample)
+    labelled = hashed_sample(table.where("label is not null"), how.sample, "row")
     rows = labelled.select("seen", "about", "label").toArrow()
     lists = (_lists(rows.column("seen")), _lists(rows.column("about")))
     labels = rows.column("label").to_numpy().astype(float)

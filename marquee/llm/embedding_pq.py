@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
 from marquee.llm.buckets import star_edges
-from marquee.llm.common import written
+from marquee.llm.common import hashed_sample, written
 from marquee.operators.clusters import duplicate_clusters
 
 #: Slack of the safe cuts for rounding.
@@ -265,6 +265,6 @@ def _links_of(nodes: DataFrame, how: Quantiser, kind: type) -> DataFrame:
                                              names=["node", "copies", "vec"])
 
     packed_nodes = nodes.select("node", "copies", "v").mapInArrow(pack, "node bigint, copies bigint, vec binary")
-    sample = packed_nodes.orderBy(F.xxhash64("vec"), "node").limit(how.sample).select("vec").toArrow()
+    sample = hashed_sample(packed_nodes, how.sample, "vec", "node").select("vec").toArrow()
     index = fit(unit(_vectors(sample.column("vec"), kind)), how, nodes.count())
     return vector_links(packed_nodes, index, how, kind)

@@ -115,11 +115,38 @@ class Vocabulary:
         return math.log10((n + 1) / (self.class_total[kind] + self.class_distinct[kind] + 1))
 
 
+#: Steps per doubling of a count.
+STEPS = 64
+
+
+def most_frequent(counts: DataFrame, sizes: list[int]) -> list[dict[bytes, int]]:
+    """For each size the words of the highest counts, no more than so many: (word, n), most frequent first.
+
+    Whole steps of the count are taken, so equal counts fare alike. The thresholds come
+    from a histogram of a few thousand steps, so no task sends more than its own share.
+    """
+    stepped = counts.withColumn("step", F.floor(F.log2("n") * STEPS).cast("int"))
+    bars = stepped.groupBy("step").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("step")).collect()
+
+    def threshold(most: int) -> float:
+        held, least = 0, math.inf
+        for bar in bars:
+            held += bar["words"]
+            if held > most:
+                break
+            least = bar["step"]
+        return least
+
+    wide = threshold(max(sizes))
+    rows = stepped.where(F.col("step") >= F.lit(int(wide))).collect() if wide < math.inf else []
+    rows.sort(key=lambda r: (-r["n"], bytes(r["word"])))
+    return [{bytes(r["word"]): r["n"] for r in rows if r["step"] >= threshold(size)} for size in sizes]
+
+
 def learn_vocabulary(counts: DataFrame, shape: Shape) -> Vocabulary:
-    """From a written table of (word, n). The driver gets ``frequent`` words and the class totals."""
-    top = counts.orderBy(F.desc("n"), "word").limit(shape.frequent).collect()
-    held = {bytes(r["word"]): r["n"] for r in top}
-    classes = {w: i for i, w in enumerate(list(held)[: shape.own_classes])}
+    """From a written table of (word, n). The driver gets the frequent words and the class totals."""
+    held, own_words = most_frequent(counts, [shape.frequent, shape.own_classes])
+    classes = {w: i for i, w in enumerate(own_words)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, distinct = np.zeros(shape.classes, np.int64), np.zeros(shape.classes, np.int64)
