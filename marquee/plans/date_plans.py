@@ -224,12 +224,11 @@ def _(t):
 
 
 @query("x33_shift_end", f"""
-SELECT id, {ts("event_date + INTERVAL '3' DAY + (end_date - event_date)")} AS e FROM listings WHERE end_date IS NOT NULL
+SELECT id, {ts("event_date + INTERVAL '3' DAY + (end_date - event_date)")} AS e FROM listings
 """, "listings")
 def _(t):
     start = D.plus("event_date", 3, "DAY")
-    kept = t.listings.where("end_date is not null")
-    return plain(kept.select("id", D.shift_end(start, "event_date", "end_date").alias("e")))
+    return plain(t.listings.select("id", D.shift_end(start, "event_date", "end_date").alias("e")))
 
 
 @query("x48_sane_end", f"""

@@ -282,12 +282,11 @@ IN_COUNTY = "(latitude BETWEEN 33.69 AND 34.8233 AND longitude BETWEEN -118.952
 
 
 @query("x34_haversine", f"""
-SELECT id, round({KM}, 4) AS km, round({MILES}, 4) AS miles FROM listings WHERE latitude IS NOT NULL
+SELECT id, round({KM}, 4) AS km, round({MILES}, 4) AS miles FROM listings
 """, "listings")
 def _(t):
     p = V.REFERENCE_POINT
-    located = t.listings.where("latitude is not null")
-    return located.select(
+    return t.listings.select(
         "id",
         F.round(G.haversine("latitude", "longitude", F.lit(34.05), F.lit(-118.25)), 4).alias("km"),
         F.round(G.haversine("latitude", "longitude", F.lit(p[0]), F.lit(p[1]), "mi"), 4)
@@ -296,20 +295,20 @@ def _(t):
 
 @query("x35_boxes", f"""
 SELECT id, CASE WHEN {IN_CORE} THEN 'westside' WHEN {IN_COAST} THEN 'malibu' ELSE 'outside' END AS area,
-  {IN_CORE} OR {IN_COAST} AS covered, {IN_COUNTY} AS county FROM listings WHERE latitude IS NOT NULL
+  {IN_CORE} OR {IN_COAST} AS covered, {IN_COUNTY} AS county FROM listings
 """, "listings")
 def _(t):
-    return t.listings.where("latitude is not null").select(
+    return t.listings.select(
         "id", G.area("latitude", "longitude").alias("area"),
         G.in_coverage("latitude", "longitude").alias("covered"),
         G.in_box("latitude", "longitude", V.COUNTY_BOX).alias("county"))
 
 
 @query("x36_within_radius", f"""
-SELECT id, {MILES} <= 12 AS near FROM listings WHERE latitude IS NOT NULL
+SELECT id, {MILES} <= 12 AS near FROM listings
 """, "listings")
 def _(t):
-    return t.listings.where("latitude is not null").select(
+    return t.listings.select(
         "id", G.within_radius("latitude", "longitude").alias("near"))
 
 
