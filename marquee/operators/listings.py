@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from marquee import schemas
-from marquee.functions.dates import ntz
+from marquee.functions.dates import moment, ntz
+from marquee.session import cut_lineage
 
 
 def page(df: DataFrame, limit: int | None = None, offset: int = 0) -> DataFrame:
@@ -101,12 +103,54 @@ def insert(batch: DataFrame, stored: DataFrame, as_of, order: str = "arrival") -
     )
 
 
+#: Partition column of the stored table: the month of the start, "none" without one.
+MONTH = "event_month"
+
+
+def month_of(c: Column) -> Column:
+    return F.coalesce(F.date_format(c, "yyyy-MM"), F.lit("none"))
+
+
 def append_listings(rows: DataFrame, path: str) -> None:
     """K1: append to the table, one folder per month of the start."""
-    month = F.coalesce(F.date_format("event_date", "yyyy-MM"), F.lit("none"))
-    rows.withColumn("event_month", month).write.mode("append").partitionBy(
-        "event_month"
-    ).parquet(path)
+    rows.withColumn(MONTH, month_of(F.col("event_date"))).write.mode("append").partitionBy(MONTH).parquet(path)
+
+
+def read_listings(spark: SparkSession, path: str) -> DataFrame:
+    """The stored table, with its month as a column that calendar filters prune by."""
+    return spark.read.schema(StructType([*schemas.LISTINGS.fields, StructField(MONTH, StringType())])).parquet(path)
+
+
+def in_months(df: DataFrame, first=None, after=None) -> DataFrame:
+    """Months that can hold a start from one moment to another; other tables pass as they are.
+
+    Adds nothing to a filter on the start but lets the scan skip folders.
+    """
+    if MONTH not in df.columns:
+        return df
+    hit = F.lit(True)
+    if first is not None:
+        hit = hit & (F.col(MONTH) >= F.lit(moment(first).strftime("%Y-%m"))) & (F.col(MONTH) != "none")
+    if after is not None:
+        hit = hit & (F.col(MONTH) <= F.lit(moment(after).strftime("%Y-%m")))
+    return df.where(hit)
+
+
+def update_months(changes: DataFrame, path: str, as_of) -> None:
+    """K2: stored rows named by the changes, which may also move to another start; only months touched are written.
+
+    ``changes`` has id, the month a row is stored under (event_month) and the new values.
+    """
+    spark = changes.sparkSession
+    stored = read_listings(spark, path)
+    moved = changes.columns
+    target = month_of(F.col("event_date")) if "event_date" in moved else F.col(MONTH)
+    touched = changes.select(F.col(MONTH).alias("m")).union(changes.select(target.alias("m"))).distinct()
+    months = [r["m"] for r in touched.collect()]  # one row per month
+    before = stored.where(F.col(MONTH).isin(months))
+    after = cut_lineage(update(before.drop(MONTH), changes.drop(MONTH), as_of))
+    held = after.withColumn(MONTH, month_of(F.col("event_date")))
+    held.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(MONTH).parquet(path)
 
 
 def update(stored: DataFrame, changes: DataFrame, as_of) -> DataFrame:

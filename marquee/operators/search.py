@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from marquee import fixed_values as V
 from marquee.functions import text as X
 from marquee.functions.dates import day, moment, ntz
-from marquee.operators.listings import page
+from marquee.operators.listings import in_months, page
 
 START, END = "event_date", "end_date"
 
@@ -62,6 +62,33 @@ def date_predicate(kind: str | None, as_of, specific: str | None = None) -> Colu
     return F.col(START) >= ntz(today)
 
 
+def date_bounds(kind: str | None, as_of, specific: str | None = None) -> tuple[date, date | None]:
+    """Days [first, after) outside of which ``date_predicate`` accepts no start."""
+    today, one = moment(as_of).date(), timedelta(days=1)
+    sunday = today + timedelta(days=(6 - today.weekday()) % 7)
+    first = today.replace(day=1)
+    known = {
+        "today": (today - 90 * one, today + one),
+        "tomorrow": (today - 90 * one, today + 2 * one),
+        "today_tomorrow": (today, today + 2 * one),
+        "this_week": (today, sunday + 7 * one),
+        "this_weekend": (today, sunday + 8 * one),
+        "this_month": (first, (first + timedelta(days=32)).replace(day=1)),
+    }
+    if kind == "specific_date" and specific:
+        try:
+            chosen = datetime.strptime(specific, "%Y-%m-%d").date()
+        except ValueError:
+            return today, None
+        return chosen, chosen + one
+    return known.get(kind, (today, None))
+
+
+def by_date(df: DataFrame, kind: str | None, as_of, specific: str | None = None) -> DataFrame:
+    """F2 applied to a table: months first, then the filter itself."""
+    return in_months(df, *date_bounds(kind, as_of, specific)).where(date_predicate(kind, as_of, specific))
+
+
 def calendar_window(kind: str, as_of) -> tuple[datetime | None, datetime | None]:
     """[start, end) of a named window; unknown names are unbounded."""
     now = moment(as_of)
@@ -107,17 +134,18 @@ def between_dates(start=None, end=None) -> Column:
 
 def in_calendar_window(df: DataFrame, kind: str, as_of) -> DataFrame:
     """F3 applied to a table."""
-    return df.where(between_dates(*calendar_window(kind, as_of)))
+    window = calendar_window(kind, as_of)
+    return in_months(df, *window).where(between_dates(*window))
 
 
 def date_range(df: DataFrame, first, last) -> DataFrame:
     """closed range, by start."""
-    return page(df.where(F.col(START).between(ntz(first), ntz(last))))
+    return page(in_months(df, first, last).where(F.col(START).between(ntz(first), ntz(last))))
 
 
 def upcoming(df: DataFrame, as_of, limit: int = 100) -> DataFrame:
     """F8: the next listings from now on."""
-    return page(df.where(F.col(START) >= ntz(as_of)), limit)
+    return page(in_months(df, as_of).where(F.col(START) >= ntz(as_of)), limit)
 
 
 def by_category(df: DataFrame, category: str) -> DataFrame:
@@ -206,8 +234,10 @@ def search(
     """all given filters together, one page by start."""
     hit = in_region(region)
     if date_filter:
+        df = in_months(df, *date_bounds(date_filter, as_of, specific_date))
         hit = hit & date_predicate(date_filter, as_of, specific_date)
     else:
+        df = in_months(df, start, end)
         hit = hit & between_dates(start, end)
     for name, chosen in (("category", categories), ("source", sources), ("venue_name", venues)):
         if chosen:

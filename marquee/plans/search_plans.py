@@ -11,6 +11,7 @@ from marquee.operators import listings as L
 from marquee.operators import search as S
 from marquee.plans.catalog import plain, query
 from marquee.plans.views import AS_OF
+from marquee.session import job_folder
 
 TS = "strftime(event_date, '%Y-%m-%d %H:%M:%S')"
 BASE_COLS = ["id", "title", "event_date", "category", "source"]
@@ -465,6 +466,40 @@ def _(t):
     return show(L.insert(batch, t.listings, AS_OF), "id", "title", "source", "created_at")
 
 
+@query("k1_append", """
+SELECT (SELECT max(id) FROM listings) + row_number() OVER (ORDER BY id) AS id, title, strftime(event_date, '%Y-%m') AS event_month FROM listings_incoming
+UNION ALL SELECT id, title, strftime(event_date, '%Y-%m') FROM listings
+""", "listings_incoming")
+def _(t):
+    path = job_folder(t.spark, "listings")
+    L.append_listings(t.listings, path)
+    L.append_listings(L.insert(t.incoming.withColumn("arrival", F.col("id")), t.listings, AS_OF), path)
+    return L.read_listings(t.spark, path).select("id", "title", "event_month")
+
+
+@query("k2_update_months", """
+SELECT l.id, CASE WHEN hit THEN upper(l.title) ELSE l.title END AS title, strftime(CASE WHEN hit THEN l.event_date + INTERVAL 40 DAY ELSE l.event_date END, '%Y-%m') AS event_month
+FROM (SELECT *, id % 50 = 1 AND month(event_date) = 3 AS hit FROM listings) l
+""", "listings")
+def _(t):
+    path = job_folder(t.spark, "listings")
+    L.append_listings(t.listings, path)
+    chosen = t.listings.where((F.col("id") % 50 == 1) & (F.month("event_date") == 3))
+    changes = chosen.select("id", L.month_of(F.col("event_date")).alias("event_month"), F.upper("title").alias("title"),
+                            (F.col("event_date") + F.expr("interval 40 days")).alias("event_date"))
+    L.update_months(changes, path, AS_OF)
+    return L.read_listings(t.spark, path).select("id", "title", "event_month")
+
+
+@query("f2_stored_month", """
+SELECT id, title FROM listings WHERE event_date >= TIMESTAMP '1998-06-01' AND event_date < TIMESTAMP '1998-07-01'
+""", "listings")
+def _(t):
+    path = job_folder(t.spark, "listings")
+    L.append_listings(t.listings, path)
+    return S.by_date(L.read_listings(t.spark, path), "this_month", AS_OF).select("id", "title")
+
+
 @query("k2_update", """
 SELECT l.id, CASE WHEN i.id IS NOT NULL THEN i.title ELSE l.title END AS title,
   CASE WHEN i.id IS NOT NULL THEN i.description ELSE l.description END AS description,

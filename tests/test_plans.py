@@ -39,3 +39,18 @@ def test_search_filters_reach_the_scan(spark):
 def test_first_rows_are_cut_before_the_shuffle(spark):
     plan = queries()["w7_cap_per_group"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+def test_calendar_filters_prune_months(spark):
+    from marquee.operators import listings as L
+    from marquee.operators import search
+    from marquee.plans.views import AS_OF, Tables
+    from marquee.session import job_folder
+
+    path = job_folder(spark, "pruned")
+    L.append_listings(Tables(spark, FOLDER).listings, path)
+    stored = L.read_listings(spark, path)
+    for found in (search.search(stored, date_filter="this_month", as_of=AS_OF), search.upcoming(stored, AS_OF),
+                  search.date_range(stored, "1998-06-01", "1998-06-09"), search.in_calendar_window(stored, "next_month", AS_OF)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(event_month" in plan
