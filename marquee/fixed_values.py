@@ -304,3 +304,35 @@ ARTICLE_DATE_PATTERNS = [
     r"([A-Z][a-z]+ \d{1,2}(?:st|nd|rd|th)?)",
 ]
 ARTICLE_CLOCK_PATTERN = r"(?i)(\d{1,2}(?::\d{2})?\s*[AP]M)"
+
+# What leaves an address (X3), as (pattern, replacement) in this order.
+ADDRESS_CUTS = [
+    (r"\s*\([^)]*\)", ""),
+    (r"(\b\d{5}\b).*$", "$1"),
+    (r"^(\s*\d+)\s*[-–]\s*\d+", "$1"),
+    (r"\s*#\s*\w+", ""),
+    (r"(?i)\s*\b(?:suite|ste|unit|apt|apartment|fl|floor)\b\.?\s*#?\s*\w+", ""),
+]
+
+# A street address and a venue in prose.
+PROSE_ADDRESS_PATTERN = (
+    r"\b(\d{3,5}\s+(?:[A-Z][a-zA-Z]+\s+){1,4}(?:Blvd|Ave|St|Dr|Rd|Way|Lane|Ln|Place|Pl)\.?"
+    r"(?:,\s*[A-Za-z\s]+,\s*CA(?:\s*\d{5})?)?)"
+)
+PROSE_VENUE_PATTERN = r"(?m)\bat\s+([A-Z][^\.,\n]{3,50})(?:[,.]|\s+in\s+|\s+on\s+|$)"
+
+# A weekday that binds a listing (X24), and clock text.
+BINDING_WEEKDAY_PATTERN = (
+    rf"(?i)(?:\bthis\s+|\bevery\s+|\bon\s+)?\b({'|'.join(WEEKDAYS)})s?\b"
+    r"(?=\s*(?:,|:|\s+night|\s+\d|\s*\||\z))"
+)
+CLOCK_DASH = r"\s*(?:-|–|—|to)\s*"
+CLOCK_HALF = r"\s*([ap])\.?m\.?"
+CLOCK_BOTH_PATTERN = rf"(?i)\b(\d{{1,2}})(?::(\d{{2}}))?{CLOCK_HALF}{CLOCK_DASH}(\d{{1,2}})(?::(\d{{2}}))?{CLOCK_HALF}"
+CLOCK_TAIL_PATTERN = rf"(?i)\b(\d{{1,2}})(?::(\d{{2}}))?{CLOCK_DASH}(\d{{1,2}})(?::(\d{{2}}))?{CLOCK_HALF}"
+CLOCK_ONE_PATTERN = rf"(?i)\b(\d{{1,2}})(?::(\d{{2}}))?{CLOCK_HALF}"
+START_CLOCK_PATTERN = r"(?i)\b(\d{1,2})(?::(\d{2}))?\s*(?:(?:-|–|to)\s*(\d{1,2})(?::\d{2})?)?\s*(am|pm)\b"
+
+# A weekly series stated in a title.
+WEEKDAY_STEMS = "mon|tues|wednes|thurs|fri|satur|sun"
+STATED_WEEKDAY_PATTERN = rf"(?i)\bevery\s+({WEEKDAY_STEMS})day\b|\b({WEEKDAY_STEMS})days\b"

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marquee import fixed_values as V
 from marquee.functions import dates as D
 from marquee.functions import text as X
 from marquee.operators.staging import staged
@@ -354,8 +357,7 @@ def next_occurrence(vevents: DataFrame, as_of) -> DataFrame:
 
 def stated_weekday(title) -> Column:
     """Weekday of "every Friday" or "Fridays" in a title."""
-    stem = "mon|tues|wednes|thurs|fri|satur|sun"
-    pattern = rf"(?i)\bevery\s+({stem})day\b|\b({stem})days\b"
+    pattern = V.STATED_WEEKDAY_PATTERN
     found = F.concat(
         F.regexp_extract(X.text_or_empty(title), pattern, 1),
         F.regexp_extract(X.text_or_empty(title), pattern, 2),
