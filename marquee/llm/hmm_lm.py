@@ -44,9 +44,9 @@ class Shape:
     own_classes: int = 2048
     shared_classes: int = 1024
     #: Words whose counts travel to the tasks; the counts of all others are joined.
-    frequent: int = 50_000
+    frequent: int = 100_000
     iterations: int = 3
-    segment: int = 512
+    segment: int = 1024
     smooth: float = 0.1
     seed: int = 11
 
@@ -179,17 +179,21 @@ def encoded(docs: DataFrame, doc_id: str, text: str, keep: list[str], vocabulary
                                "rare array<struct<word:binary,times:int>>")
     schema = StructType([*picked.drop("_text").schema.fields, *kinds.fields])
     v = vocabulary
-    base = {w: (v.classes[w] if w in v.classes else shared_class(w, v.shape), v.base(n), 0.0) for w, n in v.counts.items()}
-    base = {w: (c, b, v.within(c, v.counts[w])) for w, (c, b, _) in base.items()}
+    place = {w: i for i, w in enumerate(v.counts)}
+    kind_of = np.array([v.class_of(w) for w in v.counts] or [0], np.uint16)
+    base_of = np.array([v.base(n) for n in v.counts.values()] or [0.0])
+    within_of = np.array([v.within(int(c), n) for c, n in zip(kind_of, v.counts.values())] or [0.0])
 
     def one(data: bytes | None) -> tuple:
         words = tokens(data or b"")
-        found = [base.get(w) for w in words]
-        kinds_ = np.fromiter((f[0] if f else shared_class(w, v.shape) for f, w in zip(found, words)), np.uint16, len(words))
-        common = [f for f in found if f]
-        rare = Counter([w for f, w in zip(found, words) if not f])
-        return (kinds_.tobytes(), len(words), len(common), math.fsum([f[1] for f in common]), math.fsum([f[2] for f in common]),
-                [{"word": w, "times": n} for w, n in rare.items()])
+        at = np.array([place.get(w, -1) for w in words])
+        other = np.flatnonzero(at < 0)
+        known = at if not len(other) else at[at >= 0]
+        kinds_ = kind_of[at]
+        unheld = [words[i] for i in other.tolist()]
+        kinds_[other] = [shared_class(w, v.shape) for w in unheld]
+        rare = [{"word": w, "times": n} for w, n in Counter(unheld).items()]
+        return kinds_.tobytes(), len(words), len(known), float(base_of[known].sum()), float(within_of[known].sum()), rare
 
     types = [pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64(),
              pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int32())]))]
@@ -247,6 +251,7 @@ class Segments:
         #: waves[j]: the j-th segments of all texts that have so many, by their place side by side
         self.waves = [rank[first[count > j] + j] for j in range(int(count.max()))]
         self.owner = self.text[order]
+        self.several = count[self.owner] > 1
 
 
 def segment_maps(hmm: Hmm, seg: Segments) -> tuple[np.ndarray, np.ndarray]:
@@ -254,56 +259,63 @@ def segment_maps(hmm: Hmm, seg: Segments) -> tuple[np.ndarray, np.ndarray]:
 
     Entry [s, i, j] is the probability of the segment's classes ending in state j, given
     that its first step leaves state i; a text's first segment starts without a step.
+    Texts of one segment need no map; theirs stay untouched.
     """
     k = len(hmm.start)
     made = np.broadcast_to(np.eye(k), (len(seg.size), k, k)).copy()
     scale = np.zeros(len(seg.size))
     begins = np.zeros(len(seg.size), bool)
     begins[seg.waves[0]] = True
+    several = np.flatnonzero(seg.several)
     for t, n in enumerate(seg.live):
-        part = made[:n]
-        stepped = part @ hmm.move
+        own = several[: np.searchsorted(several, n)]
+        if not len(own):
+            break
+        stepped = made[own] @ hmm.move
         if t == 0:
-            stepped[begins[:n]] = np.eye(k)
-        stepped *= hmm.emit[seg.flat[seg.begin[:n] + t]][:, None, :]
+            stepped[begins[own]] = np.eye(k)
+        stepped *= hmm.emit[seg.flat[seg.begin[own] + t]][:, None, :]
         most = stepped.max((1, 2))
         stepped /= most[:, None, None]
-        scale[:n] += np.log10(most)
-        made[:n] = stepped
+        scale[own] += np.log10(most)
+        made[own] = stepped
     return made, scale
 
 
-def stitched(hmm: Hmm, seg: Segments) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """log10 p of each text, and per segment the distributions before (S x K) and after it (S x K, backward)."""
-    made, scale = segment_maps(hmm, seg)
-    k, score = len(hmm.start), np.zeros(seg.texts)
+def stitched(hmm: Hmm, seg: Segments) -> tuple[np.ndarray, np.ndarray]:
+    """Per segment the distribution before it, and the backward weights after it (S x K); of texts of several."""
+    made, _ = segment_maps(hmm, seg)
+    k = len(hmm.start)
     now = np.tile(hmm.start, (seg.texts, 1))
-    before = np.zeros((len(seg.size), k))
-    for wave in seg.waves:
+    before = np.tile(hmm.start, (len(seg.size), 1))
+    later, behind = np.ones((seg.texts, k)), np.ones((len(seg.size), k))
+    waves = [w[seg.several[w]] for w in seg.waves]
+    for wave in waves:
         text = seg.owner[wave]
         before[wave] = now[text]
         after = np.einsum("si,sij->sj", now[text], made[wave])
-        total = after.sum(1)
-        score[text] += np.log10(total) + scale[wave]
-        now[text] = after / total[:, None]
-    later = np.ones((seg.texts, k))
-    behind = np.zeros((len(seg.size), k))
-    for wave in seg.waves[::-1]:
+        now[text] = after / after.sum(1)[:, None]
+    for wave in waves[::-1]:
         text = seg.owner[wave]
         behind[wave] = later[text]
         earlier = np.einsum("sij,sj->si", made[wave], later[text])
         later[text] = earlier / earlier.max(1)[:, None]
-    return score, before, behind
+    return before, behind
 
 
-def expected_counts(hmm: Hmm, seg: Segments) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Expected starts, moves and emissions of the texts, and their log10 probability."""
-    score, before, behind = stitched(hmm, seg)
-    k = len(hmm.start)
+def forward_scores(hmm: Hmm, seg: Segments) -> np.ndarray:
+    """log10 probability of each text: the scaled forward recursion, all segments at once."""
+    before, _ = stitched(hmm, seg)
+    score = np.zeros(seg.texts)
+    np.add.at(score, seg.owner, _forward(hmm, seg, before, None))
+    return score
+
+
+def _forward(hmm: Hmm, seg: Segments, state: np.ndarray, held: list | None) -> np.ndarray:
+    """log10 of each segment's scale; ``state`` becomes the distribution at its end, ``held`` gets each step."""
     begins = np.zeros(len(seg.size), bool)
     begins[seg.waves[0]] = True
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    state = before.copy()
+    score = np.zeros(len(seg.size))
     for t, n in enumerate(seg.live):
         part = state[:n] @ hmm.move
         if t == 0:
@@ -312,7 +324,21 @@ def expected_counts(hmm: Hmm, seg: Segments) -> tuple[np.ndarray, np.ndarray, np
         total = part.sum(1)
         part /= total[:, None]
         state[:n] = part
-        held.append((part, total))
+        score[:n] += np.log10(total)
+        if held is not None:
+            held.append((part, total))
+    return score
+
+
+def expected_counts(hmm: Hmm, seg: Segments) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Expected starts, moves and emissions of the texts, and their log10 probability."""
+    before, behind = stitched(hmm, seg)
+    k = len(hmm.start)
+    begins = np.zeros(len(seg.size), bool)
+    begins[seg.waves[0]] = True
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    state = before.copy()
+    score = _forward(hmm, seg, state, held)
     starts, moves = np.zeros(k), np.zeros((k, k))
     emits = np.zeros((len(hmm.emit), k))
     kinds, weights = [], []
@@ -384,7 +410,7 @@ def class_scores(texts: DataFrame, hmm: Hmm, shape: Shape) -> DataFrame:
     """(row, latent): log10 probability of each class sequence by the forward recursion."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, sequences in _grouped(batches, 1):
-            score, _, _ = stitched(hmm, Segments(sequences, shape.segment))
+            score = forward_scores(hmm, Segments(sequences, shape.segment))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score)], names=["row", "latent"])
 
     return texts.select("row", "classes").mapInArrow(run, "row bigint, latent double")
