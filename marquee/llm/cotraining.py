@@ -186,41 +186,44 @@ def _lists(column: pa.Array) -> list[np.ndarray]:
     return [np.frombuffer(x, np.uint16) for x in column.to_pylist()]
 
 
-def _surest(pool: DataFrame, views: tuple[View, View], taken: set[int], how: CoTraining) -> list:
-    """Rows each view is surest about: (view, verdict, row, features of both), ``grow`` of each kind."""
+def _surest(seen: DataFrame, marks: DataFrame, views: tuple[View, View], taken: set[int], how: CoTraining) -> list:
+    """Unlabelled rows each view is surest about: (view, verdict, row, features of both), ``grow`` of each kind.
+
+    Scores travel without the features; those of the chosen few are fetched in the end.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.column(0).to_numpy()
+            fresh = ~np.isin(rows, list(taken))
             for i, view in enumerate(views):
                 p = sigmoid(view.logit(Rows.of(_lists(batch.column(1 + i)))))
                 for verdict, sure in ((1, p), (0, 1 - p)):
-                    at = np.argsort(-sure, kind="stable")
-                    at = at[sure[at] >= how.sure]
-                    at = at[~np.isin(rows[at], list(taken))][: how.grow]
+                    at = np.flatnonzero((sure >= how.sure) & fresh)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(at), i)), pa.array(np.full(len(at), verdict)), pa.array(sure[at]),
-                         *(batch.column(c).take(pa.array(at)) for c in range(3))],
-                        names=["view", "verdict", "sure", "row", "seen", "about"])
+                        [pa.array(np.full(len(at), i)), pa.array(np.full(len(at), verdict)), pa.array(sure[at]), pa.array(rows[at])],
+                        names=["view", "verdict", "sure", "row"])
 
-    found = pool.select("row", "seen", "about").mapInArrow(
-        run, "view bigint, verdict bigint, sure double, row bigint, seen binary, about binary")
+    found = seen.select("row", "seen", "about").mapInArrow(run, "view bigint, verdict bigint, sure double, row bigint")
     best = F.row_number().over(Window.partitionBy("view", "verdict").orderBy(F.desc("sure"), F.xxhash64("row"), "row"))
-    return found.withColumn("place", best).where(F.col("place") <= how.grow).orderBy("view", "verdict", "place").collect()
+    pool = found.join(marks, "row", "left_anti")
+    chosen = pool.withColumn("place", best).where(F.col("place") <= how.grow).drop("sure")
+    few = F.broadcast(chosen)  # at most 4 * grow rows
+    return seen.select("row", "seen", "about").join(few, "row").orderBy("view", "verdict", "place").collect()
 
 
-def co_trained(table: DataFrame, how: CoTraining) -> tuple[View, View, float, dict]:
+def co_trained(seen: DataFrame, marks: DataFrame, how: CoTraining) -> tuple[View, View, float, dict]:
     """Both calibrated views, the log odds of a good document, and what was learned from.
 
-    ``table``: row, _id, seen, about, label (null: none). The report counts labelled rows
-    and the pseudo-labels of each round.
+    ``seen``: row, seen, about; ``marks``: row, label. The report counts labelled rows and
+    the pseudo-labels of each round.
     """
-    labelled = hashed_sample(table.where("label is not null"), how.sample, "row")
+    sample = F.broadcast(hashed_sample(marks, how.sample, "row"))  # at most ``sample`` rows
+    labelled = seen.join(sample, "row").orderBy(F.xxhash64("row"), "row")
     rows = labelled.select("seen", "about", "label").toArrow()
     lists = (_lists(rows.column("seen")), _lists(rows.column("about")))
     labels = rows.column("label").to_numpy().astype(float)
     cut = int(len(labels) * how.check_share)
     check = tuple(x[:cut] for x in lists)
-    pool = table.where("label is null")
     train: tuple[list, list] = (list(lists[0][cut:]), list(lists[1][cut:]))
     target: tuple[list, list] = (list(labels[cut:]), list(labels[cut:]))
     taken: set[int] = set()
@@ -232,7 +235,7 @@ def co_trained(table: DataFrame, how: CoTraining) -> tuple[View, View, float, di
             calibrate(view, held, labels[:cut])
         if turn == how.rounds or len(np.unique(labels)) < 2:
             break
-        found = _surest(pool, views, taken, how)
+        found = _surest(seen, marks, views, taken, how)
         for r in found:
             other = 1 - r["view"]
             train[other].append(np.frombuffer(r["about"] if other else r["seen"], np.uint16))
@@ -258,8 +261,8 @@ def quality_scores(
     marks = labels.select(F.col(f"`{doc_id}`").alias("_l"), F.col(f"`{label}`").cast("double").alias("_q")).where(
         "_l is not null and _q is not null").groupBy("_l").agg(F.floor(F.avg("_q")).cast("int").alias("label"))
     seen = written(features(docs, doc_id, text, list(meta)), "features")
-    table = written(seen.join(marks, F.col("_id") == F.col("_l"), "left").drop("_l"), "labelled")
-    by_text, by_meta, prior, report = co_trained(table, how)
+    by_row = written(seen.select("_id", "row").join(marks, F.col("_id") == F.col("_l")).select("row", "label"), "labels")
+    by_text, by_meta, prior, report = co_trained(seen, by_row, how)
     some = len(report["pseudo"]) > 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,5 +276,5 @@ def quality_scores(
                 [batch.column(0), pa.array(sigmoid(a)), pa.array(sigmoid(b)), pa.array(score), pa.array(kept)],
                 names=[doc_id, "text_score", "meta_score", "score", "kept"])
 
-    picked = table.select(F.col("_id").alias(doc_id), "seen", "about")
+    picked = seen.select(F.col("_id").alias(doc_id), "seen", "about")
     return picked.mapInArrow(run, widened(picked.select(doc_id).schema, "text_score double, meta_score double, score double, kept boolean"))

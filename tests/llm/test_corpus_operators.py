@@ -354,7 +354,7 @@ def test_forward_and_counts_equal_the_plain_recursion():
         seg = hmm_lm.Segments(texts, length)
         x, y, z, score = hmm_lm.expected_counts(hmm, seg)
         assert np.allclose(x, starts) and np.allclose(y, moves) and np.allclose(z, emits)
-        assert np.allclose(hmm_lm.stitched(hmm, seg)[0], total) and score == pytest.approx(sum(total))
+        assert np.allclose(hmm_lm.forward_scores(hmm, seg), total) and score == pytest.approx(sum(total))
 
 
 def test_base_scores_equal_counting(spark):
@@ -407,11 +407,11 @@ def test_quality_of_held_out_labels(spark):
 def test_views_exchange_sure_labels(spark):
     docs, labels = documents(spark, MIDDLE), spark.read.parquet(f"{MIDDLE}/labels.parquet")
     rows = cotraining.features(docs, "doc_id", "text", ["source", "lang"])
-    marks = labels.selectExpr("doc_id as _l", "quality as label")
-    table = rows.join(marks, rows["_id"] == marks["_l"], "left").drop("_l").cache()
-    *_, report = cotraining.co_trained(table, cotraining.CoTraining(rounds=2, grow=30))
+    rows = rows.cache()
+    marks = rows.join(labels, rows["_id"] == labels["doc_id"]).selectExpr("row", "quality as label")
+    *_, report = cotraining.co_trained(rows, marks, cotraining.CoTraining(rounds=2, grow=30))
     assert report["labelled"] == labels.count() and len(report["pseudo"]) == 2 and min(report["pseudo"]) > 0
-    table.unpersist()
+    rows.unpersist()
 
 
 def test_classifier_on_odd_rows(spark, odd_docs, no_docs):
