@@ -6,8 +6,9 @@ class emits one of its words by corpus counts:
 
     p(text) = p(classes of the text) * product of p(word | class)
 
-The first factor is the HMM, trained by Baum-Welch: each task adds up the expected counts
-of its texts, the sums are aggregated, the driver normalises tables of a fixed size. The
+The first factor is the HMM, trained by Baum-Welch until the likelihood stands still: each
+task adds up the expected counts of its texts, the sums are aggregated, the driver
+normalises tables of a fixed size. The
 second rests on a table of all words of the corpus, which grows with it and is joined,
 never broadcast; only the most frequent words, a fixed number, travel to the tasks.
 
@@ -45,7 +46,12 @@ class Shape:
     shared_classes: int = 1024
     #: Words whose counts travel to the tasks; the counts of all others are joined.
     frequent: int = 100_000
-    iterations: int = 3
+    #: Baum-Welch rounds; None: until the likelihood stops rising, see ``trained``.
+    iterations: int | None = None
+    #: A round that raises log10 p of a training token by less is a standstill.
+    least_gain: float = 1e-3
+    #: No standstill counts before so many rounds: the states part slowly at first.
+    least_rounds: int = 10
     segment: int = 1024
     smooth: float = 0.1
     seed: int = 11
@@ -406,6 +412,28 @@ def baum_welch_step(texts: DataFrame, hmm: Hmm, shape: Shape) -> tuple[Hmm, floa
     return Hmm(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0)), float(sums[-1])
 
 
+def standstill(scores: list[float], shape: Shape) -> bool:
+    """Whether log10 p per token, round by round, has settled.
+
+    A gain that is small but larger than the one before is the states beginning to part.
+    """
+    if len(scores) < max(3, shape.least_rounds):
+        return False
+    before, last = scores[-2] - scores[-3], scores[-1] - scores[-2]
+    return last < shape.least_gain and last <= before
+
+
+def trained(texts: DataFrame, vocabulary: Vocabulary, shape: Shape) -> Hmm:
+    """The model after Baum-Welch over all texts, until ``standstill`` or for ``shape.iterations`` rounds."""
+    hmm, scores = first_guess(vocabulary), []
+    while vocabulary.total and len(scores) != shape.iterations:
+        hmm, score = baum_welch_step(texts, hmm, shape)
+        scores.append(score / vocabulary.total)
+        if shape.iterations is None and standstill(scores, shape):
+            break
+    return hmm
+
+
 def class_scores(texts: DataFrame, hmm: Hmm, shape: Shape) -> DataFrame:
     """(row, latent): log10 probability of each class sequence by the forward recursion."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -432,9 +460,7 @@ def score_texts(
     counts = written(word_counts(own.where(~F.col("_flag")), "_text0"), "words")
     vocabulary = learn_vocabulary(counts, shape)
     texts = written(encoded(own, "_id", "_text0", ["_flag"], vocabulary), "classes")
-    hmm = first_guess(vocabulary)
-    for _ in range(shape.iterations):
-        hmm, _ = baum_welch_step(texts.where(~F.col("_flag")), hmm, shape)
+    hmm = trained(texts.where(~F.col("_flag")), vocabulary, shape)
     latent = class_scores(texts, hmm, shape)
     rare = texts.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.times")
     v = vocabulary

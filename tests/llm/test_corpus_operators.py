@@ -375,6 +375,27 @@ def test_the_model_is_a_distribution_and_beats_the_base(spark):
     assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)
 
 
+def test_the_states_part_before_training_ends(spark):
+    """Held-out classes: the latent model clearly beats the class unigram."""
+    shape = hmm_lm.Shape()
+    docs = documents(spark, MIDDLE).select("doc_id", "text", (fold("doc_id", 7) == 2).alias("held"))
+    v = hmm_lm.learn_vocabulary(hmm_lm.word_counts(docs.where("not held")).cache(), shape)
+    texts = hmm_lm.encoded(docs, "doc_id", "text", ["held"], v).cache()
+    hmm = hmm_lm.trained(texts.where("not held"), v, shape)
+    latent = sum(r["latent"] for r in hmm_lm.class_scores(texts.where("held"), hmm, shape).collect())
+    seen = np.concatenate([np.frombuffer(r["classes"], np.uint16) for r in texts.where("held").select("classes").collect()])
+    unigram = np.log10((v.class_total + shape.smooth) / (v.class_total + shape.smooth).sum())[seen].sum()
+    assert latent > unigram + 0.2 * len(seen)
+
+
+def test_an_early_plateau_is_no_standstill():
+    shape = hmm_lm.Shape()
+    rising = [-3.0 + 1e-6 * 2**i for i in range(20)]
+    assert not any(hmm_lm.standstill(rising[:n], shape) for n in range(21))
+    assert hmm_lm.standstill([*rising, rising[-1] + 1e-5], shape) and hmm_lm.standstill([-3.0] * 10, shape)
+    assert not hmm_lm.standstill([-3.0] * 9, shape)
+
+
 def test_rare_words_are_joined_alike(spark, make_docs):
     docs = make_docs([(i, " ".join(f"w{(i * j) % 40}" for j in range(1, 30))) for i in range(30)])
     sizes = [hmm_lm.Shape(own_classes=4, shared_classes=8, frequent=f, iterations=2, segment=8) for f in (4, 10_000)]
