@@ -14,7 +14,7 @@ all three. Every pair within 3 bits shares a key, and shared keys are verified.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 from itertools import combinations
 
@@ -195,8 +195,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return rows.join(named, "print").select(F.col("id").alias(doc_id), "print", "component_id")
 
 
-def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` without near duplicates: one of each component stays.
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
+                classes_of: Callable[[DataFrame, str, str], DataFrame] = near_duplicates) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: one of each component of ``classes_of`` stays.
 
     It is the row with the smallest id; among rows that share this id (or the null id)
     the one with the smallest hash of all its columns, and of rows alike in all columns
@@ -204,7 +205,7 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """
     own = docs.columns
     row_hash = F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in own])
-    classes = near_duplicates(
+    classes = classes_of(
         docs.select(F.struct(F.col(f"`{doc_id}`").isNull().alias("none"), F.col(f"`{doc_id}`").alias("id"),
                              row_hash.alias("hash")).alias("row"), F.col(f"`{text}`").alias("text")), "row", "text")
     winners = classes.groupBy("component_id").agg(F.count(F.lit(1)).alias("_n")).select("component_id.*")

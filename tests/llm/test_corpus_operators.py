@@ -197,6 +197,26 @@ def test_passages_on_odd_rows(odd_docs, no_docs):
     assert substring_dedup.drop_repeats(no_docs).count() == 0
 
 
+# -- near duplicates of the pipeline
+
+
+def test_one_of_each_group_of_similar_texts_stays(spark):
+    sets, holders, groups = {}, defaultdict(list), Groups()
+    for r in documents(spark, MIDDLE).collect():
+        words = r["text"].encode().lower().split()
+        sets[r["doc_id"]] = {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+        groups.find(r["doc_id"])
+    for d, s in sets.items():
+        for x in s:
+            holders[x].append(d)
+    both = Counter((a, b) for own in holders.values() for i, b in enumerate(own) for a in own[:i])
+    for (a, b), n in both.items():
+        if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n):
+            groups.join(a, b)
+    kept = [r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, documents(spark, MIDDLE), MIDDLE).collect()]
+    assert sorted(kept) == sorted({groups.find(d) for d in sets})
+
+
 # -- vectors
 
 
