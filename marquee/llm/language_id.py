@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marquee.llm.common import packed, text_bytes, widened
@@ -147,6 +147,65 @@ def out_of_place(found: np.ndarray, every: np.ndarray, places: np.ndarray, size:
     return np.where(place == size, size, gap).sum(0), size * len(top)
 
 
+def scored(data: bytes, langs: list[str], every: np.ndarray, places: np.ndarray, size: int) -> tuple[str, float, int]:
+    """Language, score and number of n-grams of one text."""
+    found = grams(data)
+    if not len(found) or not langs:
+        return UNKNOWN, 0.0, len(found)
+    far, largest = out_of_place(found, every, places, size)
+    best = int(far.argmin())
+    return langs[best], 1.0 - float(far[best]) / largest, len(found)
+
+
+#: Powers of two of n-grams that have a limit of their own.
+LENGTHS = 48
+
+
+def learn_limits(docs: DataFrame, profiles: DataFrame, text: str = "text", lang: str = "lang", size: int = PROFILE) -> dict[str, list[float]]:
+    """Language -> least score by the power of two of n-grams: half the median of the labelled texts.
+
+    All texts whose language is not null are scored, each whole and as its beginnings of 4,
+    8, 16, ... bytes, so that short texts are judged by short ones. A length not seen in a
+    language takes the limit of the nearest shorter one, else of the shortest.
+    """
+    langs, every, places = profile_table(profiles, size)
+    picked = docs.where(F.col(f"`{lang}`").isNotNull()).select(text_bytes(text).alias("_text")).where(F.col("_text").isNotNull())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 500):
+                rows = []
+                for data in batch.column(0).slice(start, 500):
+                    whole = data.as_py()
+                    cuts = [1 << k for k in range(2, max(2, (len(whole) - 1).bit_length()))]
+                    rows += [scored(whole[:cut], langs, every, places, size) for cut in (*cuts, len(whole))]
+                rows = [(a, n.bit_length() - 1, b) for a, b, n in rows if a != UNKNOWN]
+                yield packed(list(zip(*rows)) or [[], [], []], LIMITS)
+
+    medians = picked.mapInArrow(run, "lang string, power int, score double").groupBy("lang", "power").agg(
+        F.percentile_approx("score", 0.5).alias("median")).collect()  # languages x lengths
+    out: dict[str, list[float]] = {}
+    for name in sorted({r["lang"] for r in medians}):
+        seen = {r["power"]: r["median"] / 2 for r in medians if r["lang"] == name}
+        now, out[name] = seen[min(seen)], []
+        for power in range(LENGTHS):
+            now = seen.get(power, now)
+            out[name].append(now)
+    return out
+
+
+LIMITS = pa.schema([("lang", pa.string()), ("power", pa.int32()), ("score", pa.float64())])
+
+
+def within_limits(limits: dict[str, list[float]]) -> Column:
+    """Whether an annotated text (``annotate``) is near enough to its language."""
+    if not limits:
+        return F.lit(False)
+    table = F.create_map(*[c for name, own in limits.items() for c in (F.lit(name), F.array(*map(F.lit, own)))])
+    least = table[F.col("_lang_pred")][F.floor(F.log2("_n_grams")).cast("int")]
+    return (F.col("_lang_pred") != UNKNOWN) & (F.col("_score") >= F.coalesce(least, F.lit(0.0)))
+
+
 def identify(
     docs: DataFrame, profiles: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = PROFILE
 ) -> DataFrame:
@@ -170,12 +229,7 @@ def annotate(docs: DataFrame, profiles: DataFrame, text: str = "text", size: int
     has_text = own.index(text)
 
     def one(data: str | None) -> tuple[str, float, int]:
-        found = grams(data.encode("utf-8", "replace")) if data else np.zeros(0, np.uint64)
-        if not len(found) or not langs:
-            return UNKNOWN, 0.0, len(found)
-        far, largest = out_of_place(found, every, places, size)
-        best = int(far.argmin())
-        return langs[best], 1.0 - float(far[best]) / largest, len(found)
+        return scored(data.encode("utf-8", "replace") if data else b"", langs, every, places, size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,5 +1,6 @@
 """Dedup, mixing, classifiers, language model and pipeline against brute force."""
 
+import base64
 import math
 import re
 from collections import Counter, defaultdict
@@ -197,6 +198,24 @@ def test_passages_on_odd_rows(odd_docs, no_docs):
     assert substring_dedup.drop_repeats(no_docs).count() == 0
 
 
+# -- languages of the pipeline
+
+
+def test_gibberish_and_unlearned_languages_go_at_every_length(spark, make_docs):
+    docs = documents(spark, MIDDLE).select("doc_id", "text", "lang", "source", "n_chars")
+    rng = np.random.default_rng(4)
+    noise = lambda n: " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 11))) for _ in range(n))
+    russian, greek = "Съешь же ещё этих мягких французских булок, да выпей чаю. ", "Ξεσκεπάζω την ψυχοφθόρα βδελυγμία. "
+    bad = [noise(n) for n in (20, 60, 200, 2000)] + [base64.b64encode(rng.bytes(n)).decode() for n in (300, 3000)]
+    bad += [x * n for x in (russian, greek) for n in (1, 6, 60)] + ["!!! 123"]
+    good = ["The weather was nice and we walked along the river.", "Das Wetter war schön und wir gingen am Fluss entlang.",
+            "Il faisait beau et nous avons marché le long de la rivière."]
+    added = make_docs([(-1 - i, x) for i, x in enumerate(bad)] + [(-101 - i, x) for i, x in enumerate(good)]).select(docs.columns)
+    kept = {r["doc_id"] for r in corpus_pipeline.identify_language(spark, docs.unionByName(added), MIDDLE).collect()}
+    assert [i for i in kept if i < 0 and i > -100] == [] and {-101, -102, -103} <= kept
+    assert len([i for i in kept if i >= 0]) == docs.count()
+
+
 # -- near duplicates of the pipeline
 
 
