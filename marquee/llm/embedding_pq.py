@@ -6,9 +6,8 @@ table lookup (query subspace to code centroid, asymmetric), and what may be near
 is compared by exact cosine in double precision.
 
 Probes: a partner lies in the cell of its own centroid, so from the query's cell it is
-across the bisector of the two centroids. The step to a partner at distance t has a part
-along that normal of about t / sqrt(dimensions); lists are probed up to ``spread`` times
-that beyond the bisector, or up to t where that is less (then no partner can be missed).
+across the bisector of the two centroids, at most its own distance t beyond it. All lists
+up to t beyond the bisector are probed, so no partner can be missed.
 Codes: an estimate differs from the true distance by at most the stored error of the
 code, so what this cut drops is no partner.
 
@@ -48,7 +47,6 @@ class Quantiser:
     codes: int = 64
     rounds: int = 8
     block: int = 1024
-    spread: float = 4.0
 
 
 @dataclass
@@ -147,7 +145,6 @@ def vector_links(nodes: DataFrame, index: Index, how: Quantiser, kind: type) ->
     queries by counts, so a list with any share of the vectors is spread over tasks.
     """
     reach = float(np.sqrt(2 - 2 * how.cosine))
-    margin = reach * min(1.0, how.spread / np.sqrt(index.coarse.shape[1]))
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,7 +156,7 @@ def vector_links(nodes: DataFrame, index: Index, how: Quantiser, kind: type) ->
             for start in range(0, len(points), 2048):
                 part = points[start : start + 2048]
                 own = squared(part, index.coarse).argmin(1)
-                q, lists = np.nonzero(probed(index, part, margin))
+                q, lists = np.nonzero(probed(index, part, reach))
                 at = np.concatenate((np.arange(len(part)), q)) + start
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate((own, lists)).astype(np.int64)),

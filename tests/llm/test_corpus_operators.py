@@ -276,6 +276,20 @@ def test_groups_of_near_vectors(spark, block):
     check_vectors(rows, found)
 
 
+def test_steps_straight_toward_the_next_centroid(spark):
+    """64 dimensions: partners across the border by nearly their whole distance."""
+    rng = np.random.default_rng(6)
+    points = embedding_pq.unit(rng.normal(size=(16, 64)).repeat(60, 0) + 0.5 * rng.normal(size=(960, 64)))
+    centres = embedding_pq.fit(points, embedding_pq.Quantiser(), 2 * len(points)).coarse
+    far = embedding_pq.squared(points, centres)
+    one, two = (centres[far.argsort(1)[:, i]] for i in (0, 1))
+    gap = two - one
+    side = gap - (gap * points).sum(1)[:, None] * points
+    moved = 0.951 * points + math.sqrt(1 - 0.951**2) * embedding_pq.unit(side)
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate((points, moved)))]
+    check_vectors(rows, embedding_pq.near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect())
+
+
 def test_vectors_on_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 2.0]), (2, [2.0, 4.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [nan, 1.0]), (7, [1.0, None]),
