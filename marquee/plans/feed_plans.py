@@ -204,11 +204,11 @@ def _(t):
 
 @query("s10_read_rss", RSS_ROWS.replace("SELECT id, 'T '", "SELECT 'T '"), "listings")
 def _(t):
-    """The same items written as feed files and read by the file reader."""
+    """The same items written as feed files, one of bounded size per part of a source, and read by the file reader."""
     folder = job_folder(t.spark, "rss")
     items = _rss(t).join(t.listings.select("id", "source"), "id")
-    files = items.groupBy("source").agg(F.concat(F.lit("<channel>"), F.array_join(F.collect_list("payload"), ""), F.lit("</channel>")).alias("value"))
-    files.write.partitionBy("source").text(folder)
+    files = items.groupBy("source", part().alias("part")).agg(F.concat(F.lit("<channel>"), F.array_join(F.collect_list("payload"), ""), F.lit("</channel>")).alias("value"))
+    files.write.partitionBy("source", "part").text(folder)
     rows = S.from_rss(S.read_rss(t.spark, folder), AS_OF)
     return plain(rows.select("title", "url", "venue_name", "event_date", "price", "image_url"))
 

@@ -54,3 +54,18 @@ def test_calendar_filters_prune_months(spark):
                   search.date_range(stored, "1998-06-01", "1998-06-09"), search.in_calendar_window(stored, "next_month", AS_OF)):
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert "PartitionFilters: [isnotnull(event_month" in plan
+
+
+def test_rss_files_hold_bounded_payloads(spark):
+    """No written line holds the items of a whole source."""
+    import glob
+
+    from marquee.plans.feed_plans import PER_PAYLOAD
+    from marquee.session import job_folder
+
+    above = job_folder(spark, "rss").removeprefix("file:").rsplit("/", 1)[0]
+    before = set(glob.glob(f"{above}/**/*.txt", recursive=True))
+    queries()["s10_read_rss"](spark, "/root/testdata/sf0.01")
+    new = set(glob.glob(f"{above}/**/*.txt", recursive=True)) - before
+    lines = [line for path in new for line in open(path)]
+    assert lines and max(line.count("<item ") for line in lines) <= PER_PAYLOAD
