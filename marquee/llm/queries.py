@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marquee.llm import (
-    chat, compression_rules, cotraining, embedding_pq, hmm_lm, language_id, mixing, sentencepiece_nbest, simhash, substring_dedup,
+    chat, compression_rules, conversation_repair, cotraining, embedding_pq, hmm_lm, language_id, merkle_manifest, mixing,
+    sentencepiece_nbest, simhash, substring_dedup,
 )
 from marquee.llm.common import fold, table, written
 
@@ -88,10 +89,32 @@ def op10_hmm_scores(spark: SparkSession, folder: str) -> DataFrame:
     return hmm_lm.score_texts(docs, flag="held_out")
 
 
+#: Fields of a leaf, in this order.
+LEAF_FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Witnesses of all documents, and what they make of texts that lost their line ends."""
+    docs = table(spark, folder, "documents")
+    fields = merkle_manifest.row_digest(LEAF_FIELDS)
+    harmed = merkle_manifest.row_digest([*LEAF_FIELDS[:-1], F.translate("text", "\n", "")])
+    even = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    held = merkle_manifest.manifest(docs, fields, keep={"found_leaf": F.unhex(F.when(even, harmed).otherwise(fields))})
+    return merkle_manifest.checked(
+        held.withColumn("found_leaf", F.lower(F.hex("found_leaf"))), leaf="found_leaf").drop("found_leaf")
+
+
+def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Cheapest repairs of the damaged conversations."""
+    rows = conversation_repair.damage(table(spark, folder, "conversations"))
+    signed, found = conversation_repair.repair(rows, alive=F.col("alive"))
+    return conversation_repair.repair_digests(signed, found).withColumnRenamed("conv", "conv_id")
+
+
 QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (op1_cotraining, op2_entropy_mixing, op3_chat_format, op4_paragraph_dedup, op5_language_id, op6_simhash_golay,
-              op7_embedding_pq, op8_compression_rules, op9_sentencepiece_nbest, op10_hmm_scores)
+              op7_embedding_pq, op8_compression_rules, op9_sentencepiece_nbest, op10_hmm_scores, op12_merkle_manifest, op13_conversation_repair)
 }
 
 #: Formatted length of a turn without its text, by role; escapes add one mark per control string.
@@ -99,7 +122,124 @@ _ESCAPES = r"""(length(text) - length(regexp_replace(text,
   '<(\\*s>)|<(\\*/s>)|\[(\\*INST\])|\[(\\*/INST\])|<(\\*<SYS>>)|<(\\*</SYS>>)|\[(\\*ROLE\])|\[(\\*/ROLE\])|\[(\\*END\])',
   '\1\2\3\4\5\6\7\8\9', 'g')))"""
 
+
+def _crc32(text: str) -> str:
+    """crc32 of an ASCII text in SQL: each byte is mixed in, then eight shifts."""
+    steps = f"flatten(list_transform(string_split({text}, ''), lambda c: [CAST(ord(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))"
+    mixed = "CASE WHEN o >= 0 THEN xor(c, o) ELSE xor(c >> 1, (c & 1) * 3988292384) END"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {steps}), lambda c, o: {mixed}), 4294967295)"
+
+
+def _leaf(text: str) -> str:
+    fields = [*[f"CAST({f} AS VARCHAR)" for f in LEAF_FIELDS[:-1]], text]
+    return "sha256(" + " || ".join(f"coalesce(strlen({f}) || ':' || {f}, '-')" for f in fields) + ")"
+
+
+#: Levels of a forest of ground nodes (tree, pos, digest, n), and the siblings of each node.
+_GROW = """
+{0} AS (
+  SELECT tree, 0 AS level, pos, digest, n FROM {1}
+  UNION ALL
+  SELECT tree, level + 1, pos // 3, sha256(string_agg(digest, '' ORDER BY pos)), (max(n) + 2) // 3
+  FROM {0} WHERE n > 1 GROUP BY tree, level, pos // 3
+), {0}_sides AS (
+  SELECT a.tree, a.level, a.pos,
+    coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS lft,
+    coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS rgt
+  FROM {0} a JOIN {0} b ON a.tree IS NOT DISTINCT FROM b.tree AND a.level = b.level AND a.pos // 3 = b.pos // 3
+  WHERE a.n > 1 GROUP BY a.tree, a.level, a.pos
+)"""
+
 ORACLES: dict[str, str] = {
+    "op12_merkle_manifest": f"""
+WITH RECURSIVE leaves AS (
+  SELECT doc_id, source AS tree, {_leaf("text")} AS digest,
+    CASE WHEN {_crc32("CAST(doc_id AS VARCHAR)")} % 2 = 0 THEN {_leaf("replace(text, chr(10), '')")} ELSE {_leaf("text")} END AS found
+  FROM documents
+), ground AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, digest) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n
+  FROM leaves
+), {_GROW.format("nodes", "ground").strip()}, tops AS (
+  SELECT 0 AS tree, tree AS name, digest, row_number() OVER (ORDER BY tree NULLS FIRST) - 1 AS pos, count(*) OVER () AS n
+  FROM nodes WHERE n = 1
+), {_GROW.format("peaks", "tops").strip()}, steps AS (
+  SELECT g.doc_id, g.tree, g.pos, s.level, s.lft, s.rgt
+  FROM ground g JOIN nodes_sides s ON s.tree IS NOT DISTINCT FROM g.tree AND s.pos = CAST(floor(g.pos / pow(3, s.level)) AS BIGINT)
+  UNION ALL
+  SELECT g.doc_id, g.tree, g.pos, 1000 + s.level, s.lft, s.rgt
+  FROM ground g JOIN tops t ON t.name IS NOT DISTINCT FROM g.tree
+  JOIN peaks_sides s ON s.pos = CAST(floor(t.pos / pow(3, s.level)) AS BIGINT)
+), paths AS (
+  SELECT tree, pos, string_agg(lft || rgt, '' ORDER BY level) AS siblings, list(lft ORDER BY level) AS lfts, list(rgt ORDER BY level) AS rgts
+  FROM steps GROUP BY tree, pos
+), folds AS (
+  SELECT g.*, coalesce(p.siblings, '') AS siblings, p.lfts, p.rgts, 0 AS done, found AS top
+  FROM ground g LEFT JOIN paths p ON p.tree IS NOT DISTINCT FROM g.tree AND p.pos = g.pos
+  UNION ALL
+  SELECT * REPLACE (done + 1 AS done, sha256(lfts[done + 1] || top || rgts[done + 1]) AS top) FROM folds WHERE done < len(lfts)
+), summit AS (SELECT digest AS root FROM peaks WHERE n = 1)
+SELECT doc_id, f.digest AS leaf, t.digest AS subroot, root, sha256(siblings) AS proof_sha256, top AS folded_root, top = root AS verified
+FROM folds f JOIN tops t ON t.name IS NOT DISTINCT FROM f.tree, summit
+WHERE done = coalesce(len(lfts), 0)""",
+    "op13_conversation_repair": f"""
+WITH RECURSIVE kinds AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {_crc32("(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))")} % 20 AS kind
+  FROM conversations
+), harmed AS (
+  SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(CASE kind WHEN 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM kinds WHERE kind <> 0
+), marked AS (
+  SELECT *, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body,
+    sha256((strlen(role) || ':') || role || text) AS mark FROM harmed
+), placed AS (
+  SELECT *, row_number() OVER turns AS i, lag(left(role, 1)) OVER turns AS before
+  FROM marked WINDOW turns AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, mark)
+), judged AS (
+  SELECT conv_id, turn, i, role, text, left(role, 1) AS initial, before,
+    CASE WHEN body = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, mark ORDER BY i) > 1 THEN 'duplicate' WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault
+  FROM placed
+), counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS last
+  FROM judged GROUP BY conv_id
+), edits(letter, place, initial, after, cost) AS (VALUES
+  ('D', 'n', '', 'n', 3), ('D', 's', '', 's', 3), ('D', 'u', '', 'u', 3), ('D', 'p', '', 'p', 3),
+  ('K', 'n', 's', 's', 0), ('K', 'n', 'u', 'u', 0), ('K', 's', 'u', 'u', 0), ('K', 'p', 'u', 'u', 0), ('K', 'u', 'a', 'p', 0),
+  ('R', 'n', '', 'u', 2), ('R', 's', '', 'u', 2), ('R', 'p', '', 'u', 2), ('R', 'u', '', 'p', 2)
+), inserts(place, letters, after, cost) AS (VALUES
+  ('n', '', 'n', 0), ('n', 'I', 'u', 2), ('n', 'II', 'p', 4), ('s', '', 's', 0), ('s', 'I', 'u', 2), ('s', 'II', 'p', 4),
+  ('u', '', 'u', 0), ('u', 'I', 'p', 2), ('u', 'II', 'u', 4), ('p', '', 'p', 0), ('p', 'I', 'u', 2), ('p', 'II', 'p', 4)
+), best AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS i, 'n' AS place, 0 AS cost, '' AS audit, '' AS said FROM counts
+  UNION ALL
+  SELECT conv_id, i, place, (min(made)).c, (min(made)).a, (min(made)).s FROM (
+    SELECT b.conv_id, b.i + 1 AS i, e.after AS place, {{
+      'c': b.cost + x.cost + e.cost + CASE WHEN e.letter <> 'D' AND j.fault = 'truncated' THEN 1 ELSE 0 END,
+      'a': b.audit || x.letters || e.letter,
+      's': b.said || CASE x.letters WHEN '' THEN '' WHEN 'I' THEN CASE b.place WHEN 'u' THEN 'assistant:' || chr(10) ELSE 'user:' || chr(10) END
+        ELSE CASE b.place WHEN 'u' THEN 'assistant:' || chr(10) || 'user:' || chr(10) ELSE 'user:' || chr(10) || 'assistant:' || chr(10) END END
+        || CASE e.letter WHEN 'D' THEN '' WHEN 'K' THEN j.role || ':' || j.text || chr(10)
+        ELSE CASE e.after WHEN 'p' THEN 'assistant:' ELSE 'user:' END || j.text || chr(10) END}} AS made
+    FROM best b JOIN judged j ON j.conv_id IS NOT DISTINCT FROM b.conv_id AND j.i = b.i + 1
+    JOIN inserts x ON x.place = b.place
+    JOIN edits e ON e.place = x.after AND (e.letter <> 'K' OR e.initial = j.initial)
+      AND (e.letter = 'D' OR j.fault NOT IN ('blank', 'duplicate'))
+  ) GROUP BY conv_id, i, place
+), ended AS (
+  SELECT conv_id, min({{'c': cost + CASE place WHEN 'u' THEN 2 WHEN 's' THEN 4 ELSE 0 END,
+    'a': audit || CASE place WHEN 'u' THEN 'I' WHEN 's' THEN 'II' ELSE '' END,
+    's': said || CASE place WHEN 'u' THEN 'assistant:' || chr(10) WHEN 's' THEN 'user:' || chr(10) || 'assistant:' || chr(10) ELSE '' END}}) AS made
+  FROM best JOIN counts c USING (conv_id) WHERE i = c.last GROUP BY conv_id
+)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(made.c, 0) AS BIGINT) AS cost,
+  coalesce(made.a, '') AS audit, sha256(CASE WHEN coalesce(made.s, '') = '' THEN '' ELSE left(made.s, length(made.s) - 1) END) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a
+LEFT JOIN counts USING (conv_id) LEFT JOIN ended USING (conv_id)""",
     "op3_chat_format": f"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
