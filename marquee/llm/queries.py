@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from marquee.llm import (
     chat, compression_rules, conversation_repair, cotraining, embedding_pq, hmm_lm, language_id, merkle_manifest, mixing,
-    sentencepiece_nbest, simhash, substring_dedup,
+    sentencepiece_nbest, simhash, substring_dedup, toxicity,
 )
 from marquee.llm.common import fold, table, written
 
@@ -89,6 +89,15 @@ def op10_hmm_scores(spark: SparkSession, folder: str) -> DataFrame:
     return hmm_lm.score_texts(docs, flag="held_out")
 
 
+def op11_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document; the lexicon is learned from four of five folds."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    labels = table(spark, folder, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    lessons = docs.where(fold("doc_id", 5) != 0).join(labels, "doc_id")
+    scored = toxicity.score_texts(docs, toxicity.learn_lexicon(lessons))
+    return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted", "hits", "n_words")
+
+
 #: Fields of a leaf, in this order.
 LEAF_FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
 
@@ -114,7 +123,7 @@ def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (op1_cotraining, op2_entropy_mixing, op3_chat_format, op4_paragraph_dedup, op5_language_id, op6_simhash_golay,
-              op7_embedding_pq, op8_compression_rules, op9_sentencepiece_nbest, op10_hmm_scores, op12_merkle_manifest, op13_conversation_repair)
+              op7_embedding_pq, op8_compression_rules, op9_sentencepiece_nbest, op10_hmm_scores, op11_toxicity, op12_merkle_manifest, op13_conversation_repair)
 }
 
 #: Formatted length of a turn without its text, by role; escapes add one mark per control string.
