@@ -92,9 +92,8 @@ def op10_hmm_scores(spark: SparkSession, folder: str) -> DataFrame:
 def op11_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """Toxicity of every document; the lexicon is learned from four of five folds."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    labels = table(spark, folder, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    lessons = docs.where(fold("doc_id", 5) != 0).join(labels, "doc_id")
-    scored = toxicity.score_texts(docs, toxicity.learn_lexicon(lessons))
+    lexicon = toxicity.learn_lexicon(docs.where(fold("doc_id", 5) != 0), table(spark, folder, "labels"))
+    scored = toxicity.score_texts(docs, lexicon)
     return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted", "hits", "n_words")
 
 

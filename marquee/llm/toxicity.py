@@ -43,14 +43,14 @@ UNSEEN = [0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, *range(0x300, 0x370)]
 
 _LETTERS = str.maketrans({**LOOKALIKES, **{chr(c): None for c in UNSEEN}})
 _SIGNS = str.maketrans(SIGNS)
-_INNER = re.compile(r"(?<=[^\W_])[@$!|]+(?=[^\W_])")
-_NUMBERED = re.compile(r"[^\W_]*\d[^\W_]*")
+_INNER = re.compile(r"[@$!|]+(?=[^\W_])")
 _WORDS = re.compile(r"[^\W_]+")
 
 
 def _spelled(found: re.Match) -> str:
-    word = found.group()
-    return word if word.isdigit() else word.translate(_SIGNS)
+    """Signs within a word as letters; in front of one they stay signs."""
+    signs, before = found.group(), found.string[found.start() - 1 : found.start()]
+    return signs.translate(_SIGNS) if before.isalnum() else signs
 
 
 def fold_text(text: str | None) -> str:
@@ -62,8 +62,10 @@ def fold_text(text: str | None) -> str:
         text = text.lower().translate(_LETTERS)
     else:
         text = text.lower()
-    text = _INNER.sub(lambda m: m.group().translate(_SIGNS), text)
-    words = _WORDS.findall(_NUMBERED.sub(_spelled, text))
+    if any(c in text for c in "@$!|"):
+        text = _INNER.sub(_spelled, text)
+    # digits stand for letters in words that have letters
+    words = [w if w.isalpha() or w.isdigit() else w.translate(_SIGNS) for w in _WORDS.findall(text)]
     return f" {' '.join(words)} " if words else " "
 
 
@@ -88,7 +90,7 @@ class Lexicon:
 
     terms: dict[str, float]
     exceptions: list[str] = field(default_factory=list)
-    #: Constant, and the factors of the two measures of ``measures``.
+    #: Constant, and the factors of the weight of all hits and of that against the length (``_measured``).
     calibration: tuple[float, float, float] = (-3.0, 1.0, 1.0)
 
 
@@ -128,11 +130,6 @@ class Matcher:
         return {at: w for at, w in found.items() if at not in spared}
 
 
-def measures(weight: float, words: int) -> tuple[float, float]:
-    """What is calibrated: the weight of all hits, and the same against the length."""
-    return math.log2(1 + weight), math.log2(1 + 100 * weight / (words + 10))
-
-
 # -- learning ---------------------------------------------------------------------------------
 
 
@@ -151,19 +148,28 @@ class Learning:
     #: A term's share of toxic texts is so many times its share of others, at this many standard deviations.
     ratio: float = 8.0
     sure: float = 2.0
+    #: A term comes in such a share of the toxic texts: what only the copies of a few share is none.
+    share: float = 0.02
     #: Texts without other hits that make an exception.
     alone: int = 3
 
 
-def labelled_texts(docs: DataFrame, label: str, text: str, how: Learning) -> DataFrame:
-    """(_text, toxic) of distinct labelled texts, written; a text with several labels has the greater."""
-    own = docs.where(F.col(f"`{label}`").isNotNull()).select(
-        F.col(f"`{text}`").cast("string").alias("_text"), (F.col(f"`{label}`") > 0).alias("toxic")).where("_text is not null")
-    hashed = own.withColumn("_h", F.xxhash64("_text"))
-    distinct = hashed.agg(F.approx_count_distinct("_h", 0.02)).first()[0]
-    if distinct > how.texts:
-        hashed = hashed.where(F.col("_h") < F.lit(int(-(1 << 63) + (1 << 64) * how.texts / distinct)))
-    return written(hashed.groupBy("_text").agg(F.max("toxic").alias("toxic")), "labelled")
+def labelled_texts(docs: DataFrame, labels: DataFrame, doc_id: str, label: str, text: str, how: Learning) -> DataFrame:
+    """(_text, toxic) of distinct labelled texts, written; a text with several labels has the greater.
+
+    Labels find their texts by id and hash, so only the chosen texts move.
+    """
+    own = docs.where(F.col(f"`{text}`").isNotNull()).select(
+        F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{text}`").cast("string").alias("_text")).withColumn("_h", F.xxhash64("_text"))
+    told = labels.where(F.col(f"`{label}`").isNotNull()).groupBy(F.col(f"`{doc_id}`").alias("_id")).agg(
+        F.max(F.col(f"`{label}`") > 0).alias("toxic"))
+    known = written(own.select("_id", "_h").join(told, "_id").groupBy("_h").agg(F.max("toxic").alias("toxic")), "labelled")
+    n = known.count()
+    if n > how.texts:
+        known = known.where(F.col("_h") < F.lit(int(-(1 << 63) + (1 << 64) * how.texts / n)))
+    # about ``how.texts`` rows of a hash and a flag, whatever the input
+    chosen = own.select("_h", "_text").join(F.broadcast(known), "_h")
+    return written(chosen.groupBy("_h").agg(F.min("_text").alias("_text"), F.max("toxic").alias("toxic")).drop("_h"), "lessons")
 
 
 def beginnings(folded: str, how: Learning) -> Counter[str]:
@@ -178,26 +184,32 @@ def beginnings(folded: str, how: Learning) -> Counter[str]:
 
 
 def _counted(texts: DataFrame, how: Learning) -> DataFrame:
-    """(term, times, toxic, clean): texts of either label that hold a term at least 1, 2 or 3 times."""
+    """(term, t1, t2, t3, c1, c2, c3): toxic and other texts that hold a term at least 1, 2 or 3 times."""
+    names = ["t1", "t2", "t3", "c1", "c2", "c3"]
+    kinds = pa.schema([("term", pa.string()), *[(c, pa.int64()) for c in names]])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, int], list[int]] = {}
+        held: dict[str, list[int]] = {}
 
         def flush() -> Iterator[pa.RecordBatch]:
-            rows = ((*key, *n) for key, n in held.items())
-            yield from rows_to_batches(rows, pa.schema([("term", pa.string()), ("times", pa.int32()), ("toxic", pa.int64()), ("clean", pa.int64())]))
+            yield from rows_to_batches(((term, *n) for term, n in held.items()), kinds)
             held.clear()
 
         for batch in batches:
             for text, toxic in zip(batch.column(0), batch.column(1).to_pylist()):
+                first = 0 if toxic else 3
                 for term, n in beginnings(fold_text(text.as_py()), how).items():
-                    for times in range(1, min(n, 3) + 1):
-                        held.setdefault((term, times), [0, 0])[0 if toxic else 1] += 1
-                if len(held) > 400_000:
+                    row = held.get(term)
+                    if row is None:
+                        row = held[term] = [0] * 6
+                    for at in range(first, first + min(n, 3)):
+                        row[at] += 1
+                if len(held) > 300_000:
                     yield from flush()
         yield from flush()
 
-    return texts.mapInArrow(run, "term string, times int, toxic bigint, clean bigint").groupBy("term", "times").agg(
-        F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    return texts.mapInArrow(run, "term string, " + ", ".join(f"{c} bigint" for c in names)).groupBy("term").agg(
+        *[F.sum(c).alias(c) for c in names])
 
 
 def _surprise(toxic: Column, clean: Column, n1: int, n0: int) -> Column:
@@ -216,23 +228,24 @@ def learn_terms(texts: DataFrame, n1: int, n0: int, how: Learning) -> dict[str,
 
     Of a word's beginnings the one that tells most is a term, of equal ones the longest.
     """
-    counts = written(_counted(texts, how), "beginnings")
-    tried = max(counts.agg(F.count(F.lit(1))).first()[0], 1)
+    counts = written(_counted(texts, how).where("t1 >= 3"), "beginnings")
+    tried = max(counts.count(), 1)
+    by_times = F.explode(F.array(*[F.struct(F.col(f"t{i}").alias("toxic"), F.col(f"c{i}").alias("clean")) for i in (1, 2, 3)]))
+    rows = counts.select("term", by_times.alias("n")).select("term", "n.toxic", "n.clean")
     ratio = F.log((F.col("toxic") + 0.5) / (n1 + 1) / ((F.col("clean") + 0.5) / (n0 + 1)))
     doubt = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
-    told = counts.where("toxic >= 3").select(
-        "term", "times", _surprise(F.col("toxic"), F.col("clean"), n1, n0).alias("surprise"), (ratio - how.sure * doubt).alias("least"))
+    told = rows.where(F.col("toxic") >= F.greatest(F.lit(3), F.ceil(F.lit(how.share * n1)))).select(
+        "term", _surprise(F.col("toxic"), F.col("clean"), n1, n0).alias("surprise"), (ratio - how.sure * doubt).alias("least"))
     # a surprise that chance gives once among so many tries is none
     told = told.where((F.col("least") > math.log(how.ratio)) & (F.col("surprise") > 2 * math.log(tried)))
     best = told.groupBy("term").agg(F.max("surprise").alias("surprise"))
     order = [F.desc("surprise"), F.desc(F.length("term")), F.col("term")]
-    rows = best.orderBy(*order).limit(how.candidates).collect()
     chosen: list[str] = []
-    for row in rows:
+    for row in best.orderBy(*order).limit(how.candidates).collect():
         term = row["term"]
         if len(chosen) < how.terms and not any(term.startswith(c.rstrip()) or c.startswith(term.rstrip()) for c in chosen):
             chosen.append(term)
-    once = counts.where((F.col("times") == 1) & F.col("term").isin(chosen)).select("term", ratio.alias("weight")).collect()
+    once = counts.where(F.col("term").isin(chosen)).withColumnsRenamed({"t1": "toxic", "c1": "clean"}).select("term", ratio.alias("weight")).collect()
     return {r["term"]: max(r["weight"], 0.1) for r in sorted(once, key=lambda r: r["term"])}
 
 
@@ -294,6 +307,7 @@ def weighed(texts: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFrame
 
 
 def _measured(rows: DataFrame) -> list[Column]:
+    """What is calibrated: the weight of all hits, and the same against the length."""
     return [F.log2(1 + F.col("weight")), F.log2(1 + 100 * F.col("weight") / (F.col("n_words") + 10))]
 
 
@@ -320,14 +334,17 @@ def fit(points: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> tuple[float
         use.pop(int(np.argmin(b[1:])))
 
 
-def learn_lexicon(docs: DataFrame, label: str = "toxic", text: str = "text", how: Learning = Learning()) -> Lexicon:
-    """Terms, exceptions and calibration from the rows of ``docs`` with a label (more than 0: toxic).
+def learn_lexicon(
+    docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", label: str = "toxic", text: str = "text", how: Learning = Learning(),
+) -> Lexicon:
+    """Terms, exceptions and calibration from the texts of ``docs`` with a label (more than 0: toxic).
 
-    Rows with a null label or text are not learned from; equal texts are one. Without texts
-    of both labels the lexicon is empty and every score the share of toxic texts.
+    Null labels, texts and ids are no lessons; equal texts are one. Without texts of both
+    labels the lexicon is empty and every score about the share of toxic texts, a quarter
+    without any.
     """
-    texts = labelled_texts(docs, label, text, how)
-    n1, n0 = (texts.agg(F.count_if("toxic"), F.count_if(~F.col("toxic"))).first())
+    texts = labelled_texts(docs, labels, doc_id, label, text, how)
+    n1, n0 = texts.agg(F.count_if("toxic"), F.count_if(~F.col("toxic"))).first()
     if not n1 or not n0:
         return Lexicon({}, [], (math.log((n1 + 0.5) / (n0 + 1.5)), 0.0, 0.0))
     terms = learn_terms(texts, n1, n0, how)
