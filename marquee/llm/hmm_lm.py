@@ -50,11 +50,12 @@ class Shape:
     iterations: int | None = None
     #: A round that raises log10 p of a training token by less is a standstill.
     least_gain: float = 1e-3
-    #: No standstill counts before so many rounds: the states part slowly at first.
-    least_rounds: int = 10
+    #: No standstill counts before so many rounds.
+    least_rounds: int = 6
     segment: int = 1024
     smooth: float = 0.1
-    seed: int = 11
+    #: Frequent classes that count as neighbours when the first states are made.
+    neighbours: int = 64
 
     @property
     def classes(self) -> int:
@@ -143,10 +144,11 @@ def most_frequent(counts: DataFrame, sizes: list[int]) -> list[dict[bytes, int]]
             least = bar["step"]
         return least
 
-    wide = threshold(max(sizes))
+    least_steps = [threshold(size) for size in sizes]
+    wide = min(least_steps)
     rows = stepped.where(F.col("step") >= F.lit(int(wide))).collect() if wide < math.inf else []
     rows.sort(key=lambda r: (-r["n"], bytes(r["word"])))
-    return [{bytes(r["word"]): r["n"] for r in rows if r["step"] >= threshold(size)} for size in sizes]
+    return [{bytes(r["word"]): r["n"] for r in rows if r["step"] >= least} for least in least_steps]
 
 
 def learn_vocabulary(counts: DataFrame, shape: Shape) -> Vocabulary:
@@ -227,17 +229,65 @@ class Hmm:
     emit: np.ndarray
 
 
-def first_guess(vocabulary: Vocabulary) -> Hmm:
-    """Class frequencies, tilted at random per state to break the symmetry."""
+def neighbour_counts(texts: DataFrame, shape: Shape) -> np.ndarray:
+    """(class, neighbour): how often a frequent class stands before (first half) or after a class, over all texts."""
+    wide = shape.neighbours
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(shape.classes * 2 * wide, np.int64)
+        for _, sequences in _grouped(batches, 0):
+            for one in sequences:
+                left, right = one[:-1].astype(np.int64), one[1:].astype(np.int64)
+                for own, other, side in ((right, left, 0), (left, right, wide)):
+                    near = other < wide
+                    np.add.at(sums, own[near] * (2 * wide) + other[near] + side, 1)
+        at = np.flatnonzero(sums)
+        yield packed([at, sums[at]], pa.schema([("at", pa.int64()), ("x", pa.int64())]))
+
+    rows = texts.select("classes").mapInArrow(run, "at bigint, x bigint").groupBy("at").agg(F.sum("x").alias("x")).toArrow()
+    out = np.zeros(shape.classes * 2 * wide)
+    out[rows.column("at").to_numpy()] = rows.column("x").to_numpy()
+    return out.reshape(shape.classes, 2 * wide)
+
+
+def clusters(points: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
+    """k-means of weighted points, started from points that lie far apart."""
+    centres = [points[np.argmax(weights)]]
+    while len(centres) < k:
+        apart = np.min([((points - c) ** 2).sum(1) for c in centres], axis=0)
+        centres.append(points[np.argmax(apart * weights)])
+    own = np.zeros(len(points), np.int64)
+    for _ in range(30):
+        own = ((points[:, None] - np.array(centres)[None]) ** 2).sum(2).argmin(1)
+        centres = [np.average(points[own == j], axis=0, weights=weights[own == j]) if (own == j).any() else centres[j] for j in range(k)]
+    return own
+
+
+def first_guess(vocabulary: Vocabulary, near: np.ndarray) -> Hmm:
+    """A state for each cluster of classes with like neighbours (``near``, of ``neighbour_counts``).
+
+    States that begin alike part slowly; these begin with classes of their own.
+    """
     shape = vocabulary.shape
-    rng = np.random.default_rng(shape.seed)
-    emit = (vocabulary.class_total + 1.0)[:, None] * rng.uniform(0.2, 1.8, (shape.classes, shape.states))
-    move = rng.uniform(0.5, 1.5, (shape.states, shape.states)) + np.eye(shape.states)
+    weights = vocabulary.class_total + 1.0
+    seen = np.sqrt(near / (near.sum(1, keepdims=True) + 1)) - np.sqrt(near.sum(0) / (near.sum() + 1))
+    _, _, axes = np.linalg.svd(seen * np.sqrt(weights)[:, None], full_matrices=False)
+    own = clusters(seen @ axes[: shape.states + 2].T, weights, shape.states)
+    emit = np.full((shape.classes, shape.states), 0.05)
+    emit[np.arange(shape.classes), own] = 1
+    emit *= weights[:, None]
+    # moves between clusters, as far as the right neighbour is one of the frequent classes
+    share = np.eye(shape.states)[own]
+    move = share.T @ near[:, shape.neighbours :] @ share[: shape.neighbours] + 1
     return Hmm(np.full(shape.states, 1 / shape.states), move / move.sum(1, keepdims=True), emit / emit.sum(0))
 
 
 class Segments:
-    """Class sequences cut into segments of a bounded length, longest first, side by side."""
+    """Class sequences cut into segments of a bounded length, longest first, side by side.
+
+    The first classes of all segments come first, then the second ones, and so on: a step
+    of all segments is one slice.
+    """
 
     def __init__(self, sequences: list[np.ndarray], length: int):
         self.texts = len(sequences)
@@ -250,6 +300,8 @@ class Segments:
         order = np.argsort(-size, kind="stable")
         self.begin, self.size, self.order = begin[order], size[order], order
         self.live = [int(np.searchsorted(-self.size, -t, side="left")) for t in range(int(size.max()))]
+        self.flat = self.flat[np.concatenate([self.begin[:n] + t for t, n in enumerate(self.live)])]
+        self.step = np.cumsum([0, *self.live]).tolist()
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         first = np.flatnonzero(np.diff(self.text, prepend=-1))
@@ -280,7 +332,7 @@ def segment_maps(hmm: Hmm, seg: Segments) -> tuple[np.ndarray, np.ndarray]:
         stepped = made[own] @ hmm.move
         if t == 0:
             stepped[begins[own]] = np.eye(k)
-        stepped *= hmm.emit[seg.flat[seg.begin[own] + t]][:, None, :]
+        stepped *= hmm.emit[seg.flat[seg.step[t] + own]][:, None, :]
         most = stepped.max((1, 2))
         stepped /= most[:, None, None]
         scale[own] += np.log10(most)
@@ -312,66 +364,64 @@ def stitched(hmm: Hmm, seg: Segments) -> tuple[np.ndarray, np.ndarray]:
 def forward_scores(hmm: Hmm, seg: Segments) -> np.ndarray:
     """log10 probability of each text: the scaled forward recursion, all segments at once."""
     before, _ = stitched(hmm, seg)
-    score = np.zeros(seg.texts)
-    np.add.at(score, seg.owner, _forward(hmm, seg, before, None))
-    return score
+    _, total = _forward(hmm, seg, before, hmm.emit[seg.flat])
+    score = np.zeros(len(seg.size))
+    logs = np.log10(total)
+    for t, n in enumerate(seg.live):
+        score[:n] += logs[seg.step[t] : seg.step[t + 1]]
+    return np.bincount(seg.owner, weights=score, minlength=seg.texts)
 
 
-def _forward(hmm: Hmm, seg: Segments, state: np.ndarray, held: list | None) -> np.ndarray:
-    """log10 of each segment's scale; ``state`` becomes the distribution at its end, ``held`` gets each step."""
+def _forward(hmm: Hmm, seg: Segments, before: np.ndarray, emitted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The state distribution after each class and the scale of each step, in the order of ``seg.flat``."""
     begins = np.zeros(len(seg.size), bool)
     begins[seg.waves[0]] = True
-    score = np.zeros(len(seg.size))
+    alpha, total = np.empty_like(emitted), np.empty(len(emitted))
+    now = before
     for t, n in enumerate(seg.live):
-        part = state[:n] @ hmm.move
+        at = slice(seg.step[t], seg.step[t + 1])
+        part = alpha[at]
+        np.matmul(now[:n], hmm.move, out=part)
         if t == 0:
-            part[begins[:n]] = hmm.start
-        part *= hmm.emit[seg.flat[seg.begin[:n] + t]]
-        total = part.sum(1)
-        part /= total[:, None]
-        state[:n] = part
-        score[:n] += np.log10(total)
-        if held is not None:
-            held.append((part, total))
-    return score
+            part[begins] = hmm.start
+        part *= emitted[at]
+        sums = total[at]
+        part.sum(1, out=sums)
+        part /= sums[:, None]
+        now = part
+    return alpha, total
 
 
 def expected_counts(hmm: Hmm, seg: Segments) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Expected starts, moves and emissions of the texts, and their log10 probability."""
     before, behind = stitched(hmm, seg)
-    k = len(hmm.start)
-    begins = np.zeros(len(seg.size), bool)
-    begins[seg.waves[0]] = True
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    state = before.copy()
-    score = _forward(hmm, seg, state, held)
-    starts, moves = np.zeros(k), np.zeros((k, k))
-    emits = np.zeros((len(hmm.emit), k))
-    kinds, weights = [], []
-    back = behind / np.maximum((state * behind).sum(1), 1e-300)[:, None]  # so that state * back sums to 1
+    k, segments = len(hmm.start), len(seg.size)
+    emitted = hmm.emit[seg.flat]
+    alpha, total = _forward(hmm, seg, before, emitted)
+    ends = alpha[np.array(seg.step)[seg.size - 1] + np.arange(segments)]
+    beta = np.empty_like(alpha)
+    back = behind / np.maximum((ends * behind).sum(1), 1e-300)[:, None]  # so that ends * back sums to 1
+    emitted /= total[:, None]
+    turned = np.ascontiguousarray(hmm.move.T)
     for t in range(len(seg.live) - 1, -1, -1):
-        n = seg.live[t]
-        alpha, total = held[t]
-        beta = back[:n]
-        gamma = alpha * beta
-        gamma /= gamma.sum(1)[:, None]
-        seen = seg.flat[seg.begin[:n] + t]
-        kinds.append(seen)
-        weights.append(gamma)
-        out = hmm.emit[seen] * beta / total[:, None]
-        if t:
-            moves += held[t - 1][0][:n].T @ out * hmm.move
-        else:
-            inner = ~begins[:n]
-            starts += gamma[~inner].sum(0)
-            moves += before[:n][inner].T @ out[inner] * hmm.move
-        back[:n] = out @ hmm.move.T
-        if len(kinds) >= 64 or t == 0:
-            seen, weight = np.concatenate(kinds), np.concatenate(weights)
-            for j in range(k):
-                emits[:, j] += np.bincount(seen, weights=weight[:, j], minlength=len(emits))
-            kinds, weights = [], []
-    return starts, moves, emits, float(score.sum())
+        at = slice(seg.step[t], seg.step[t + 1])
+        part = back[: seg.live[t]]
+        beta[at] = part
+        out = emitted[at]
+        out *= part
+        np.matmul(out, turned, out=part)
+    # from here ``emitted`` is the class's emission times what follows, scaled
+    begins = np.zeros(segments, bool)
+    begins[seg.waves[0]] = True
+    inner = ~begins
+    moves = before[inner].T @ emitted[:segments][inner]
+    former = np.concatenate([np.arange(seg.step[t - 1], seg.step[t - 1] + seg.live[t]) for t in range(1, len(seg.live))] or [np.zeros(0, np.int64)])
+    moves = (moves + alpha[former].T @ emitted[segments:]) * hmm.move
+    beta *= alpha
+    beta /= beta.sum(1)[:, None]
+    starts = beta[:segments][begins].sum(0)
+    emits = np.column_stack([np.bincount(seg.flat, weights=beta[:, j], minlength=len(hmm.emit)) for j in range(k)])
+    return starts, moves, emits, float(np.log10(total).sum())
 
 
 #: Tokens computed side by side by a task.
@@ -425,7 +475,7 @@ def standstill(scores: list[float], shape: Shape) -> bool:
 
 def trained(texts: DataFrame, vocabulary: Vocabulary, shape: Shape) -> Hmm:
     """The model after Baum-Welch over all texts, until ``standstill`` or for ``shape.iterations`` rounds."""
-    hmm, scores = first_guess(vocabulary), []
+    hmm, scores = first_guess(vocabulary, neighbour_counts(texts, shape)), []
     while vocabulary.total and len(scores) != shape.iterations:
         hmm, score = baum_welch_step(texts, hmm, shape)
         scores.append(score / vocabulary.total)
