@@ -45,13 +45,15 @@ class Shape:
     own_classes: int = 2048
     shared_classes: int = 1024
     #: Words whose counts travel to the tasks; the counts of all others are joined.
-    frequent: int = 100_000
+    frequent: int = 250_000
     #: Baum-Welch rounds; None: until the likelihood stops rising, see ``trained``.
     iterations: int | None = None
     #: A round that raises log10 p of a training token by less is a standstill.
     least_gain: float = 1e-3
     #: No standstill counts before so many rounds.
-    least_rounds: int = 6
+    least_rounds: int = 3
+    #: Parts of the texts after each of which the model moves.
+    shares: int = 4
     segment: int = 1024
     smooth: float = 0.1
     #: Frequent classes that count as neighbours when the first states are made.
@@ -175,11 +177,18 @@ def learn_vocabulary(counts: DataFrame, shape: Shape) -> Vocabulary:
 # -- texts as classes --------------------------------------------------------------------
 
 
+class _Places(dict):
+    """Places of the frequent words; any other word has none."""
+
+    def __missing__(self, word: bytes) -> int:
+        return -1
+
+
 def encoded(docs: DataFrame, doc_id: str, text: str, keep: list[str], vocabulary: Vocabulary) -> DataFrame:
     """Texts as class sequences (bytes of uint16), with the sums over frequent words and the other words.
 
     Columns: row, id, the kept ones, classes, n_tokens, n_known, base, within, rare
-    (words with their numbers of occurrences).
+    (words with their numbers of occurrences), share (by a hash of id and classes).
     """
     own = ["id", *keep]
     picked = docs.select(F.col(f"`{doc_id}`").alias("id"), *[F.col(c) for c in keep], text_bytes(text).alias("_text"))
@@ -187,14 +196,14 @@ def encoded(docs: DataFrame, doc_id: str, text: str, keep: list[str], vocabulary
                                "rare array<struct<word:binary,times:int>>")
     schema = StructType([*picked.drop("_text").schema.fields, *kinds.fields])
     v = vocabulary
-    place = {w: i for i, w in enumerate(v.counts)}
+    place = _Places((w, i) for i, w in enumerate(v.counts))
     kind_of = np.array([v.class_of(w) for w in v.counts] or [0], np.uint16)
     base_of = np.array([v.base(n) for n in v.counts.values()] or [0.0])
     within_of = np.array([v.within(int(c), n) for c, n in zip(kind_of, v.counts.values())] or [0.0])
 
     def one(data: bytes | None) -> tuple:
         words = tokens(data or b"")
-        at = np.array([place.get(w, -1) for w in words])
+        at = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
         other = np.flatnonzero(at < 0)
         known = at if not len(other) else at[at >= 0]
         kinds_ = kind_of[at]
@@ -214,7 +223,8 @@ def encoded(docs: DataFrame, doc_id: str, text: str, keep: list[str], vocabulary
                 columns = [pa.array(list(c), t) for c, t in zip(zip(*rows), types)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *columns], names=[*own, *kinds.names])
 
-    return picked.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id())
+    rows = picked.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id())
+    return rows.withColumn("share", F.pmod(F.xxhash64("id", "classes"), F.lit(v.shape.shares)).cast("int"))
 
 
 # -- the latent model --------------------------------------------------------------------
@@ -312,38 +322,36 @@ class Segments:
         self.several = count[self.owner] > 1
 
 
-def segment_maps(hmm: Hmm, seg: Segments) -> tuple[np.ndarray, np.ndarray]:
-    """(S x K x K, S): what a segment makes of a state before it, scaled, and the log10 of the scale.
+def segment_maps(hmm: Hmm, seg: Segments) -> np.ndarray:
+    """(S x K x K) up to a factor a segment: what it makes of a state before it, for texts of several segments.
 
     Entry [s, i, j] is the probability of the segment's classes ending in state j, given
-    that its first step leaves state i; a text's first segment starts without a step.
-    Texts of one segment need no map; theirs stay untouched.
+    that its first step leaves state i; a text's first segment starts without a step. The
+    segments are those of ``seg.several``, in their order.
     """
     k = len(hmm.start)
-    made = np.broadcast_to(np.eye(k), (len(seg.size), k, k)).copy()
-    scale = np.zeros(len(seg.size))
-    begins = np.zeros(len(seg.size), bool)
-    begins[seg.waves[0]] = True
-    several = np.flatnonzero(seg.several)
+    own = np.flatnonzero(seg.several)
+    begins = np.isin(own, seg.waves[0])
+    made = np.broadcast_to(np.eye(k), (len(own), k, k)).copy()
     for t, n in enumerate(seg.live):
-        own = several[: np.searchsorted(several, n)]
-        if not len(own):
+        live = int(np.searchsorted(own, n))
+        if not live:
             break
-        stepped = made[own] @ hmm.move
+        part = (made[:live].reshape(-1, k) @ hmm.move).reshape(live, k, k)
         if t == 0:
-            stepped[begins[own]] = np.eye(k)
-        stepped *= hmm.emit[seg.flat[seg.step[t] + own]][:, None, :]
-        most = stepped.max((1, 2))
-        stepped /= most[:, None, None]
-        scale[own] += np.log10(most)
-        made[own] = stepped
-    return made, scale
+            part[begins] = np.eye(k)
+        part *= hmm.emit[seg.flat[seg.step[t] + own[:live]]][:, None, :]
+        if t % 8 == 7:  # eight steps are far from underflow
+            part /= part.max((1, 2))[:, None, None]
+        made[:live] = part
+    return made / made.max((1, 2))[:, None, None]
 
 
 def stitched(hmm: Hmm, seg: Segments) -> tuple[np.ndarray, np.ndarray]:
     """Per segment the distribution before it, and the backward weights after it (S x K); of texts of several."""
-    made, _ = segment_maps(hmm, seg)
     k = len(hmm.start)
+    maps = segment_maps(hmm, seg) if seg.several.any() else np.zeros((0, k, k))
+    place = np.cumsum(seg.several) - 1
     now = np.tile(hmm.start, (seg.texts, 1))
     before = np.tile(hmm.start, (len(seg.size), 1))
     later, behind = np.ones((seg.texts, k)), np.ones((len(seg.size), k))
@@ -351,12 +359,12 @@ def stitched(hmm: Hmm, seg: Segments) -> tuple[np.ndarray, np.ndarray]:
     for wave in waves:
         text = seg.owner[wave]
         before[wave] = now[text]
-        after = np.einsum("si,sij->sj", now[text], made[wave])
+        after = np.einsum("si,sij->sj", now[text], maps[place[wave]])
         now[text] = after / after.sum(1)[:, None]
     for wave in waves[::-1]:
         text = seg.owner[wave]
         behind[wave] = later[text]
-        earlier = np.einsum("sij,sj->si", made[wave], later[text])
+        earlier = np.einsum("sij,sj->si", maps[place[wave]], later[text])
         later[text] = earlier / earlier.max(1)[:, None]
     return before, behind
 
@@ -425,7 +433,7 @@ def expected_counts(hmm: Hmm, seg: Segments) -> tuple[np.ndarray, np.ndarray, np
 
 
 #: Tokens computed side by side by a task.
-BATCH = 400_000
+BATCH = 800_000
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -443,23 +451,32 @@ def _grouped(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[p
             yield batch.slice(start), held
 
 
-def baum_welch_step(texts: DataFrame, hmm: Hmm, shape: Shape) -> tuple[Hmm, float]:
-    """One round over all texts (column classes): counts added up per task, then over tasks."""
-    k, c = shape.states, shape.classes
+def count_step(texts: DataFrame, hmm: Hmm, shape: Shape) -> np.ndarray:
+    """Expected counts of texts (column classes) as one array, added up per task, then over tasks; last their log10 p."""
+    size = shape.states + shape.states**2 + shape.classes * shape.states + 1
+    # counts need no more than single precision; scores are computed in double
+    single = Hmm(*(x.astype(np.float32) for x in (hmm.start, hmm.move, hmm.emit)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(k + k * k + c * k + 1)
+        sums = np.zeros(size)
         for _, sequences in _grouped(batches, 0):
-            a, b, e, s = expected_counts(hmm, Segments(sequences, shape.segment))
+            a, b, e, s = expected_counts(single, Segments(sequences, shape.segment))
             sums += np.concatenate((a, b.ravel(), e.ravel(), [s]))
         at = np.flatnonzero(sums)
         yield packed([at, sums[at]], pa.schema([("at", pa.int64()), ("x", pa.float64())]))
 
     rows = texts.select("classes").mapInArrow(run, "at bigint, x double").groupBy("at").agg(F.sum("x").alias("x")).toArrow()
-    sums = np.zeros(k + k * k + c * k + 1)
-    sums[rows.column("at").to_numpy()] = rows.column("x").to_numpy()
-    start, move, emit = sums[:k] + shape.smooth, sums[k : k + k * k].reshape(k, k) + shape.smooth, sums[k + k * k : -1].reshape(c, k) + shape.smooth
-    return Hmm(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0)), float(sums[-1])
+    out = np.zeros(size)
+    out[rows.column("at").to_numpy()] = rows.column("x").to_numpy()
+    return out
+
+
+def normalised(sums: np.ndarray, shape: Shape) -> Hmm:
+    """The model that expected counts make."""
+    k, c = shape.states, shape.classes
+    start, move = sums[:k] + shape.smooth, sums[k : k + k * k].reshape(k, k) + shape.smooth
+    emit = sums[k + k * k : -1].reshape(c, k) + shape.smooth
+    return Hmm(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
 
 
 def standstill(scores: list[float], shape: Shape) -> bool:
@@ -474,11 +491,19 @@ def standstill(scores: list[float], shape: Shape) -> bool:
 
 
 def trained(texts: DataFrame, vocabulary: Vocabulary, shape: Shape) -> Hmm:
-    """The model after Baum-Welch over all texts, until ``standstill`` or for ``shape.iterations`` rounds."""
+    """The model after Baum-Welch over all texts, until ``standstill`` or for ``shape.iterations`` rounds.
+
+    A round goes through the shares of the texts (column share). Each share's new counts
+    take the place of its old ones and the model follows at once, so a round over all texts
+    moves the model as often as there are shares.
+    """
     hmm, scores = first_guess(vocabulary, neighbour_counts(texts, shape)), []
+    held: dict[int, np.ndarray] = {}
     while vocabulary.total and len(scores) != shape.iterations:
-        hmm, score = baum_welch_step(texts, hmm, shape)
-        scores.append(score / vocabulary.total)
+        for share in range(shape.shares):
+            held[share] = count_step(texts.where(F.col("share") == share), hmm, shape)
+            hmm = normalised(sum(held.values()), shape)
+        scores.append(sum(x[-1] for x in held.values()) / vocabulary.total)
         if shape.iterations is None and standstill(scores, shape):
             break
     return hmm
@@ -509,7 +534,7 @@ def score_texts(
                       (F.col(f"`{flag}`") if flag else F.lit(False)).alias("_flag"))
     counts = written(word_counts(own.where(~F.col("_flag")), "_text0"), "words")
     vocabulary = learn_vocabulary(counts, shape)
-    texts = written(encoded(own, "_id", "_text0", ["_flag"], vocabulary), "classes")
+    texts = written(encoded(own, "_id", "_text0", ["_flag"], vocabulary), "classes", "share")
     hmm = trained(texts.where(~F.col("_flag")), vocabulary, shape)
     latent = class_scores(texts, hmm, shape)
     rare = texts.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.times")
