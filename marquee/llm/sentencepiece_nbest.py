@@ -23,6 +23,7 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,10 +34,13 @@ SPACE = "▁"
 LITERAL = "\ud800"
 #: A character outside the vocabulary costs this much more than the rarest piece.
 UNKNOWN_COST = 10.0
-#: Chunks remembered by a task; cleared when full.
-MEMORY = 400_000
-#: Texts whose chunks are scored together.
-TOGETHER = 500
+#: Characters of the chunks remembered by a task, each chunk counting ENTRY more; cleared when full.
+MEMORY = 8_000_000
+ENTRY = 30
+#: Bytes of the texts that are encoded together, up to one text more.
+TOGETHER = 500_000
+#: Characters of the chunks that are scored together; a longer chunk comes alone.
+SCORED = 200_000
 #: Vocabulary of the queries, where the executors have it installed.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -118,6 +122,9 @@ class Lattice:
     raw: np.ndarray
     known: dict[str, Known] = field(default_factory=dict)
     searched: dict[tuple[str, int], list[Path]] = field(default_factory=dict)
+    #: What the two remember, in characters.
+    held: int = 0
+    looked: int = 0
 
     @classmethod
     @functools.cache
@@ -162,14 +169,15 @@ class Lattice:
 
     def learn(self, chunks: Iterable[str]) -> None:
         """Score the chunks that are not known yet, together."""
-        if len(self.known) > MEMORY:
+        if self.held > MEMORY:
             self.known.clear()
+            self.held = 0
         fresh = [c for c in dict.fromkeys(chunks) if c not in self.known]
         fresh.sort(key=len)
         start = 0
         while start < len(fresh):
             size, end = 0, start
-            while end < len(fresh) and (size == 0 or size + len(fresh[end]) <= 400_000):
+            while end < len(fresh) and (size == 0 or size + len(fresh[end]) <= SCORED):
                 size += len(fresh[end])
                 end += 1
             self._score(fresh[start:end])
@@ -237,6 +245,7 @@ class Lattice:
                 wide += [int(piece[arc])] if piece[arc] >= 0 else self.fallback(text[start[arc]])
             values[i] = np.array(wide, np.int32).tobytes()
         self.known.update(zip(chunks, zip(best.tolist(), values, second.tolist())))
+        self.held += sum(map(len, chunks)) + ENTRY * len(chunks)
 
     @staticmethod
     def _best(tail, head, score, column, nodes, roots) -> tuple[np.ndarray, np.ndarray]:
@@ -279,11 +288,13 @@ class Lattice:
 
     def chunk_paths(self, chunk: str, n: int) -> list[Path]:
         """The n best segmentations of a chunk, best first."""
-        if len(self.searched) > MEMORY:
-            self.searched.clear()
         found = self.searched.get((chunk, n))
         if found is None:
+            if self.looked > MEMORY // 4:
+                self.searched.clear()
+                self.looked = 0
             found = self.searched[chunk, n] = self._search(chunk, n)
+            self.looked += n * (len(chunk) + ENTRY)
         return found
 
     def _search(self, chunk: str, n: int) -> list[Path]:
@@ -345,6 +356,15 @@ class Lattice:
         return b"".join(self.raw[ids].tolist()).decode("utf-8", "surrogatepass")[1:]
 
 
+def in_portions(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about TOGETHER bytes of text."""
+    sizes = np.array(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64)
+    portion = (np.cumsum(sizes) - sizes) // TOGETHER
+    cuts = [*np.flatnonzero(np.diff(portion, prepend=-1)).tolist(), batch.num_rows]
+    for start, end in zip(cuts[:-1], cuts[1:]):
+        yield batch.slice(start, end - start)
+
+
 def edited(ids: np.ndarray, edits: list) -> np.ndarray:
     """Ids of a segmentation given as edits of the best."""
     out, done = [], 0
@@ -406,8 +426,7 @@ def encode_texts(docs: DataFrame, model_file: str, text: str = "text", n: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice.load(model_file)
         for batch in batches:
-            for start in range(0, batch.num_rows, TOGETHER):
-                part = batch.slice(start, TOGETHER)
+            for part in in_portions(batch, len(own)):
                 texts = part.column(len(own)).to_pylist()
                 parts = [lattice.chunks(t) if t else [] for t in texts]
                 lattice.learn(c for p in parts for c in p)
