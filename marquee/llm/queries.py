@@ -48,7 +48,7 @@ def op3_chat_format(spark: SparkSession, folder: str) -> DataFrame:
 def op4_paragraph_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Every document without the passages that repeat earlier ones."""
     cut = substring_dedup.drop_repeats(table(spark, folder, "documents").select("doc_id", "text"))
-    return cut.select("doc_id", "n_paragraphs", "n_removed", "removed", "text")
+    return cut.select("doc_id", "n_removed", "removed", "text")
 
 
 def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:

@@ -4,6 +4,9 @@ A paragraph is one line of a text. Its shingles (runs of five words, A-Z in lowe
 case) give MinHash values that are joined into bands; paragraphs that share a band
 are compared by the exact Jaccard similarity of their shingle sets. Linked
 paragraphs form components, and all but the first of each component leave their texts.
+
+Passages that begin or end inside a line are no paragraphs; ``shared_runs`` finds them by
+blocks that the words themselves delimit. Both kinds of spans leave a text together.
 """
 
 from __future__ import annotations
@@ -14,11 +17,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marquee.llm.buckets import bucket_links
 from marquee.llm.common import packed, text_bytes, widened, written
+from marquee.llm.shared_runs import Runs, shared_runs
 from marquee.operators.clusters import duplicate_clusters
 from marquee.session import cut_lineage
 
@@ -33,6 +37,8 @@ class Passages:
     recall: float = 0.995
     rows: int = 3
     chunk: int = 128
+    #: How runs inside lines are found; None: whole lines only.
+    runs: Runs | None = Runs()
 
 
 def tuned_bands(similarity: float, rows: int, recall: float) -> int:
@@ -52,12 +58,14 @@ def shingles(words: list[bytes], width: int) -> list[int]:
 
 
 def paragraphs(data: bytes, min_words: int) -> Iterator[tuple[int, list[bytes]]]:
-    """(position, words in lower case) of the lines with enough words."""
-    for at, line in enumerate(data.split(b"\n")):
+    """(first byte, words in lower case) of the lines with enough words."""
+    at = 0
+    for line in data.split(b"\n"):
         if len(line) >= 2 * min_words - 1:
             words = line.lower().split()
             if len(words) >= min_words:
                 yield at, words
+        at += len(line) + 1
 
 
 def text_key(words: list[bytes]) -> int:
@@ -116,19 +124,21 @@ def _ident(doc_id: str, text: str) -> list:
 
 
 def paragraph_table(docs: DataFrame, doc_id: str, text: str, how: Passages) -> DataFrame:
-    """(_id, _th, pos, para, b0, b1, ...): occurrences of paragraphs with their band keys."""
+    """(_id, _th, pos, size, para, b0, b1, ...): occurrences of paragraphs (bytes, line end included) with their band keys."""
     bands = tuned_bands(how.similarity, how.rows, how.recall)
     picked = docs.select(*_ident(doc_id, text), text_bytes(text).alias("_text")).where(F.col("_text").isNotNull())
-    names = ["pos", "para", *[f"b{i}" for i in range(bands)]]
+    names = ["pos", "size", "para", *[f"b{i}" for i in range(bands)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held: list[tuple[int, int, int]] = []
+            held: list[tuple[int, int, int, int]] = []
             hashes: list[int] = []
             starts: list[int] = []
             for row, data in enumerate(batch.column(2)):
-                for pos, words in paragraphs(data.as_py(), how.min_words):
-                    held.append((row, pos, text_key(words)))
+                text_ = data.as_py()
+                for pos, words in paragraphs(text_, how.min_words):
+                    end = text_.find(b"\n", pos)
+                    held.append((row, pos, (end + 1 if end >= 0 else len(text_)) - pos, text_key(words)))
                     starts.append(len(hashes))
                     hashes += shingles(words, how.width)
                     if len(hashes) > 300_000:
@@ -138,10 +148,10 @@ def paragraph_table(docs: DataFrame, doc_id: str, text: str, how: Passages) -> D
                 yield out(batch, held, hashes, starts)
 
     def out(batch: pa.RecordBatch, held: list, hashes: list, starts: list) -> pa.RecordBatch:
-        rows, pos, para = (np.array(x, np.int64) for x in zip(*held))
+        rows, pos, size, para = (np.array(x, np.int64) for x in zip(*held))
         keys = band_keys(np.array(hashes, np.uint64), np.array(starts), how.rows, bands)
         take = pa.array(rows)
-        columns = [batch.column(0).take(take), batch.column(1).take(take), pa.array(pos), pa.array(para), *map(pa.array, keys)]
+        columns = [batch.column(0).take(take), batch.column(1).take(take), pa.array(pos), pa.array(size), pa.array(para), *map(pa.array, keys)]
         return pa.RecordBatch.from_arrays(columns, names=["_id", "_th", *names])
 
     return picked.mapInArrow(run, widened(picked.drop("_text").schema, ", ".join(f"{n} bigint" for n in names)))
@@ -196,52 +206,81 @@ def shingle_sets(docs: DataFrame, wanted: np.ndarray, text: str, how: Passages)
     return texts.mapInArrow(run, "node bigint, payload binary").dropDuplicates(["node"])
 
 
-def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", how: Passages = Passages()) -> DataFrame:
-    """(_id, _th, removed): positions of the lines of a document that repeat an earlier passage.
+def repeated_paragraphs(docs: DataFrame, doc_id: str, text: str, how: Passages) -> DataFrame:
+    """(_id, _th, pos): first bytes of the lines of a document that repeat an earlier passage.
 
     The first occurrence of a component, by id (null last), hash of the text and
-    position, stays. Documents without a repeat have no row.
+    position, stays.
     """
     bands = tuned_bands(how.similarity, how.rows, how.recall)
     seen = written(paragraph_table(docs, doc_id, text, how), "paragraphs")
+    # one row a paragraph before the bands move: a line in many documents is no hot key
+    place = F.struct(F.col("_id").isNull().alias("none"), "_id", "_th", "pos")
+    distinct = written(seen.groupBy("para", *[f"b{i}" for i in range(bands)]).agg(
+        F.min(place).alias("first"), F.count(F.lit(1)).alias("n")), "distinct-paragraphs")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = seen.select(F.explode(F.array(*[f"b{i}" for i in range(bands)])).alias("key"), F.col("para").alias("node")).repartition(n, "key")
-    # one shuffle serves the count and the join; copies of one paragraph are no collision
+    keys = distinct.select(F.explode(F.array(*[f"b{i}" for i in range(bands)])).alias("key"), F.col("para").alias("node")).repartition(n, "key")
+    # one shuffle serves the count and the join
     common = keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
     colliding = written(keys.join(common, "key").distinct(), "colliding")
     sets = shingle_sets(docs, bit_filter(colliding.select("node").distinct()), text, how)
     links = bucket_links(colliding.join(sets, "node").select("key", "node", "payload"),
                          JaccardAtLeast(how.similarity), how.chunk, numeric=False)
     grouped = duplicate_clusters(links, "u", "v").withColumnRenamed("id", "para")
-    first = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_th", "pos")).alias("first")
-    distinct = seen.groupBy("para").agg(first, F.count(F.lit(1)).alias("n"))
-    classes = distinct.join(grouped, "para", "left").where("cluster is not null or n > 1")
+    classes = distinct.select("para", "first", "n").join(grouped, "para", "left").where("cluster is not null or n > 1")
     classes = cut_lineage(classes.select("para", "first", F.coalesce("cluster", "para").alias("cluster")))
     keeper = classes.groupBy("cluster").agg(F.min("first").alias("keep"))
     named = classes.select("para", "cluster").join(keeper, "cluster").select("para", "keep")
-    own = F.struct(F.col("_id").isNull().alias("none"), "_id", "_th", "pos")
-    again = seen.select("_id", "_th", "pos", "para").join(named, "para").where(~own.eqNullSafe(F.col("keep")))
-    return again.groupBy("_id", "_th").agg(F.array_sort(F.collect_set("pos")).alias("removed"))
+    again = seen.select("_id", "_th", "pos", "size", "para").join(named, "para").where(~place.eqNullSafe(F.col("keep")))
+    return again.select("_id", "_th", F.col("pos").alias("start"), (F.col("pos") + F.col("size")).alias("end")).distinct()
+
+
+def repeated_spans(docs: DataFrame, doc_id: str, text: str, how: Passages) -> DataFrame:
+    """(_id, _th, pieces, last, n_removed, removed): what stays of each document that repeats something.
+
+    ``pieces`` (at, size in bytes) lie between the spans to cut, ``last`` is where the final
+    piece begins; ``removed`` holds the spans (at, size), overlapping ones made one.
+    """
+    spans = repeated_paragraphs(docs, doc_id, text, how)
+    if how.runs:
+        own = docs.where(F.col(f"`{text}`").isNotNull()).select(*_ident(doc_id, text), F.col(f"`{text}`").alias("text"))
+        spans = spans.unionByName(shared_runs(own.dropDuplicates(["_id", "_th"]), how.runs))
+    ahead = Window.partitionBy("_id", "_th").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    told = spans.withColumn("done", F.coalesce(F.max("end").over(ahead), F.lit(0)))
+    opens = told.withColumn("opens", (F.col("start") > F.col("done")) | (F.col("done") == 0))
+    so_far = Window.partitionBy("_id", "_th").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    merged = opens.withColumn("island", F.sum(F.col("opens").cast("int")).over(so_far)).groupBy("_id", "_th", "island").agg(
+        F.min("start").alias("at"), F.max("end").alias("end"), F.min("done").alias("done"))
+    return merged.groupBy("_id", "_th").agg(
+        F.array_sort(F.collect_list(F.struct(F.col("done").alias("at"), (F.col("at") - F.col("done")).alias("size")))).alias("pieces"),
+        F.max("end").alias("last"), F.count(F.lit(1)).alias("n_removed"),
+        F.array_sort(F.collect_list(F.struct("at", (F.col("end") - F.col("at")).alias("size")))).alias("removed"))
 
 
 def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", how: Passages = Passages()) -> DataFrame:
     """All rows and columns of ``docs`` with repeated passages cut from the text.
 
-    Added: n_paragraphs and n_removed (bigint), removed (positions of the lines cut,
-    ascending). A null text stays null with no paragraphs; an empty one stays empty; a
-    text that only repeats others becomes empty. Rows alike in id and text are one
+    Added: n_removed (bigint) and removed (spans cut: at and size in bytes of the text,
+    ascending, none touching). A line is cut with its line end, a run inside a line from its
+    first word to its last. A null text stays null, an empty one empty; a text that only
+    repeats others becomes empty but for white space. Rows alike in id and text are one
     document and fare alike. Columns of ``docs`` with an added name are replaced.
     """
-    cuts = repeated_passages(docs, doc_id, text, how).select(
-        F.col("_id").alias("_i"), F.col("_th").alias("_t"), F.col("removed").alias("_removed"))
-    own = [c for c in docs.columns if c not in ("n_paragraphs", "n_removed", "removed")]
-    left = docs.select(*[F.col(f"`{c}`") for c in own], F.xxhash64(F.col(f"`{text}`")).alias("_h"))
-    joined = left.join(cuts, F.col(f"`{doc_id}`").eqNullSafe(F.col("_i")) & (F.col("_h") == F.col("_t")), "left")
-    lines = F.split(F.col(f"`{text}`"), "\n")
-    kept = F.filter(lines, lambda line, i: ~F.array_contains(F.col("_removed"), i.cast("bigint")))
-    cut = F.when(F.col("_removed").isNull(), F.col(f"`{text}`")).otherwise(F.array_join(kept, "\n"))
+    cuts = repeated_spans(docs, doc_id, text, how).select(
+        F.col("_id").alias("_i"), F.col("_th").alias("_t"), "pieces", "last", "n_removed", "removed")
+    own = [c for c in docs.columns if c not in ("n_removed", "removed")]
+    left = docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(own)], F.xxhash64(F.col(f"`{text}`")).alias("_h"))
+    names = {c: F.col(f"_c{i}") for i, c in enumerate(own)}
+    joined = left.join(cuts, names[doc_id].eqNullSafe(F.col("_i")) & (F.col("_h") == F.col("_t")), "left")
+    data = names[text].cast("binary")
+
+    def piece(at: Column, size: Column | int) -> Column:
+        return F.decode(F.substring(data, at.cast("int") + 1, size if isinstance(size, int) else size.cast("int")), "utf-8")
+
+    kept = F.array_join(F.transform("pieces", lambda p: piece(p["at"], p["size"])), "")
+    rest = piece(F.col("last"), (1 << 31) - 1)
+    cut = F.when(F.col("pieces").isNull(), names[text]).otherwise(F.concat(kept, rest))
     return joined.select(
-        *[cut.alias(c) if c == text else F.col(f"`{c}`") for c in own],
-        F.coalesce(F.size(lines), F.lit(0)).cast("bigint").alias("n_paragraphs"),
-        F.coalesce(F.size("_removed"), F.lit(0)).cast("bigint").alias("n_removed"),
-        F.coalesce("_removed", F.expr("cast(array() as array<bigint>)")).alias("removed"))
+        *[(cut if c == text else names[c]).alias(c) for c in own],
+        F.coalesce("n_removed", F.lit(0)).cast("bigint").alias("n_removed"),
+        F.coalesce("removed", F.expr("cast(array() as array<struct<at:bigint,size:bigint>>)")).alias("removed"))
