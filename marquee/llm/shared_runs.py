@@ -24,8 +24,8 @@ from marquee.llm.common import SPACE, text_bytes, widened, written
 class Runs:
     """Blocks are at most ``window`` words, so an exact run of 2 * window + min_words + 2 words is always found."""
 
-    window: int = 12
-    min_words: int = 24
+    window: int = 16
+    min_words: int = 16
 
 
 _RANDOM = np.random.default_rng(29)
@@ -93,14 +93,19 @@ def _portions(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[by
 
 
 def block_table(docs: DataFrame, how: Runs) -> DataFrame:
-    """(_id, _th, number, start, end, words, key) of the blocks of (_id, _th, _text)."""
-    names = ["number", "start", "end", "words", "key"]
+    """(_id, _th, spot, span, key) of the blocks of (_id, _th, _text).
+
+    ``spot`` is the number of a block times 256 and its words, ``span`` its first byte times
+    2**32 and its last: few columns, since all blocks of all texts are shuffled.
+    """
+    names = ["spot", "span", "key"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin, texts in _portions(batch, 2):
-                text, *columns = blocks(texts, how.window)
+                text, number, start, end, words, key = blocks(texts, how.window)
                 take = pa.array(text + begin)
+                columns = (number << 8 | words, start << 32 | end, key)
                 arrays = [batch.column(0).take(take), batch.column(1).take(take), *map(pa.array, columns)]
                 yield pa.RecordBatch.from_arrays(arrays, names=["_id", "_th", *names])
 
@@ -115,11 +120,17 @@ def shared_runs(docs: DataFrame, how: Runs = Runs()) -> DataFrame:
     move; the join that brings the first places back is left to adaptive skew handling.
     """
     seen = written(block_table(docs.select("_id", "_th", text_bytes("text").alias("_text")), how), "blocks")
-    place = F.struct(F.col("_id").isNull().alias("none"), "_id", "_th", "number")
+    place = F.struct(F.col("_id").isNull().alias("none"), "_id", "_th", "spot")
     firsts = seen.groupBy("key").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    again = seen.join(firsts, "key").where(~place.eqNullSafe(F.col("first")))
-    lane = Window.partitionBy("_id", "_th").orderBy("number")
-    islands = again.withColumn("island", F.col("number") - F.row_number().over(lane))
+    again = seen.join(firsts, "key").where(~place.eqNullSafe(F.col("first"))).select("_id", "_th", "spot", "span")
+    lane = Window.partitionBy("_id", "_th").orderBy("spot")
+    number = F.shiftright("spot", 8)
+    # rows alike in id and text hold each block as often as they come; it counts once
+    fresh = F.lag("spot").over(lane).isNull() | (F.lag("spot").over(lane) != F.col("spot"))
+    islands = again.select(
+        "_id", "_th", "span", (number - F.dense_rank().over(lane)).alias("island"),
+        F.when(fresh, F.col("spot").bitwiseAND(F.lit(255))).otherwise(0).alias("words"))
     runs = islands.groupBy("_id", "_th", "island").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words"))
+        F.min(F.shiftright("span", 32)).alias("start"), F.max(F.col("span").bitwiseAND(F.lit((1 << 32) - 1))).alias("end"),
+        F.sum("words").alias("words"))
     return runs.where(F.col("words") >= how.min_words).select("_id", "_th", "start", "end")

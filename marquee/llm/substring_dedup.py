@@ -214,12 +214,12 @@ def repeated_paragraphs(docs: DataFrame, doc_id: str, text: str, how: Passages)
     """
     bands = tuned_bands(how.similarity, how.rows, how.recall)
     seen = written(paragraph_table(docs, doc_id, text, how), "paragraphs")
-    # one row a paragraph before the bands move: a line in many documents is no hot key
     place = F.struct(F.col("_id").isNull().alias("none"), "_id", "_th", "pos")
-    distinct = written(seen.groupBy("para", *[f"b{i}" for i in range(bands)]).agg(
-        F.min(place).alias("first"), F.count(F.lit(1)).alias("n")), "distinct-paragraphs")
+    names = [f"b{i}" for i in range(bands)]
+    # one row a paragraph before the bands move: a line in many documents is no hot key
+    distinct = seen.select("para", *names).dropDuplicates(["para"])
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = distinct.select(F.explode(F.array(*[f"b{i}" for i in range(bands)])).alias("key"), F.col("para").alias("node")).repartition(n, "key")
+    keys = distinct.select(F.explode(F.array(*names)).alias("key"), F.col("para").alias("node")).repartition(n, "key")
     # one shuffle serves the count and the join
     common = keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
     colliding = written(keys.join(common, "key").distinct(), "colliding")
@@ -227,7 +227,8 @@ def repeated_paragraphs(docs: DataFrame, doc_id: str, text: str, how: Passages)
     links = bucket_links(colliding.join(sets, "node").select("key", "node", "payload"),
                          JaccardAtLeast(how.similarity), how.chunk, numeric=False)
     grouped = duplicate_clusters(links, "u", "v").withColumnRenamed("id", "para")
-    classes = distinct.select("para", "first", "n").join(grouped, "para", "left").where("cluster is not null or n > 1")
+    counted = seen.groupBy("para").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
+    classes = counted.join(grouped, "para", "left").where("cluster is not null or n > 1")
     classes = cut_lineage(classes.select("para", "first", F.coalesce("cluster", "para").alias("cluster")))
     keeper = classes.groupBy("cluster").agg(F.min("first").alias("keep"))
     named = classes.select("para", "cluster").join(keeper, "cluster").select("para", "keep")
@@ -244,7 +245,7 @@ def repeated_spans(docs: DataFrame, doc_id: str, text: str, how: Passages) -> Da
     spans = repeated_paragraphs(docs, doc_id, text, how)
     if how.runs:
         own = docs.where(F.col(f"`{text}`").isNotNull()).select(*_ident(doc_id, text), F.col(f"`{text}`").alias("text"))
-        spans = spans.unionByName(shared_runs(own.dropDuplicates(["_id", "_th"]), how.runs))
+        spans = spans.unionByName(shared_runs(own, how.runs))
     ahead = Window.partitionBy("_id", "_th").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     told = spans.withColumn("done", F.coalesce(F.max("end").over(ahead), F.lit(0)))
     opens = told.withColumn("opens", (F.col("start") > F.col("done")) | (F.col("done") == 0))

@@ -239,7 +239,7 @@ def test_blocks_do_not_depend_on_their_neighbours():
     together = list(zip(*shared_runs.blocks(texts, 12)))
     apart = [(i, *row[1:]) for i, t in enumerate(texts) for row in zip(*shared_runs.blocks([t], 12))]
     assert [tuple(map(int, r)) for r in together] == [tuple(map(int, r)) for r in apart]
-    assert all(int(r[4]) <= 14 for r in together)
+    assert all(int(r[4]) <= 14 for r in together)  # a window and the two words that follow
     for i, number, start, end, n, _ in together:
         assert len(texts[i][start:end].split()) == n
 
