@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -136,21 +138,40 @@ def in_months(df: DataFrame, first=None, after=None) -> DataFrame:
     return df.where(hit)
 
 
+def _rewrite_months(spark: SparkSession, path: str, months: list[str], change: Callable[[DataFrame], DataFrame]) -> None:
+    """Replaces the rows of some months by what ``change`` makes of them; a month left without rows is emptied.
+
+    New places are written before old ones are emptied. If a job ends in between, moved
+    rows are there twice and the same change, run again, leaves them once.
+    """
+    before = read_listings(spark, path).where(F.col(MONTH).isin(months)).drop(MONTH).dropDuplicates(["id"])
+    held = cut_lineage(change(before)).withColumn(MONTH, month_of(F.col("event_date")))
+    held.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(MONTH).parquet(path)
+    left = {r[MONTH] for r in held.select(MONTH).distinct().collect()}
+    for month in sorted(set(months) - left):
+        held.drop(MONTH).limit(0).write.mode("overwrite").parquet(f"{path.rstrip('/')}/{MONTH}={month}")
+
+
 def update_months(changes: DataFrame, path: str, as_of) -> None:
     """K2: stored rows named by the changes, which may also move to another start; only months touched are written.
 
     ``changes`` has id, the month a row is stored under (event_month) and the new values.
     """
-    spark = changes.sparkSession
-    stored = read_listings(spark, path)
-    moved = changes.columns
-    target = month_of(F.col("event_date")) if "event_date" in moved else F.col(MONTH)
+    target = month_of(F.col("event_date")) if "event_date" in changes.columns else F.col(MONTH)
     touched = changes.select(F.col(MONTH).alias("m")).union(changes.select(target.alias("m"))).distinct()
     months = [r["m"] for r in touched.collect()]  # one row per month
-    before = stored.where(F.col(MONTH).isin(months))
-    after = cut_lineage(update(before.drop(MONTH), changes.drop(MONTH), as_of))
-    held = after.withColumn(MONTH, month_of(F.col("event_date")))
-    held.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(MONTH).parquet(path)
+    _rewrite_months(changes.sparkSession, path, months, lambda rows: update(rows, changes.drop(MONTH), as_of))
+
+
+def delete_months(keys: DataFrame, path: str) -> None:
+    """K3: stored rows named by id, of the months (event_month) that ``keys`` gives; no other month is read."""
+    months = [r[MONTH] for r in keys.select(MONTH).distinct().collect()]
+    _rewrite_months(keys.sparkSession, path, months, lambda rows: delete(rows, keys))
+
+
+def set_category_months(changes: DataFrame, path: str, as_of) -> None:
+    """K4: new category and stamp for the named rows; ``changes`` has id, event_month and category."""
+    update_months(changes.select("id", MONTH, "category"), path, as_of)
 
 
 def update(stored: DataFrame, changes: DataFrame, as_of) -> DataFrame:

@@ -8,6 +8,7 @@ from marquee import fixed_values as V
 from marquee.functions import text as X
 from marquee.operators import facets as A
 from marquee.operators import listings as L
+from marquee.operators import phrases as P
 from marquee.operators import search as S
 from marquee.plans.catalog import plain, query
 from marquee.plans.views import AS_OF
@@ -233,11 +234,11 @@ def _(t):
 
 @query("f14_phrase_search", """
 SELECT doc_id FROM documents
-WHERE lang = 'en' AND ' ' || array_to_string(regexp_extract_all(lower(strip_accents(text)), '[\\p{L}\\p{N}]+'), ' ') || ' '
+WHERE ' ' || array_to_string(regexp_extract_all(lower(strip_accents(text)), '[\\p{L}\\p{N}]+'), ' ') || ' '
   LIKE '% of the %'
 """)
 def _(t):
-    docs = t.raw("documents").where("lang = 'en'")
+    docs = t.raw("documents")
     return docs.where(S.phrase_match("Of  THE", ["text"])).select("doc_id")
 
 
@@ -491,6 +492,75 @@ def _(t):
     return L.read_listings(t.spark, path).select("id", "title", "event_month")
 
 
+@query("k2_empty_month", """
+SELECT id, title, strftime(CASE WHEN strftime(event_date, '%Y-%m') = '1998-03' THEN event_date + INTERVAL 40 DAY ELSE event_date END, '%Y-%m') AS event_month
+FROM listings
+""", "listings")
+def _(t):
+    """All rows of a month move, and the month is left empty."""
+    path = job_folder(t.spark, "listings")
+    L.append_listings(t.listings, path)
+    moved = t.listings.withColumn("event_month", L.month_of(F.col("event_date"))).where("event_month = '1998-03'")
+    L.update_months(moved.select("id", "event_month", (F.col("event_date") + F.expr("interval 40 days")).alias("event_date")), path, AS_OF)
+    return L.read_listings(t.spark, path).select("id", "title", "event_month")
+
+
+@query("k3_delete_months", """
+SELECT id, title, strftime(event_date, '%Y-%m') AS event_month FROM listings
+WHERE NOT (month(event_date) = 5 AND (year(event_date) = 1998 OR id % 2 = 0))
+""", "listings")
+def _(t):
+    path = job_folder(t.spark, "listings")
+    L.append_listings(t.listings, path)
+    gone = t.listings.where((F.month("event_date") == 5) & ((F.year("event_date") == 1998) | (F.col("id") % 2 == 0)))
+    L.delete_months(gone.select("id", L.month_of(F.col("event_date")).alias("event_month")), path)
+    return L.read_listings(t.spark, path).select("id", "title", "event_month")
+
+
+@query("k4_category_months", """
+SELECT id, CASE WHEN id % 3 = 0 AND month(event_date) < 3 THEN 'Other' ELSE category END AS category,
+  CASE WHEN id % 3 = 0 AND month(event_date) < 3 THEN '1998-06-17 10:30:00' ELSE strftime(updated_at, '%Y-%m-%d %H:%M:%S') END AS updated_at
+FROM listings
+""", "listings")
+def _(t):
+    path = job_folder(t.spark, "listings")
+    L.append_listings(t.listings, path)
+    chosen = t.listings.where((F.col("id") % 3 == 0) & (F.month("event_date") < 3))
+    L.set_category_months(chosen.select("id", L.month_of(F.col("event_date")).alias("event_month"), F.lit("Other").alias("category")), path, AS_OF)
+    return show(L.read_listings(t.spark, path), "id", "category", "updated_at")
+
+
+@query("t1_stored_index", """
+WITH now AS (
+  SELECT id, CASE WHEN id % 7 = 0 THEN 'The new widget live' ELSE title END AS title, description, venue_name FROM listings WHERE id % 5 <> 0
+), padded AS (
+  SELECT id, unnest([title, description, venue_name]) AS body FROM now
+)
+SELECT DISTINCT id FROM padded
+WHERE ' ' || array_to_string(regexp_extract_all(lower(strip_accents(body)), '[\\p{L}\\p{N}]+'), ' ') || ' ' LIKE '% widget live %'
+""", "listings")
+def _(t):
+    """The index follows an insert, a change of titles and a removal, and the phrase reads its folders only."""
+    path = job_folder(t.spark, "phrases")
+    P.index_rows(t.listings, path, 1)
+    P.reindex_rows(t.listings.where("id % 7 = 0").withColumn("title", F.lit("The new widget live")), path, 2)
+    P.forget_rows(t.listings.where("id % 5 = 0"), path, 3)
+    return P.stored_phrase_ids(t.spark, path, "widget LIVE")
+
+
+@query("j1_stored_documents", """
+SELECT doc_id AS id FROM documents
+WHERE ' ' || array_to_string(regexp_extract_all(lower(strip_accents(text)), '[\\p{L}\\p{N}]+'), ' ') || ' ' LIKE '% in the %'
+""")
+def _(t):
+    """Whole texts of every language in a stored index."""
+    path = job_folder(t.spark, "phrases")
+    docs = t.raw("documents").withColumnRenamed("doc_id", "id")
+    P.index_rows(docs, path, 1, fields=["text"])
+    P.forget_rows(docs.limit(0), path, 1)
+    return P.stored_phrase_ids(t.spark, path, "in the")
+
+
 @query("f2_stored_month", """
 SELECT id, title FROM listings WHERE event_date >= TIMESTAMP '1998-06-01' AND event_date < TIMESTAMP '1998-07-01'
 """, "listings")
@@ -543,12 +613,12 @@ def _(t):
 
 @query("j1_phrase_semi_join", """
 SELECT doc_id AS id, lang, n_chars FROM documents
-WHERE lang = 'en' AND ' ' || array_to_string(regexp_extract_all(lower(strip_accents(text)), '[\\p{L}\\p{N}]+'), ' ') || ' '
+WHERE ' ' || array_to_string(regexp_extract_all(lower(strip_accents(text)), '[\\p{L}\\p{N}]+'), ' ') || ' '
   LIKE '% in the %'
 """)
 def _(t):
     from marquee.operators.phrases import phrase_ids, tokens
 
-    docs = t.raw("documents").where("lang = 'en'").withColumnRenamed("doc_id", "id")
+    docs = t.raw("documents").withColumnRenamed("doc_id", "id")
     ids = phrase_ids(tokens(docs, fields=["text"]), "in the")
     return docs.join(ids, "id", "left_semi").select("id", "lang", "n_chars")

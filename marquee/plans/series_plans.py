@@ -14,13 +14,13 @@ TS = "strftime({0}, '%Y-%m-%d %H:%M:%S')"
 
 
 @query("w1_carry_forward", """
-SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN substr(text, 1, 30) END IGNORE NULLS)
+SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS)
   OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS header
 FROM conversations
 """)
 def _(t):
     rows = t.raw("conversations").withColumn(
-        "h", F.when(F.col("role") == "user", F.substring("text", 1, 30)))
+        "h", F.when(F.col("role") == "user", F.col("text")))
     return W.carry_forward(rows, ["conv_id"], "turn", "h", "header").select("conv_id", "turn", "header")
 
 
