@@ -3,8 +3,9 @@
 Each whole text, and each fixed chunk of it, is compressed with zstandard. A
 ratio (raw bytes over compressed bytes) above its band means repetition, below
 it noise; the bands depend on the length, since short texts pay for the frame
-and long ones offer more to refer back to. Everything about a row comes from
-that row: one pass, no shuffle.
+and long ones offer more to refer back to. Chunks are judged in texts of two
+chunks or more (8,192 bytes); a shorter text is judged as a whole only. Everything
+about a row comes from that row: one pass, no shuffle.
 """
 
 from __future__ import annotations
