@@ -6,7 +6,7 @@ the blocks is complete and no all-pairs join is needed:
 
 * same URL: (url, day)
 * same source, title and venue: (source, title, venue, hour)
-* similar titles: shared rare bigrams of titles of the same day
+* similar titles: shared rare bigrams of titles of the same day, several where one is frequent there
 * similar venues, similar titles: pairs of similar venue names, then (venue, day, title length)
 * a title that is the other with its place: (day, the shorter title)
 * similar venues, nearly one time: pairs of similar venue names, then (venue, three hours)
@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 from marquee.functions import text as X
 from marquee.functions.dates import ntz, seconds_between
 from marquee.functions.geo import haversine
-from marquee.functions.similarity import letter_bound, length_bound, similarity
-from marquee.operators.names import similar_names
+from marquee.functions.similarity import length_bound, letter_bound, marks_missing, similarity
+from marquee.operators.names import similar_names, with_letter_marks
+from marquee.operators.windows import carry_forward
 from marquee.session import cut_lineage, spread
 
 FACTS = ["url", "title", "no_title", "venue", "source", "start", "end", "lat", "lng"]
@@ -54,9 +55,10 @@ def match_facts(df: DataFrame) -> DataFrame:
 def representatives(facts: DataFrame) -> DataFrame:
     """One row per group of copies; its id is the smallest of the group.
 
-    Every candidate join reads it, so it is written once.
+    Every candidate join reads it, so it is written once, with the bits of the titles' letters.
     """
-    return cut_lineage(facts.groupBy(*FACTS).agg(F.min("id").alias("id")))
+    reps = facts.groupBy(*FACTS).agg(F.min("id").alias("id"))
+    return cut_lineage(with_letter_marks(reps, "title"))
 
 
 def members(facts: DataFrame, reps: DataFrame) -> DataFrame:
@@ -139,6 +141,50 @@ def dup_by_overlap(left: DataFrame, right: DataFrame) -> DataFrame:
     return _joined(a, b, ["source", "title"]).where(meet & venue)
 
 
+SPAN_BLOCK = 30 * DAY
+
+
+def first_overlap(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(a_id, b_id) of incoming spans and the stored one that comes first by (start, id).
+
+    The pairs of ``dup_by_overlap``, of which only the first of each incoming row is formed.
+    Of the stored spans of one source, title and venue, in order, only those that end later
+    than all before can be a first match; the one an incoming span takes is the first of
+    them that ends at or after its start. Both passes run in blocks of time, so a series
+    listed any number of times costs its rows and no square.
+    """
+    a = left.where(_is_long("start", "end") & (F.col("title") != "")).select(
+        "source", "title", F.col("venue").alias("place"), F.col("id").alias("a_id"), "start", "end")
+    b = right.where(_is_long("start", "end")).select(
+        "source", "title", F.col("venue").alias("place"), "id", "start", "end")
+    keys = ["source", "title", "place"]
+    # an incoming row without a venue meets every venue
+    anywhere = a.where("place = ''").select("source", "title").distinct()
+    b = b.where("place <> ''").unionByName(
+        b.join(anywhere, ["source", "title"], "left_semi").withColumn("place", F.lit("")))
+    b = b.join(a.select(*keys).distinct(), keys, "left_semi").withColumn("slot", _slot(F.col("start"), SPAN_BLOCK))
+
+    earlier = Window.partitionBy(*keys).orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    tops = b.groupBy(*keys, "slot").agg(F.max("end").alias("top"))
+    tops = tops.select(*keys, "slot", F.max("top").over(earlier).alias("before"))
+    inside = Window.partitionBy(*keys, "slot").orderBy("start", "id").rowsBetween(Window.unboundedPreceding, -1)
+    walked = b.withColumn("own", F.max("end").over(inside)).join(tops, [*keys, "slot"])
+    held = F.greatest("own", "before")
+    later = walked.where(held.isNull() | (F.col("end") > held))
+
+    stored = later.select(*keys, _back("end").alias("at"), F.struct("start", "id").alias("span"))
+    line = a.withColumn("at", _back("start")).unionByName(stored, allowMissingColumns=True)
+    met = carry_forward(line, keys, "at", "span", "hit", block=SPAN_BLOCK * 1_000_000)
+    return met.where(F.col("a_id").isNotNull() & (F.col("hit.start") <= F.col("end"))).select(
+        "a_id", F.col("hit.id").alias("b_id"))
+
+
+def _back(c: str) -> Column:
+    """The moment in microseconds, late ones first."""
+    return -(_epoch(F.date_trunc("second", F.col(c)).cast("timestamp_ntz")) * 1_000_000
+             + F.date_format(c, "SSSSSS").cast("bigint"))
+
+
 def _grid(lat: Column, km: float) -> tuple[Column, float]:
     step = km * 1.01 / 111.19
     return F.floor(lat / step), step
@@ -205,9 +251,11 @@ TITLE_WITH_VENUE, TITLE_WITH_TIME = 0.7, 0.45
 
 
 def _titles_may_agree(floor: float) -> Column:
-    """No title pair at or above the floor is lost: bounds by length, then by letters."""
+    """No title pair at or above the floor is lost: bounds by length, by the bits of letters, by letters."""
     a, b = F.col("a_title"), F.col("b_title")
-    return F.when(length_bound(a, b) < floor, False).otherwise(letter_bound(a, b) >= floor)
+    shared = F.least(F.length(a) - marks_missing("a", "b"), F.length(b) - marks_missing("b", "a"))
+    return F.when(length_bound(a, b) < floor, False).when(
+        2.0 * shared / (F.length(a) + F.length(b)) < floor, False).otherwise(letter_bound(a, b) >= floor)
 
 
 def _length_band(title: str, floor: float) -> Column:
@@ -389,7 +437,9 @@ def best_match(batch: DataFrame, stored: DataFrame) -> DataFrame:
 
     left = cut_lineage(a.join(first, F.col("id") == F.col("a_id"), "left_anti"))
     spans = match_facts(stored.where(_is_long("event_date", "end_date")))
-    second = cut_lineage(_first_match(dup_by_overlap(left, spans), F.lit("multiday_overlap")))
+    overlaps = first_overlap(left, spans).select("a_id", F.struct(
+        F.col("b_id").alias("match_id"), F.lit("multiday_overlap").alias("method")).alias("hit"))
+    second = cut_lineage(overlaps)
 
     # by similarity only rows with a start can match
     rest = cut_lineage(left.join(second, F.col("id") == F.col("a_id"), "left_anti").where(F.col("start").isNotNull()))
@@ -397,11 +447,8 @@ def best_match(batch: DataFrame, stored: DataFrame) -> DataFrame:
     by_score = score_pairs(candidates(rest, near)).where("is_dup and b_start is not null")
     third = _first_match(by_score, F.col("match_method"))
 
-    best = first.unionByName(second).unionByName(third)
-    found = best.select(
-        F.col("a_id").alias("rep"), F.col("hit.match_id").alias("match_id"),
-        F.col("hit.method").alias("match_method"),
-    )
+    shown = [F.col("a_id").alias("rep"), F.col("hit.match_id").alias("match_id"), F.col("hit.method").alias("match_method")]
+    found = first.select(*shown).unionByName(second.select(*shown)).unionByName(third.select(*shown))
     return members(facts, a).join(found, "rep").select("id", "match_id", "match_method")
 
 

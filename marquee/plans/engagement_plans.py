@@ -5,8 +5,11 @@ from pyspark.sql import functions as F
 from marquee.functions import text as X
 from marquee.functions.price import hash_ip, pct
 from marquee.operators import engagement as E
+from marquee.operators import history as H
+from marquee.operators import listings as L
 from marquee.plans.catalog import plain, query
 from marquee.plans.views import LOG_AS_OF
+from marquee.session import job_folder
 
 LOGS = "page_views interactions search_queries"
 DAILY_SQL = """
@@ -184,6 +187,28 @@ def _(t):
     ).agg(F.count(F.lit(1)).alias("n")))
 
 
+@query("j15_facts_at_click", """
+SELECT i.id, CASE WHEN NOT v.gone THEN v.source END AS source, CASE WHEN NOT v.gone THEN v.category END AS category
+FROM interactions i ASOF LEFT JOIN (
+  SELECT id AS event_id, created_at AS valid_from, false AS gone, source, category FROM listings
+  UNION ALL
+  SELECT id, TIMESTAMP '2024-01-10 06:30:00', false, source, 'Community' FROM listings
+  WHERE id % 3 = 0 AND category IS DISTINCT FROM 'Community'
+  UNION ALL
+  SELECT id, TIMESTAMP '2024-01-20 18:00:00', true, NULL, NULL FROM listings WHERE id % 7 = 0
+) v ON i.event_id = v.event_id AND v.valid_from <= i.created_at
+""", "interactions listings")
+def _(t):
+    moved = t.listings.where("id % 3 = 0").select("id", F.lit("Community").alias("category"))
+    second = L.set_category(t.listings, moved, "2024-01-10 06:30:00")
+    third = L.delete(second, second.where("id % 7 = 0"))
+    path = job_folder(t.spark, "versions")
+    H.append_versions(H.opened(t.listings, F.col("created_at")), path)
+    H.append_versions(H.changed(t.listings, second, "2024-01-10 06:30:00"), path)
+    H.append_versions(H.changed(second, third, "2024-01-20 18:00:00"), path)
+    return H.facts_at(t.interactions, H.read_versions(t.spark, path)).select("id", "source", "category")
+
+
 FAVOURITES = """
 SELECT session_id, event_id FROM (
   SELECT session_id, event_id, interaction_type,

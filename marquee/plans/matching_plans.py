@@ -41,6 +41,18 @@ def _(t):
     return M.dup_by_overlap(M.match_facts(moved), M.match_facts(t.listings)).select("a_id", "b_id")
 
 
+@query("j3_first_overlap", f"""
+SELECT a_id, b_id FROM (
+  SELECT i.id AS a_id, s.id AS b_id, row_number() OVER (PARTITION BY i.id ORDER BY s.event_date, s.id) AS place
+  FROM {RELISTED} i JOIN listings s ON {OVERLAP}) WHERE place = 1
+""", "listings")
+def _(t):
+    moved = t.listings.where("id % 2 = 0").withColumn(
+        "title", F.concat(F.lower("title"), F.lit("!"))).withColumn(
+        "event_date", F.col("event_date") + F.expr("interval 1 day"))
+    return M.first_overlap(M.match_facts(moved), M.match_facts(t.listings))
+
+
 @query("j4_band_join", f"""
 SELECT i.id AS a_id, s.id AS b_id FROM listings_incoming i JOIN listings s
   ON i.venue_name = s.venue_name AND i.venue_name <> '' AND {GAP} <= 86400

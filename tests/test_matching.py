@@ -142,6 +142,43 @@ def test_best_match_equals_scan(make_listings):
     assert got == want
 
 
+def test_split_keys_lose_no_pair(spark):
+    """Crowded keys are split by further shared fragments; the pairs stay those of all pairs."""
+    rng = random.Random(8)
+    words = ["jazz", "night", "wine", "tasting", "open", "mic", "market", "live", "party"]
+    names = {" ".join(rng.choice(words) for _ in range(rng.randrange(1, 7))) for _ in range(120)}
+    names = sorted(names | {"".join(rng.choice("abc") for _ in range(rng.randrange(1, 9))) for _ in range(60)})
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    want = {(x, y) for x in names for y in names if ratio(x, y) >= 0.85}
+    got = [(r.a_name, r.b_name) for r in similar_names(df, df, 0.85, [], pairs_per_key=4).collect()]
+    assert len(want) > len(names) and len(got) == len(set(got)) and set(got) == want
+
+
+def test_first_overlap_equals_scan(make_listings):
+    rng = random.Random(11)
+
+    def spans(n, first_id, step):
+        rows = []
+        for i in range(n):
+            start = datetime(2026, 1, 1) + timedelta(hours=rng.randrange(0, 9000), microseconds=rng.choice([0, 7]))
+            rows.append({
+                "id": first_id + i * step, "title": rng.choice(["Fair", "Show", ""]), "source": rng.choice(["a", None]),
+                "venue_name": rng.choice(["", None, "Pier", "Hall"]), "event_date": rng.choice([start, start, start, None]),
+                "end_date": rng.choice([start + timedelta(days=rng.choice([1, 2, 3, 40])), start, None])})
+        return rows
+
+    left, right = spans(150, 1, 1), spans(200, 9000, -1)
+    right += [{**right[0], "id": 9500}, {**right[0], "id": 8000}]  # alike but for the id
+    facts = [M.match_facts(make_listings(rows)) for rows in (left, right)]
+    pairs = {}
+    for r in M.dup_by_overlap(*facts).collect():
+        pairs.setdefault(r.a_id, []).append((r.b_start, r.b_id))
+    want = {a: min(found)[1] for a, found in pairs.items()}
+    got = [(r.a_id, r.b_id) for r in M.first_overlap(*facts).collect()]
+    assert len(want) > 10 and len(got) == len(want) and dict(got) == want
+    assert M.first_overlap(facts[0].limit(0), facts[1]).count() == M.first_overlap(facts[0], facts[1].limit(0)).count() == 0
+
+
 def test_similar_names_equals_all_pairs(spark):
     rng = random.Random(5)
     names = sorted({"".join(rng.choice("abc ") for _ in range(rng.randrange(1, 14))).strip() or "a" for _ in range(150)})
