@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.functions.dates import ntz, seconds_between
+from marquee.functions import dates as D
 from marquee.operators.windows import carry_forward
 
 #: Facts of a listing that reports group by.
@@ -36,7 +36,7 @@ def changed(before: DataFrame, after: DataFrame, as_of) -> DataFrame:
     new = after.select(F.col("id").alias("event_id"), F.struct(*FACTS).alias("new"))
     both = old.join(new, "event_id", "full").where("event_id is not null and not old <=> new")
     return both.select(
-        "event_id", ntz(as_of).alias("valid_from"), F.col("new").isNull().alias("gone"),
+        "event_id", D.ntz(as_of).alias("valid_from"), F.col("new").isNull().alias("gone"),
         *[F.col(f"new.{c}").alias(c) for c in FACTS])
 
 
@@ -63,10 +63,10 @@ def facts_at(interactions: DataFrame, versions: DataFrame, block_days: int = 30)
     bare = interactions.drop(*FACTS)
     dated = F.col("event_id").isNotNull() & F.col("created_at").isNotNull()
     row = F.struct(*[F.col(f"`{c}`") for c in bare.columns])
-    clicks = bare.where(dated).select("event_id", _micros("created_at"), row.alias("click"))
-    # listings without clicks need no pass
+    clicks = bare.where(dated).select("event_id", D.micros("created_at").alias("at"), row.alias("click"))
+    # versions and clicks of one moment are peers; listings without clicks need no pass
     clicked = clicks.select("event_id").distinct()
-    marks = held.join(clicked, "event_id", "left_semi").select("event_id", _micros("valid_from"), "version")
+    marks = held.join(clicked, "event_id", "left_semi").select("event_id", D.micros("valid_from").alias("at"), "version")
     line = clicks.unionByName(marks, allowMissingColumns=True)
     known = carry_forward(line, ["event_id"], "at", "version", "seen", block=block_days * DAYS * 1_000_000)
     live = F.when(~F.col("seen.gone"), F.col("seen"))
@@ -74,9 +74,3 @@ def facts_at(interactions: DataFrame, versions: DataFrame, block_days: int = 30)
     kinds = {f.name: f.dataType for f in versions.schema.fields}
     rest = bare.where(~dated).select("*", *[F.lit(None).cast(kinds[c]).alias(c) for c in FACTS])
     return found.unionByName(rest)
-
-
-def _micros(c: str) -> Column:
-    """The moment as a number; versions and clicks of one moment are peers."""
-    whole = seconds_between(F.date_trunc("second", F.col(c)).cast("timestamp_ntz"), ntz("1970-01-01 00:00:00"))
-    return (whole.cast("bigint") * 1_000_000 + F.date_format(c, "SSSSSS").cast("bigint")).alias("at")

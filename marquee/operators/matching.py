@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marquee.functions import text as X
-from marquee.functions.dates import ntz, seconds_between
+from marquee.functions.dates import micros, ntz, seconds_between
 from marquee.functions.geo import haversine
 from marquee.functions.similarity import length_bound, letter_bound, marks_missing, similarity
 from marquee.operators.names import similar_names, with_letter_marks
@@ -150,7 +150,7 @@ def first_overlap(left: DataFrame, right: DataFrame) -> DataFrame:
     The pairs of ``dup_by_overlap``, of which only the first of each incoming row is formed.
     Of the stored spans of one source, title and venue, in order, only those that end later
     than all before can be a first match; the one an incoming span takes is the first of
-    them that ends at or after its start. Both passes run in blocks of time, so a series
+    them that ends at or after its start (late moments come first in that pass). Both passes run in blocks of time, so a series
     listed any number of times costs its rows and no square.
     """
     a = left.where(_is_long("start", "end") & (F.col("title") != "")).select(
@@ -172,19 +172,13 @@ def first_overlap(left: DataFrame, right: DataFrame) -> DataFrame:
     held = F.greatest("own", "before")
     later = walked.where(held.isNull() | (F.col("end") > held))
 
-    stored = later.select(*keys, _back("end").alias("at"), F.struct("start", "id").alias("span"))
-    line = a.withColumn("at", _back("start")).unionByName(stored, allowMissingColumns=True)
+    stored = later.select(*keys, (-micros("end")).alias("at"), F.struct("start", "id").alias("span"))
+    line = a.withColumn("at", -micros("start")).unionByName(stored, allowMissingColumns=True)
     met = carry_forward(line, keys, "at", "span", "hit", block=SPAN_BLOCK * 1_000_000)
     return met.where(F.col("a_id").isNotNull() & (F.col("hit.start") <= F.col("end"))).select(
         "a_id", F.col("hit.id").alias("b_id"))
 
 
-def _back(c: str) -> Column:
-    """The moment in microseconds, late ones first."""
-    return -(_epoch(F.date_trunc("second", F.col(c)).cast("timestamp_ntz")) * 1_000_000
-             + F.date_format(c, "SSSSSS").cast("bigint"))
-
-
 def _grid(lat: Column, km: float) -> tuple[Column, float]:
     step = km * 1.01 / 111.19
     return F.floor(lat / step), step

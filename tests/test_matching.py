@@ -162,12 +162,12 @@ def test_first_overlap_equals_scan(make_listings):
         for i in range(n):
             start = datetime(2026, 1, 1) + timedelta(hours=rng.randrange(0, 9000), microseconds=rng.choice([0, 7]))
             rows.append({
-                "id": first_id + i * step, "title": rng.choice(["Fair", "Show", ""]), "source": rng.choice(["a", None]),
+                "id": first_id + i * step, "title": rng.choice(["Fair", "Show", ""]), "source": rng.choice(["a", "b"]),
                 "venue_name": rng.choice(["", None, "Pier", "Hall"]), "event_date": rng.choice([start, start, start, None]),
                 "end_date": rng.choice([start + timedelta(days=rng.choice([1, 2, 3, 40])), start, None])})
         return rows
 
-    left, right = spans(150, 1, 1), spans(200, 9000, -1)
+    left, right = spans(600, 1, 1), spans(300, 9000, -1)
     right += [{**right[0], "id": 9500}, {**right[0], "id": 8000}]  # alike but for the id
     facts = [M.match_facts(make_listings(rows)) for rows in (left, right)]
     pairs = {}
