@@ -7,9 +7,11 @@ from marquee.functions.price import hash_ip, pct
 from marquee.operators import engagement as E
 from marquee.operators import history as H
 from marquee.operators import listings as L
+from marquee.operators import rollups as R
 from marquee.plans.catalog import plain, query
 from marquee.plans.views import LOG_AS_OF
 from marquee.session import job_folder
+from marquee.streaming.jobs import session_marks
 
 LOGS = "page_views interactions search_queries"
 DAILY_SQL = """
@@ -159,6 +161,61 @@ def _(t):
     return plain(E.filter_usage(t.search_queries))
 
 
+def rolled(t) -> str:
+    """The logs in three batches, the second one run twice."""
+    path = job_folder(t.spark, "rollup")
+    parts = [[log.where(F.col("id") % 3 == i) for log in (t.page_views, t.interactions, t.search_queries)] for i in range(3)]
+    for batch in (0, 1, 1, 2):
+        R.merge_days(R.roll_up_days(session_marks(*parts[batch])), path, batch)
+    return path
+
+
+@query("a9_rollup_days", DAILY_SQL.format(first="2024-01-01", last="2024-02-10"), LOGS)
+def _(t):
+    return plain(R.daily_report(t.spark, rolled(t), "2024-01-01", "2024-02-10"))
+
+
+@query("a10_rollup_period", """
+SELECT (SELECT count(DISTINCT session_id) FROM page_views WHERE CAST(created_at AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-02-03') AS unique_visitors,
+  (SELECT count(*) FROM page_views WHERE CAST(created_at AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-02-03') AS page_views,
+  count(*) FILTER (WHERE interaction_type = 'view') AS events_viewed,
+  count(*) FILTER (WHERE interaction_type = 'click') AS events_clicked,
+  (SELECT count(*) FROM search_queries WHERE CAST(created_at AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-02-03') AS searches,
+  count(*) FILTER (WHERE interaction_type = 'favorite') AS favorites_added,
+  CAST(coalesce(round(count(*) FILTER (WHERE interaction_type = 'click') * 100.0 / nullif(count(*) FILTER (WHERE interaction_type = 'view'), 0), 1), 0) AS DOUBLE) AS click_through_rate
+FROM interactions WHERE CAST(created_at AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-02-03'
+""", LOGS)
+def _(t):
+    return plain(R.period_report(t.spark, rolled(t), "2024-01-05", "2024-02-03"))
+
+
+@query("a26_rollup_returning", """
+WITH a AS (SELECT DISTINCT session_id FROM page_views WHERE CAST(created_at AS DATE) BETWEEN DATE '2024-01-01' AND DATE '2024-01-10'),
+ b AS (SELECT DISTINCT session_id FROM page_views WHERE CAST(created_at AS DATE) BETWEEN DATE '2024-01-11' AND DATE '2024-01-20')
+SELECT count(*) AS visitors, count(a.session_id) AS "returning",
+  CAST(coalesce(round(count(a.session_id) * 100.0 / nullif(count(*), 0), 2), 0) AS DOUBLE) AS returning_share
+FROM b LEFT JOIN a ON a.session_id = b.session_id
+""".strip(), "page_views")
+def _(t):
+    return plain(R.returning_visitors(t.spark, rolled(t), ("2024-01-01", "2024-01-10"), ("2024-01-11", "2024-01-20")))
+
+
+@query("a15_rollup_sessions", f"""
+WITH s AS (SELECT * FROM ({SESSIONS}) WHERE CAST(first_seen AS DATE) >= DATE '2024-01-02')
+SELECT CAST(count(*) AS BIGINT) AS total_sessions,
+  coalesce(round(avg(page_views), 2), 0) AS avg_page_views,
+  coalesce(round(avg(events_viewed), 2), 0) AS avg_events_viewed,
+  CAST(coalesce(round(count(*) FILTER (WHERE page_views = 1) * 100.0 / nullif(count(*), 0), 2), 0) AS DOUBLE) AS bounce_rate
+FROM s
+""".strip(), LOGS)
+def _(t):
+    path = job_folder(t.spark, "rollup")
+    own = _sessions(t).withColumn("__part", F.crc32("session_id") % 2)
+    for batch in (0, 1, 1):
+        R.merge_days(R.roll_up_sessions(own.where(F.col("__part") == batch)), path, batch)
+    return plain(R.session_report(t.spark, path, "2024-01-02"))
+
+
 @query("a26_session_extras", f"""
 SELECT round(avg(CAST(floor(epoch(last_seen) - epoch(first_seen) + 1e-7) AS BIGINT)), 2) AS avg_seconds,
   CAST(round(count(*) FILTER (WHERE CAST(last_seen AS DATE) > CAST(first_seen AS DATE)) * 100.0 / count(*), 2) AS DOUBLE) AS returning_share

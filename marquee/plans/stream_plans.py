@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from marquee import schemas
 from marquee.functions.dates import as_naive
 from marquee.operators import engagement as E
+from marquee.operators import rollups as R
 from marquee.plans.catalog import plain, query
 from marquee.plans.engagement_plans import DAILY_SQL, LOGS, SESSIONS
 from marquee.plans.views import Tables
@@ -51,6 +52,25 @@ def _(t):
     return plain(M.read_sessions(t.spark, run(M.session_stream(marks), folder)))
 
 
+@query("m2_ended_sessions", f"""
+WITH marks AS (SELECT session_id, created_at, 'page' AS kind FROM page_views
+  UNION ALL SELECT session_id, created_at, interaction_type FROM interactions
+  UNION ALL SELECT session_id, created_at, 'search' FROM search_queries),
+ marked AS (SELECT *, CASE WHEN created_at - lag(created_at) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh
+  FROM marks WINDOW w AS (PARTITION BY session_id ORDER BY created_at)),
+ numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY session_id ORDER BY created_at) AS n FROM marked)
+SELECT session_id, {TS.format('min(created_at)')} AS first_seen, {TS.format('max(created_at)')} AS last_seen,
+  count(*) FILTER (WHERE kind = 'page') AS page_views, count(*) FILTER (WHERE kind = 'view') AS events_viewed,
+  count(*) FILTER (WHERE kind = 'click') AS events_clicked, count(*) FILTER (WHERE kind = 'search') AS searches
+FROM numbered GROUP BY session_id, n
+HAVING max(created_at) + INTERVAL 30 MINUTE <= (SELECT max(created_at) - INTERVAL 10 MINUTE FROM marks)
+""".strip(), LOGS)
+def _(t):
+    s, folder = replay(t)
+    marks = M.session_marks(s.page_views, s.interactions, s.search_queries)
+    return plain(t.spark.read.parquet(run(M.ended_sessions(marks), folder, "append")).drop("batch"))
+
+
 @query("m3_split_valid", """
 SELECT event_id AS id, event_id % 7 <> 0 AND event_id % 11 <> 0 AS valid FROM events
 """)
@@ -81,6 +101,14 @@ def _(t):
     return plain(counts.where("page_views + events_viewed + events_clicked + searches + favorites_added > 0"))
 
 
+@query("m4_rollup_stream", DAILY_SQL.format(first="2024-01-01", last="2024-02-28"), LOGS)
+def _(t):
+    s, folder = replay(t)
+    marks = M.session_marks(s.page_views, s.interactions, s.search_queries)
+    M.write_rollup(marks, f"{folder}/days", f"{folder}/state", once=True).awaitTermination()
+    return plain(R.daily_report(t.spark, f"{folder}/days", "2024-01-01", "2024-02-28"))
+
+
 @query("m5_popularity_stream", f"""
 SELECT {TS.format('d')} AS "from", {TS.format("d + INTERVAL 7 DAY")} AS "to", event_id,
   CAST(count(*) FILTER (WHERE interaction_type = 'view') AS BIGINT) AS views,

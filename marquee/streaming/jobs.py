@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from marquee.functions import dates as D
+from marquee.operators import rollups as R
 
 AT = "created_at"
 
@@ -66,16 +67,46 @@ def session_marks(page_views: DataFrame, interactions: DataFrame, searches: Data
     )
 
 
-def session_stream(marks: DataFrame) -> DataFrame:
-    """M2: session table as running state; stamps only widen, whatever the order."""
+def _session_counts() -> list[Column]:
     kind = F.col("kind")
-    return marks.groupBy("session_id").agg(
+    return [
         F.min(AT).alias("first_seen"),
         F.max(AT).alias("last_seen"),
         F.count_if(kind == "page").alias("page_views"),
         F.count_if(kind == "view").alias("events_viewed"),
         F.count_if(kind == "click").alias("events_clicked"),
         F.count_if(kind == "search").alias("searches"),
+    ]
+
+
+def session_stream(marks: DataFrame) -> DataFrame:
+    """M2: session table as running state; stamps only widen, whatever the order.
+
+    The state of every session is kept; ``ended_sessions`` lets it go.
+    """
+    return marks.groupBy("session_id").agg(*_session_counts())
+
+
+def ended_sessions(marks: DataFrame, pause: str = "30 minutes", delay: str = "10 minutes") -> DataFrame:
+    """M2: each session once, in append mode, when it has been silent for ``pause``.
+
+    Its state is freed with that, so state holds open sessions only. An id that comes back
+    after the pause gives a further row; ``read_ended`` adds them up. Marks later than
+    ``delay`` that belong to no open session are dropped and counted by the query's progress.
+    """
+    ended = with_event_time(marks, delay).groupBy("session_id", F.session_window(AT, pause).alias("w"))
+    rows = ended.agg(*_session_counts()).drop("w")
+    for stamp in ("first_seen", "last_seen"):
+        rows = rows.withColumn(stamp, D.as_naive(stamp))
+    return rows
+
+
+def read_ended(spark: SparkSession, path: str) -> DataFrame:
+    """One row per session id from the ended sessions."""
+    counters = ["page_views", "events_viewed", "events_clicked", "searches"]
+    return spark.read.parquet(path).groupBy("session_id").agg(
+        F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"),
+        *[F.sum(c).alias(c) for c in counters],
     )
 
 
@@ -136,6 +167,22 @@ def daily_stream(marks: DataFrame, delay: str = "10 minutes") -> DataFrame:
     return days.select(F.to_date(D.as_naive("w.start")).alias("date"), *[c for c in days.columns if c != "w"])
 
 
+def write_rollup(
+    marks: DataFrame, path: str, checkpoint: str, interval: str = "1 minute", once: bool = False
+) -> StreamingQuery:
+    """Every micro-batch into the stored daily rollup; no state, late rows reach their day.
+
+    A replayed batch counts once (``rollups.merge_days``). A checkpoint belongs to one path.
+    """
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        R.merge_days(R.roll_up_days(batch), path, batch_id)
+
+    writer = marks.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
+    writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=interval)
+    return writer.start()
+
+
 def popularity_stream(interactions: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """M5: views and clicks of each listing over seven days, moving by one."""
     kind = F.col("interaction_type")
