@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 from pyspark.sql import Column
@@ -79,6 +80,49 @@ def any_term(text: Column, terms: list[str]) -> Column:
     return hit
 
 
+def _trie_pattern(terms) -> str:
+    """A pattern of the longest term at a place, shared beginnings once; many branches are told apart by class first."""
+    root: dict = {}
+    for term in terms:
+        node = root
+        for char in term:
+            node = node.setdefault(char, {})
+        node[""] = {}
+
+    def choices(node: dict, chars: list[str]) -> str:
+        if len(chars) <= 6:
+            return "|".join(re.escape(c) + rest(node[c]) for c in chars)
+        step = round(len(chars) ** 0.5)
+        parts = [chars[i:i + step] for i in range(0, len(chars), step)]
+        return "|".join(f"(?=[{''.join(map(re.escape, p))}])(?:{choices(node, p)})" for p in parts)
+
+    def rest(node: dict) -> str:
+        chars = sorted(c for c in node if c)
+        if not chars:
+            return ""
+        return f"(?:{choices(node, chars)})" + ("?" if "" in node else "")
+
+    return rest(root)
+
+
+def terms_in(text: Column, terms) -> Column:
+    """Array of the distinct terms that the text contains, overlapping ones too, in one walk over the text.
+
+    At each place the longest term is read; the others there are its beginnings, known beforehand.
+    Null text gives null, no terms an empty array. An empty term is in every text.
+    """
+    known = sorted(set(terms))
+    if not known:
+        return F.when(text.isNotNull(), F.array().cast("array<string>"))
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?=({_trie_pattern(known)}))"), F.lit(1)))
+    heads = {t: [h for h in known if t.startswith(h)] for t in known}
+    wider = {t: hs for t, hs in heads.items() if len(hs) > 1}
+    if not wider:
+        return found
+    lookup = F.create_map(*[x for t, hs in wider.items() for x in (F.lit(t), F.array(*map(F.lit, hs)))])
+    return F.array_distinct(F.flatten(F.transform(found, lambda t: F.coalesce(F.element_at(lookup, t), F.array(t)))))
+
+
 def spaced(*parts) -> Column:
     """Lower-cased parts joined by one space, blank parts skipped."""
     return F.lower(F.concat_ws(" ", *[blank_to_null(p) for p in parts]))

@@ -57,15 +57,27 @@ def _searched() -> Column:
     )
 
 
-def _with_text(df: DataFrame) -> DataFrame:
-    """Adds the lower-cased texts, computed once for all keywords."""
-    return staged(df, {"__text": _searched(), "__venue": F.lower(X.text_or_empty("venue_name"))})
+def _with_hits(df: DataFrame, keywords: Mapping[str, Sequence[str]]) -> DataFrame:
+    """Adds the lower-cased venue and, per keyword found in the texts, the places of its categories.
+
+    The texts are walked once for all keywords. A keyword that a category lists twice counts twice.
+    """
+    places: dict[str, list[int]] = {}
+    for order, terms in enumerate(keywords.values()):
+        for term in terms:
+            places.setdefault(term.lower(), []).append(order)
+    texts = staged(df, {"__text": _searched(), "__venue": F.lower(X.text_or_empty("venue_name"))})
+    found = staged(texts, {"__found": X.terms_in(F.col("__text"), places)}).drop("__text")
+    if not places:
+        return found.withColumn("__hits", F.array().cast("array<int>")).drop("__found")
+    lookup = F.create_map(*[x for t, ps in places.items() for x in (F.lit(t), F.array(*map(F.lit, ps)))])
+    hits = F.flatten(F.transform("__found", lambda t: F.element_at(lookup, t)))
+    return staged(found, {"__hits": hits}).drop("__found")
 
 
-def _hits(terms: Sequence[str]) -> Column:
-    """How many of the terms the text contains."""
-    listed = F.array(*[F.lit(t.lower()) for t in terms])
-    return F.size(F.filter(listed, lambda t: F.contains(F.col("__text"), t)))
+def _hits(order: int) -> Column:
+    """How many keywords of the category at this place the texts contain."""
+    return F.size(F.filter("__hits", lambda place: place == order))
 
 
 def category_scores(
@@ -75,8 +87,8 @@ def category_scores(
 ) -> Column:
     """Array of (score, minus order, category), one per category."""
     scored = []
-    for order, (category, terms) in enumerate(keywords.items()):
-        raw = _hits(terms).cast("double")
+    for order, category in enumerate(keywords):
+        raw = _hits(order).cast("double")
         if category in venues:
             raw = raw + F.when(X.any_term(F.col("__venue"), venues[category]), 5.0).otherwise(0.0)
         scored.append(
@@ -89,15 +101,17 @@ def category_scores(
     return F.array(*scored)
 
 
-def classify(df: DataFrame, column: str = "category", **dimensions) -> DataFrame:
+def classify(
+    df: DataFrame, column: str = "category", keywords: Mapping[str, Sequence[str]] = V.CATEGORY_KEYWORDS, **dimensions
+) -> DataFrame:
     """Category with the highest weighted score, first listed on ties, else Other.
 
     Row-local: no join and no shuffle.
     """
-    scored = staged(_with_text(df), {"__best": F.array_max(category_scores(**dimensions))})
+    scored = staged(_with_hits(df, keywords), {"__best": F.array_max(category_scores(keywords, **dimensions))})
     best = F.col("__best")
     chosen = F.when(best["score"] > 0, best["category"]).otherwise(F.lit("Other"))
-    return scored.withColumn(column, chosen).drop("__text", "__venue", "__best")
+    return scored.withColumn(column, chosen).drop("__venue", "__hits", "__best")
 
 
 def classify_multi(
@@ -108,11 +122,11 @@ def classify_multi(
 ) -> DataFrame:
     """Every category with enough hits, in dictionary order, else [Other]."""
     named = F.array(
-        *[F.when(_hits(terms) >= threshold, F.lit(c)) for c, terms in keywords.items()]
+        *[F.when(_hits(order) >= threshold, F.lit(c)) for order, c in enumerate(keywords)]
     )
-    found = staged(_with_text(df), {"__found": F.array_compact(named)})
+    found = staged(_with_hits(df, keywords), {"__found": F.array_compact(named)})
     chosen = F.when(F.size("__found") > 0, F.col("__found")).otherwise(F.array(F.lit("Other")))
-    return found.withColumn(column, chosen).drop("__text", "__venue", "__found")
+    return found.withColumn(column, chosen).drop("__venue", "__hits", "__found")
 
 
 def reclassify(df: DataFrame, **dimensions) -> DataFrame:
