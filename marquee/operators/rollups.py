@@ -10,11 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.utils import AnalysisException
 
 from marquee.functions.dates import day, moment
 from marquee.functions.price import pct
-from marquee.session import cut_lineage
+from marquee.session import cut_lineage, read_or_empty
 
 AT = "created_at"
 #: 16,384 visitors a day exactly, 0.8 % standard error above, at most 128 KiB a row.
@@ -65,12 +64,7 @@ def _merged(df: DataFrame, skip: tuple[str, ...] = ()) -> list[Column]:
 def _stored(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
     """The stored days, none before the first batch."""
     schema = T.StructType([*like.schema.fields]).add(BATCH, "long").add(MONTH, "string")
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
+    return read_or_empty(spark, path, schema)
 
 
 def merge_days(fresh: DataFrame, path: str, batch: int) -> None:

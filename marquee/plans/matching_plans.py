@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from marquee.operators import matching as M
 from marquee.operators import merging as E
-from marquee.operators.clusters import duplicate_clusters
+from marquee.operators.clusters import add_pairs, duplicate_clusters, read_clusters
 from marquee.plans.catalog import plain, query
 from marquee.plans.expression_plans import KM, NORM_TITLE, norm_venue_sql
 from marquee.plans.views import AS_OF
+from marquee.session import job_folder
 
 GAP = "abs(epoch(i.event_date - s.event_date))"
 
@@ -168,16 +169,31 @@ def _(t):
     return M.duplicate_pairs(both)
 
 
-@query("e2_duplicate_clusters", """
+ORDERS_OF_ONE = """
 SELECT o_orderkey AS id, min(o_orderkey) OVER (PARTITION BY o_custkey) AS cluster FROM orders
 WHERE o_custkey IN (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) > 1)
-""")
-def _(t):
+"""
+
+
+def order_chain(t):
     from pyspark.sql import Window
 
     after = F.lead("o_orderkey").over(Window.partitionBy("o_custkey").orderBy(F.xxhash64("o_orderkey")))
     chain = t.raw("orders").select(F.col("o_orderkey").alias("id_a"), after.alias("id_b"))
-    return duplicate_clusters(chain.where("id_b is not null"))
+    return chain.where("id_b is not null")
+
+
+@query("e2_duplicate_clusters", ORDERS_OF_ONE)
+def _(t):
+    return duplicate_clusters(order_chain(t))
+
+
+@query("e2_stored_clusters", ORDERS_OF_ONE)
+def _(t):
+    path, chain = job_folder(t.spark, "clusters"), order_chain(t)
+    for version in range(2):
+        add_pairs(chain.where(F.pmod(F.xxhash64("id_a", "id_b"), F.lit(2)) == version), path, version)
+    return read_clusters(t.spark, path)
 
 
 def first_of(c, typ="text"):

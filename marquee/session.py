@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.utils import AnalysisException
 
 
 def local_session(cpus: str | int = "*", app: str = "marquee", **conf: str) -> SparkSession:
@@ -70,6 +71,16 @@ def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFram
     return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=arrow), struct)
 
 
+def read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A stored table that may not have been written yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash partitioning by keys with the session's partition count, kept as it is.
 
