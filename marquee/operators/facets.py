@@ -36,6 +36,13 @@ def filter_tallies(
     Rows are (facet, name, n) with facet category, venue or free.
     """
     kept = df.where(_base(region, bbox) & S.date_predicate(date_filter, as_of, specific_date))
+    return _tally(kept, F.lit(1), categories, sources, free_only, min_venue_count)
+
+
+def _tally(
+    kept: DataFrame, n: Column, categories: list[str] | None, sources: list[str] | None, free_only: bool, min_venue_count: int
+) -> DataFrame:
+    """The facets of rows that each stand for so many listings."""
     in_category = F.col("category").isin(categories) if categories else F.lit(True)
     in_source = F.col("source").isin(sources) if sources else F.lit(True)
     free = F.coalesce(F.col("is_free"), F.lit(False))
@@ -44,9 +51,9 @@ def filter_tallies(
     marked = kept.select(
         "category",
         F.nullif("venue_name", F.lit("")).alias("venue"),
-        (toggled & in_source).cast("int").alias("for_category"),
-        (toggled & in_category).cast("int").alias("for_venue"),
-        (free & in_category & in_source).cast("int").alias("for_free"),
+        ((toggled & in_source).cast("int") * n).alias("for_category"),
+        ((toggled & in_category).cast("int") * n).alias("for_venue"),
+        ((free & in_category & in_source).cast("int") * n).alias("for_free"),
     )
     counted = marked.groupingSets(
         [[F.col("category")], [F.col("venue")], []], "category", "venue"
@@ -60,13 +67,13 @@ def filter_tallies(
     facet = (
         F.when(level == 1, F.lit("category")).when(level == 2, F.lit("venue")).otherwise("free")
     )
-    n = F.when(level == 1, F.col("n_category")).when(level == 2, F.col("n_venue")).otherwise(
+    total = F.when(level == 1, F.col("n_category")).when(level == 2, F.col("n_venue")).otherwise(
         F.coalesce("n_free", F.lit(0))
     )
     rows = counted.select(
         facet.alias("facet"),
         F.coalesce("category", "venue").alias("name"),
-        n.alias("n"),
+        total.alias("n"),
     )
     return rows.where(
         (F.col("facet") == "free")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from marquee import fixed_values as V
 from marquee.functions import text as X
+from marquee.operators import facet_cube as K
 from marquee.operators import facets as A
 from marquee.operators import listings as L
 from marquee.operators import phrases as P
@@ -378,7 +379,7 @@ def _(t):
     return A.facet_free(t.listings, AS_OF, **PICKED)
 
 
-@query("a4_filter_tallies", f"""
+TALLIES = f"""
 SELECT 'category' AS facet, category AS name, CAST(count(*) AS BIGINT) AS n FROM listings
 WHERE {BOXED} AND is_free AND {IN_SRC} GROUP BY 2
 UNION ALL
@@ -387,7 +388,10 @@ WHERE {BOXED} AND is_free AND {IN_CAT} AND venue_name <> '' GROUP BY 2 HAVING co
 UNION ALL
 SELECT 'free', NULL, CAST(count(*) AS BIGINT) FROM listings
 WHERE {BOXED} AND is_free AND {IN_CAT} AND {IN_SRC}
-""", "listings")
+"""
+
+
+@query("a4_filter_tallies", TALLIES, "listings")
 def _(t):
     return A.filter_tallies(t.listings, AS_OF, free_only=True, **PICKED)
 
@@ -413,18 +417,39 @@ def _(t):
     return A.selected_totals(A.filter_tallies(t.listings, AS_OF), ["Music", "Tech"], ["Venue 6"])
 
 
-@query("a7_hero_counts", """
+HERO = """
 SELECT CAST(count(*) FILTER (WHERE CAST(event_date AS DATE) >= DATE '1998-06-17') AS BIGINT) AS upcoming,
   CAST(count(*) FILTER (WHERE CAST(event_date AS DATE) = DATE '1998-06-17'
     OR (end_date IS NOT NULL AND CAST(event_date AS DATE) <= DATE '1998-06-17'
         AND CAST(end_date AS DATE) >= DATE '1998-06-17')) AS BIGINT) AS active_today,
   CAST(count(DISTINCT source) FILTER (WHERE CAST(event_date AS DATE) >= DATE '1998-06-17') AS BIGINT) AS sources
 FROM listings
-""", "listings")
+"""
+
+
+@query("a7_hero_counts", HERO, "listings")
 def _(t):
     return A.hero_counts(t.listings, AS_OF)
 
 
+def cubed(t):
+    """The cube of the stored listings."""
+    stored, path = job_folder(t.spark, "listings"), job_folder(t.spark, "cube")
+    L.append_listings(t.listings, stored)
+    K.refresh_cube(t.spark, stored, path)
+    return K.read_cube(t.spark, path)
+
+
+@query("a4_cube_tallies", TALLIES, "listings")
+def _(t):
+    return K.cube_tallies(cubed(t), t.listings, AS_OF, free_only=True, **PICKED)
+
+
+@query("a7_cube_hero", HERO, "listings")
+def _(t):
+    return K.cube_hero_counts(cubed(t), AS_OF)
+
+
 for _by in ("source", "category"):
 
     @query(f"a8_counts_by_{_by}",
