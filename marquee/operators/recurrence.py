@@ -11,7 +11,7 @@ from marquee import fixed_values as V
 from marquee.functions import dates as D
 from marquee.functions import text as X
 from marquee.operators.staging import staged
-from marquee.session import cut_lineage
+from marquee.session import cut_lineage, spread
 
 DAY_CODES = ["MO", "TU", "WE", "TH", "FR", "SA", "SU"]
 
@@ -48,6 +48,13 @@ RULE_PARTS = ["FREQ", "INTERVAL", "BYDAY", "BYMONTHDAY", "BYMONTH", "BYSETPOS",
 LAST_MOMENT = "9999-12-31 23:59:59"
 
 
+def _day_code(text: Column) -> Column:
+    """A BYDAY entry as one number: seven times its ordinal (0 without one) and its weekday."""
+    codes = F.array(*[F.lit(c) for c in DAY_CODES])
+    ordinal = F.coalesce(F.regexp_extract(text, r"^([+-]?\d+)", 1).try_cast("int"), F.lit(0))
+    return (ordinal * 7 + F.array_position(codes, F.right(text, F.lit(2))) - 1).cast("int")
+
+
 def _rule_parts(entries: DataFrame) -> DataFrame:
     """Adds the parts of the rule as columns, each computed once per entry."""
     def part(name: str) -> Column:
@@ -78,6 +85,7 @@ def _rule_parts(entries: DataFrame) -> DataFrame:
             "r_first": F.to_date("m_start"),
         },
     )
+    parts = staged(parts, {"r_codes": F.transform("r_days", _day_code)})
     # UNTIL is the last allowed moment; a date alone allows that whole day.
     last_moment = F.make_dt_interval(days=F.lit(1)) - F.make_dt_interval(
         secs=F.lit("0.000001").cast("decimal(18,6)")
@@ -105,7 +113,7 @@ def _rule_parts(entries: DataFrame) -> DataFrame:
 
 
 RULE_COLUMNS = ["r_parts", "r_freq", "r_step", "r_days", "r_dates", "r_months", "r_places", "r_week", "r_count",
-                "r_until_text", "r_until_at", "r_first", "r_until", "r_clock", "r_begin", "r_end", "r_days_on", "r_numbers", "r_back"]
+                "r_until_text", "r_until_at", "r_first", "r_until", "r_clock", "r_begin", "r_end", "r_codes", "r_named"]
 
 
 def _week(d: Column) -> Column:
@@ -121,19 +129,8 @@ def _month_start(number: Column) -> Column:
     return F.make_date(F.floor(number / 12).cast("int"), F.pmod(number, F.lit(12)).cast("int") + 1, F.lit(1))
 
 
-def _period(d: Column) -> Column:
-    """Number of the day, week, month or year of a rule that holds a day."""
-    freq = F.col("r_freq")
-    return (
-        F.when(freq == "YEARLY", F.year(d))
-        .when(freq == "MONTHLY", _months(d))
-        .when(freq == "WEEKLY", F.unix_date(_week(d)))
-        .otherwise(F.unix_date(d))
-    )
-
-
 def _days_in_step() -> Column:
-    """Days of [r_begin, r_end] in the periods the rule's interval names, those between left out."""
+    """Days of each period the rule's interval names from r_begin to r_end, those between left out."""
     freq, step, first = F.col("r_freq"), F.col("r_step"), F.col("r_first")
     begin, end = F.col("r_begin"), F.col("r_end")
 
@@ -150,38 +147,36 @@ def _days_in_step() -> Column:
                                              F.date_add(F.date_add(F.lit("1970-01-05").cast("date"), w * 7), F.col("r_shift") + 6)))
     days = F.transform(stepped(F.unix_date), lambda n: F.array(F.date_from_unix_date(n)))
     every = F.when(freq == "YEARLY", years).when(freq == "MONTHLY", months).when(freq == "WEEKLY", weeks).otherwise(days)
-    return F.when(begin <= end, F.flatten(every)).otherwise(F.array().cast("array<date>"))
+    return F.when(begin <= end, every).otherwise(F.array().cast("array<array<date>>"))
 
 
 def _fits(d: Column) -> Column:
-    """A day of a named period that the BY parts name."""
-    freq, first = F.col("r_freq"), F.col("r_first")
-    by_day, by_date, by_month = F.col("r_days"), F.col("r_dates"), F.col("r_months")
-    codes = F.array(*[F.lit(c) for c in DAY_CODES])
-    code, dom = F.get(codes, F.weekday(d)), F.day(d)
-    no_days, no_dates, no_months = F.size(by_day) == 0, F.size(by_date) == 0, F.size(by_month) == 0
+    """A day of a named period that the BY parts name; the columns f_* are those of ``_day_facts``."""
+    freq, codes, by_date, by_month = F.col("r_freq"), F.col("r_codes"), F.col("r_dates"), F.col("r_months")
+    no_days, no_dates, no_months = F.col("f_no_days"), F.col("f_no_dates"), F.col("f_no_months")
+    weekday, dom, month_days = F.weekday(d), F.day(d), F.day(F.last_day(d))
     in_month = no_months | F.array_contains(by_month, F.month(d))
-    on_date = no_dates | F.array_contains(by_date, dom) | F.array_contains(by_date, dom - F.day(F.last_day(d)) - 1)
+    on_date = no_dates | F.array_contains(by_date, dom) | F.array_contains(by_date, dom - month_days - 1)
+    on_start = dom == F.col("f_dom")
 
     def nth_of(place: Column, length: Column) -> Column:
-        """The day is the n-th, or n-th last, of its weekday in a month or year."""
-        ahead = F.floor((place + 6) / 7).cast("string")
-        back = F.floor((length - place + 7) / 7).cast("string")
-        return F.arrays_overlap(by_day, F.array(
-            code, F.concat(ahead, code), F.concat(F.lit("+"), ahead, code), F.concat(F.lit("-"), back, code)))
+        """The day is any, the n-th, or the n-th last, of its weekday in a month or year."""
+        ahead = place + 6 - (place + 6) % 7
+        back = length - place + 7 - (length - place) % 7
+        return (F.array_contains(codes, weekday) | F.array_contains(codes, ahead + weekday)
+                | F.array_contains(codes, weekday - back))
 
-    in_the_month = nth_of(dom, F.day(F.last_day(d)))
+    in_the_month = nth_of(dom, month_days)
     in_the_year = nth_of(F.dayofyear(d), F.dayofyear(F.make_date(F.year(d), F.lit(12), F.lit(31))))
-    on_day = no_days | F.array_contains(by_day, code)
-    start_date = no_days & no_dates & (dom == F.day(first))
-    monthly = start_date | (~(no_days & no_dates) & on_date & (no_days | in_the_month))
+    on_day = no_days | F.array_contains(codes, weekday)
+    monthly = F.when(no_days & no_dates, on_start).otherwise(on_date & (no_days | in_the_month))
     yearly = (
-        F.when(no_days & no_dates, (dom == F.day(first)) & (~no_months | (F.month(d) == F.month(first))))
+        F.when(no_days & no_dates, on_start & (~no_months | (F.month(d) == F.col("f_month"))))
         .when(no_days, on_date)
         .when(no_months & no_dates, in_the_year)
         .otherwise(on_date & in_the_month)
     )
-    weekly_ = F.when(no_days, F.weekday(d) == F.weekday(first)).otherwise(on_day) & on_date
+    weekly_ = F.when(no_days, weekday == F.col("f_weekday")).otherwise(on_day) & on_date
     return in_month & (
         F.when(freq == "DAILY", on_day & on_date)
         .when(freq == "WEEKLY", weekly_)
@@ -190,15 +185,22 @@ def _fits(d: Column) -> Column:
     )
 
 
-def _placed() -> Column:
-    """BYSETPOS: the n-th or n-th last of the days of each period; r_numbers and r_back number the periods."""
-    days, places, numbers = F.col("r_days_on"), F.col("r_places"), F.col("r_numbers")
+def _day_facts() -> dict[str, Column]:
+    """What ``_fits`` asks of every day of a rule, computed once for the rule."""
+    low, high = _period_edges()
+    return {
+        "f_no_days": F.size("r_codes") == 0, "f_no_dates": F.size("r_dates") == 0, "f_no_months": F.size("r_months") == 0,
+        "f_dom": F.day("r_first"), "f_month": F.month("r_first"), "f_weekday": F.weekday("r_first"),
+        "f_low": low, "f_high": high,
+    }
+
+
+def _placed(days: Column) -> Column:
+    """BYSETPOS: the n-th or n-th last of the days of one period."""
+    places = F.col("r_places")
 
     def kept(d: Column, i: Column) -> Column:
-        own = F.element_at(numbers, i + 1)
-        ahead = (i + 2 - F.array_position(numbers, own)).cast("int")
-        last = F.size(numbers) + 1 - F.array_position("r_back", own)
-        return F.array_contains(places, ahead) | F.array_contains(places, (i - last).cast("int"))
+        return F.array_contains(places, i + 1) | F.array_contains(places, i - F.size(days))
 
     return F.when(F.size(places) == 0, days).otherwise(F.filter(days, kept))
 
@@ -219,6 +221,29 @@ def _period_edges() -> tuple[Column, Column]:
     return low, high
 
 
+#: The days a rule names follow from these alone, not from the clock, the exceptions or the entry.
+NAMING = ["r_freq", "r_step", "r_codes", "r_dates", "r_months", "r_places", "r_week", "r_first", "r_begin", "r_end"]
+
+
+def named_days(spans: DataFrame) -> DataFrame:
+    """(r_named, r_chosen): for each rule, first day and window its days in the window.
+
+    A calendar has few first days, so entries of any number share their days: each
+    combination is looked at once, and dealt out by itself, for it is heavy per row.
+    """
+    rules = spans.where(F.startswith("r_named", F.lit("{"))).groupBy("r_named").agg(
+        *[F.first(c).alias(c) for c in NAMING])
+    facts = staged(spread(rules, "r_named"), {"r_shift": F.col("r_week"), **_day_facts()})
+
+    def of_period(days: Column) -> Column:
+        on = F.filter(days, lambda d: d.between(F.col("f_low"), F.col("f_high")) & _fits(d))
+        return D.once(on, _placed)
+
+    days = staged(facts, {"r_days_on": F.flatten(F.transform(_days_in_step(), of_period))})
+    chosen = F.filter("r_days_on", lambda d: d.between(F.col("r_begin"), F.col("r_end")))
+    return days.select("r_named", chosen.alias("r_chosen"))
+
+
 def rule_moments(entries: DataFrame, low: Column, high: Column) -> DataFrame:
     """Adds moments, the starts in [low, high] the entry's rule names, and r_reason.
 
@@ -232,14 +257,12 @@ def rule_moments(entries: DataFrame, low: Column, high: Column) -> DataFrame:
     # A counted rule is followed from its first day, any other from the window.
     begin = F.when(count.isNull(), F.greatest(first, F.to_date(low))).otherwise(first)
     end = F.least(F.to_date(high), F.to_date(until))
-    spans = staged(parsed, {"r_begin": begin, "r_end": end, "r_shift": F.col("r_week"), "r_high": high})
+    spans = staged(parsed, {"r_begin": begin, "r_end": end, "r_high": high})
     readable = F.col("r_reason").isNull() & F.col("rule").isNotNull()
-    edge_low, edge_high = _period_edges()
-    on = F.when(readable, F.filter(_days_in_step(), lambda d: d.between(edge_low, edge_high) & _fits(d)))
-    spans = staged(spans, {"r_days_on": F.coalesce(on, F.array().cast("array<date>"))})
-    numbered = F.when(F.size("r_places") > 0, F.transform("r_days_on", lambda d: _period(d).cast("int")))
-    spans = staged(staged(spans, {"r_numbers": numbered}), {"r_back": F.reverse("r_numbers")})
-    chosen = F.filter(_placed(), lambda d: d.between(F.col("r_begin"), F.col("r_end")))
+    spans = staged(spans, {"r_named": F.when(readable, F.to_json(F.struct(*NAMING))).otherwise(
+        F.xxhash64("uid", "m_start").cast("string"))})
+    spans = spans.join(named_days(spans), "r_named", "left")
+    chosen = F.coalesce("r_chosen", F.array().cast("array<date>"))
     starts = F.filter(
         F.transform(chosen, lambda d: d.cast("timestamp_ntz") + clock),
         lambda m: until.isNull() | (m <= until),
@@ -248,9 +271,9 @@ def rule_moments(entries: DataFrame, low: Column, high: Column) -> DataFrame:
     counted = F.when(count.isNull(), F.col("r_starts")).otherwise(
         F.slice("r_starts", F.lit(1), F.greatest(count, F.lit(0)))
     )
-    moments = F.filter(counted, lambda m: m.between(low, high))
+    moments = F.filter(counted, lambda m: m.between(low, F.col("r_high")))
     spent = F.coalesce(F.size("r_starts") >= count, F.lit(False)) | F.coalesce(F.col("r_high") >= until, F.lit(False))
-    return staged(spans, {"moments": moments, "spent": spent}).drop(*RULE_COLUMNS, "r_starts", "r_shift")
+    return staged(spans, {"moments": moments, "spent": spent}).drop(*RULE_COLUMNS, "r_starts", "r_chosen")
 
 
 def unread_rules(vevents: DataFrame) -> DataFrame:
@@ -477,19 +500,16 @@ def expand_text_series(
     def weekday_of(pattern: str) -> Column:
         return D.weekday_number(F.concat(F.lower(g(pattern, 1)), F.lit("day")))
 
-    m1 = _month_number(g(SERIES_PATTERN, 2))
-    m2 = F.coalesce(_month_number(g(SERIES_PATTERN, 4)), m1)
-    d1, d2 = g(SERIES_PATTERN, 3).try_cast("int"), g(SERIES_PATTERN, 5).try_cast("int")
-    parsed = df.select(
-        "*",
-        s.rlike(SERIES_PATTERN).alias("__series"),
-        weekday_of(SERIES_PATTERN).alias("__wd"),
-        D.resolve_range(weekday_of(SERIES_PATTERN), m1, d1, m2, d2, as_of).alias("__r"),
-        _month_number(g(SINGLE_PATTERN, 2)).alias("__m"),
-        g(SINGLE_PATTERN, 3).try_cast("int").alias("__d"),
-        weekday_of(SINGLE_PATTERN).alias("__swd"),
-        D.parse_clock(s).alias("__c"),
-    )
+    # each pattern is matched once per group; the years tried below read the columns
+    read = staged(df, {
+        "__series": s.rlike(SERIES_PATTERN), "__wd": weekday_of(SERIES_PATTERN),
+        "__m1": _month_number(g(SERIES_PATTERN, 2)), "__to": _month_number(g(SERIES_PATTERN, 4)),
+        "__d1": g(SERIES_PATTERN, 3).try_cast("int"), "__d2": g(SERIES_PATTERN, 5).try_cast("int"),
+        "__m": _month_number(g(SINGLE_PATTERN, 2)), "__d": g(SINGLE_PATTERN, 3).try_cast("int"),
+        "__swd": weekday_of(SINGLE_PATTERN), "__c": D.parse_clock(s),
+    })
+    read = staged(read, {"__m2": F.coalesce("__to", "__m1")})
+    parsed = staged(read, {"__r": D.resolve_range("__wd", "__m1", "__d1", "__m2", "__d2", as_of)})
     first = F.greatest(F.col("__r.start"), D.day(today))
     first = F.date_add(first, F.pmod(F.col("__wd") - F.weekday(first), F.lit(7)).cast("int"))
     last = F.col("__r.end")

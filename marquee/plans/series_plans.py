@@ -9,6 +9,7 @@ from marquee.operators import sets as U
 from marquee.operators import windows as W
 from marquee.plans.catalog import plain, query
 from marquee.plans.views import AS_OF
+from marquee.session import dealt
 
 TS = "strftime({0}, '%Y-%m-%d %H:%M:%S')"
 
@@ -149,7 +150,7 @@ def _vevents(t):
     exdate = F.create_map(F.lit("EXDATE;TZID=America/Los_Angeles"),
                           F.concat(F.lit("19980706T"), F.date_format("event_date", "HHmmss")))
     props = F.when(rule.isNull(), props).otherwise(F.map_concat(props, exdate, F.create_map(F.lit("RRULE"), rule)))
-    return t.listings.select(F.col("source").alias("feed"), F.col("id").alias("block"), props.alias("props"))
+    return dealt(t.listings).select(F.col("source").alias("feed"), F.col("id").alias("block"), props.alias("props"))
 
 
 @query("r1_expand_rrule", f"""{RRULE_SQL}
@@ -197,7 +198,7 @@ def _ruled(t):
     k = (F.col("id") % len(PARTS)).cast("int")
     start = F.date_format("event_date", "yyyyMMdd'T'HHmmss")
     props = F.create_map(F.lit("UID"), F.col("id").cast("string"), F.lit("DTSTART"), start, F.lit("RRULE"), F.get(rules, k))
-    series = t.listings.select(F.col("source").alias("feed"), F.col("id").alias("block"), props.alias("props"))
+    series = dealt(t.listings).select(F.col("source").alias("feed"), F.col("id").alias("block"), props.alias("props"))
     # one occurrence of each weekly series in June is moved by an entry of its own
     moved = F.date_add(F.lit("2000-06-05").cast("date"), F.pmod(F.weekday("event_date"), F.lit(7)))
     at = F.concat(F.date_format(moved, "yyyyMMdd"), F.date_format("event_date", "'T'HHmmss"))
@@ -291,7 +292,7 @@ def _(t):
     k = F.col("id") % 3
     text = F.when(k == 0, F.concat("title", F.lit(": Wednesdays, July 8 - August 26, 5-8pm"))).when(
         k == 1, "Tuesday, August 4th at 7pm").otherwise("every so often")
-    rows = t.listings.select("id", text.alias("schedule"))
+    rows = dealt(t.listings).select("id", text.alias("schedule"))
     return plain(R.expand_text_series(rows, AS_OF).select("id", "start", "end"))
 
 
