@@ -9,7 +9,7 @@ from marquee.functions import dates as D
 from marquee.functions import variants as J
 from marquee.plans.catalog import plain, query
 from marquee.plans.views import AS_OF
-from marquee.session import job_folder
+from marquee.session import dealt, job_folder
 from marquee.sources import exports as K
 from marquee.sources import feeds as S
 
@@ -74,7 +74,7 @@ def _ld_pages(t):
           .otherwise(F.concat(F.lit('{"@type": "ItemList", "itemListElement": [{"item": '), node, F.lit("}]}"))))
     html = F.concat(F.lit('<html><script type="application/ld+json">{broken</script>'
                           '<script data-x type="application/ld+json">\n'), ld, F.lit("</script><p>x</p></html>"))
-    return t.listings.select(F.col("id").alias("page_id"), F.lit("https://p.example.com/").alias("url"), html.alias("html"))
+    return dealt(t.listings).select(F.col("id").alias("page_id"), F.lit("https://p.example.com/").alias("url"), html.alias("html"))
 
 
 @query("s6_json_ld", f"""
@@ -180,7 +180,7 @@ def _rss(t, published_at="08 Jun 1998 09:30:00"):
         F.lit('<item xmlns:content="c" xmlns:media="m"><title>T '), F.col("id").cast("string"), F.lit("</title><link>https://n.example.com/"), F.col("id").cast("string"),
         F.lit("</link><pubDate>"), published, F.lit("</pubDate><description>About</description><content:encoded>"), body,
         F.lit('</content:encoded><media:content url="/i.jpg"/></item>'))
-    return t.listings.select("id", item.alias("payload"))
+    return dealt(t.listings).select("id", item.alias("payload"))
 
 
 _NAMED = "(TIMESTAMP '1998-01-01' + INTERVAL '1' MONTH * (month(event_date) - 1) + INTERVAL '1' DAY * (day(event_date) - 1))"

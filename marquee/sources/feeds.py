@@ -377,11 +377,15 @@ def article_date(content: str, published: str, as_of, grace_days: int = 30) -> C
         found = F.regexp_replace(F.regexp_extract(text, near, 1), r"(?<=\d)(?:st|nd|rd|th)|,", "")
         clock = F.upper(F.regexp_extract(F.regexp_extract(text, near, 2), V.ARTICLE_CLOCK_PATTERN, 1))
         clock = F.regexp_replace(clock, r"^(\d{1,2})(:\d{2})?\s*([AP]M)$", "$1$2 $3")
-        dated = F.when(found.rlike(r"\d{4}$"), found).otherwise(F.concat(found, F.lit(" "), year))
-        both = F.concat_ws(" ", F.regexp_replace(dated, r"\s+", " "), X.blank_to_null(clock))
-        moment = D.parse_date(both, [f"{m} d yyyy{c}" for m in ("MMMM", "MMM") for c in (" h:mm a", " h a", "")])
-        plausible = (whole_days(now, moment) < 60) & (whole_days(moment, now) < 730)
-        tries.append(F.when((found != "") & plausible, moment))
+
+        def read(said: Column) -> Column:
+            dated = F.when(said.rlike(r"\d{4}$"), said).otherwise(F.concat(said, F.lit(" "), year))
+            both = F.concat_ws(" ", F.regexp_replace(dated, r"\s+", " "), X.blank_to_null(clock))
+            moment = D.parse_date(both, [f"{m} d yyyy{c}" for m in ("MMMM", "MMM") for c in (" h:mm a", " h a", "")])
+            return F.when(said != "", D.once(moment, lambda m: F.when(
+                (whole_days(now, m) < 60) & (whole_days(m, now) < 730), m)))
+
+        tries.append(D.once(found, read))
     old = F.coalesce(whole_days(now, stamped) > grace_days, F.lit(False))
     return F.when(~old, F.coalesce(*tries, stamped))
 
