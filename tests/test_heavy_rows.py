@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marquee.functions import dates as D
+from marquee.operators import names
 from marquee.operators import recurrence as R
 from marquee.plans import feed_plans, series_plans
 from marquee.plans.views import Tables
@@ -42,3 +43,16 @@ def test_only_patterns_of_a_texts_shape_are_tried(spark):
         for r in df.select("t", D.parse_date("t", formats).alias("got"), every.alias("want")).collect():
             assert r.got == r.want, r.t
         assert "transform" in str(D.parse_date("t", formats))  # the text is prepared once, not once a pattern
+
+
+def test_small_blocks_are_compared_without_an_index(spark, monkeypatch):
+    rows = [(i % 7, f"evening of songs number {i // 7}") for i in range(70)]
+    df = spark.createDataFrame(rows, "slot int, name string")
+    indexed = {tuple(r) for r in names.similar_names(df, df, 0.85, ["slot"], pairs_per_key=0).select("a_name", "b_name").collect()}
+
+    def refused(*_):
+        raise AssertionError("a small block was indexed")
+
+    monkeypatch.setattr(names, "_indexed", refused)
+    whole = {tuple(r) for r in names.similar_names(df, df, 0.85, ["slot"]).select("a_name", "b_name").collect()}
+    assert whole == indexed and len(whole) == 100
