@@ -5,9 +5,11 @@ subspace. A query scans the lists it may have a partner in, estimates distances
 table lookup (query subspace to code centroid, asymmetric), and what may be near enough
 is compared by exact cosine in double precision.
 
-Probes: a partner lies in the cell of its own centroid, so from the query's cell it is
-across the bisector of the two centroids, at most its own distance t beyond it. All lists
-up to t beyond the bisector are probed, so no partner can be missed.
+Probes: two partners in different cells lie on either side of the bisector of the two
+centroids, so the distances of both from it add up to at most their own distance t, and one
+of the two is within t / 2 of it. That one finds the link: each vector probes all lists whose
+bisector is within t / 2, and a link counts for both its ends in the list whose centroid is
+nearer to the middle of the pair. So no partner is missed and none is counted twice.
 Codes: an estimate differs from the true distance by at most the stored error of the
 code, so what this cut drops is no partner.
 
@@ -114,22 +116,43 @@ def probed(index: Index, points: np.ndarray, reach: float) -> np.ndarray:
     return (beyond <= reach + SLACK) | (apart < 1e-9)
 
 
-def near(index: Index, centre: np.ndarray, queries: np.ndarray, items: np.ndarray, reach: float, cosine: float) -> np.ndarray:
-    """Exact links (queries x items) of one list: table lookups, then cosine of what is left."""
-    codes, error = coded(index, items - centre)
+def near(index: Index, centre: np.ndarray, queries: np.ndarray, items: np.ndarray, codes: np.ndarray,
+         error: np.ndarray, reach: float, cosine: float) -> np.ndarray:
+    """Exact links (queries x items) of one list: table lookups, then cosine of what is left.
+
+    The lookups of an item are rows of a table, so each is one copy of memory for all queries.
+    """
     rest = queries - centre
-    guess = np.zeros((len(queries), len(items)))
+    guess = np.zeros((len(items), len(queries)))
+    looked = np.empty_like(guess)
     for i, (s, book) in enumerate(zip(index.spans, index.books)):
-        guess += squared(rest[:, s], book)[:, codes[:, i]]
-    maybe = np.sqrt(guess) <= reach + error[None, :] + SLACK
-    found = np.zeros(maybe.shape, bool)
-    q, x = np.nonzero(maybe)
-    for at in range(0, len(q), 1 << 17):
-        a, b = q[at : at + (1 << 17)], x[at : at + (1 << 17)]
+        guess += np.take(squared(book, rest[:, s]), codes[:, i], axis=0, out=looked, mode="clip")
+    maybe = guess <= ((reach + error + SLACK) ** 2)[:, None]
+    found = np.zeros((len(queries), len(items)), bool)
+    x, q = np.nonzero(maybe)
+    for at in range(0, len(q), 1 << 16):
+        a, b = q[at : at + (1 << 16)], x[at : at + (1 << 16)]
         found[a, b] = np.einsum("ij,ij->i", queries[a], items[b]) >= cosine
     return found
 
 
+def counted_here(index: Index, here: int, home: np.ndarray, guests: np.ndarray, items: np.ndarray,
+                 a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which pairs of a guest (a, of list ``home``) and an item (b, of this list) have their middle nearer to this centroid.
+
+    Equal distances go to the smaller list. The sums of a pair run in the same order from
+    either side, so the two lists never both claim it and never both leave it.
+    """
+    out = np.empty(len(home), bool)
+    norms = (index.coarse * index.coarse).sum(1)
+    for at in range(0, len(home), 1 << 16):
+        part = slice(at, at + (1 << 16))
+        lo, hi = np.minimum(home[part], here), np.maximum(home[part], here)
+        along = ((guests[a[part]] + items[b[part]]) * (index.coarse[lo] - index.coarse[hi])).sum(1)
+        out[part] = np.where(along >= norms[lo] - norms[hi], lo, hi) == here
+    return out
+
+
 LINKS = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("n", pa.int64())])
 
 
@@ -140,7 +163,7 @@ def _vectors(column: pa.Array, kind: type) -> np.ndarray:
 def vector_links(nodes: DataFrame, index: Index, how: Quantiser, kind: type) -> DataFrame:
     """(u, v, n) from nodes (node, copies, vec as bytes of ``kind``).
 
-    Rows with null v carry n, the copies linked to u in one block; rows with v are
+    Rows with null v carry n, copies linked to u that were found in one block; rows with v are
     edges, a star per component of a block. Lists are cut into blocks of items and of
     queries by counts, so a list with any share of the vectors is spread over tasks.
     """
@@ -156,15 +179,17 @@ def vector_links(nodes: DataFrame, index: Index, how: Quantiser, kind: type) ->
             for start in range(0, len(points), 2048):
                 part = points[start : start + 2048]
                 own = squared(part, index.coarse).argmin(1)
-                q, lists = np.nonzero(probed(index, part, reach))
+                q, lists = np.nonzero(probed(index, part, reach / 2))
                 at = np.concatenate((np.arange(len(part)), q)) + start
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate((own, lists)).astype(np.int64)),
+                     pa.array(np.concatenate((own, own[q])).astype(np.int64)),
                      pa.array(np.concatenate((np.zeros(len(part), bool), np.ones(len(q), bool)))),
                      pa.array(nodes_[at]), pa.array(copies[at]), raw.take(pa.array(at))],
-                    names=["list", "asks", "node", "copies", "vec"])
+                    names=["list", "home", "asks", "node", "copies", "vec"])
 
-    filed = written(nodes.mapInArrow(file, "list bigint, asks boolean, node bigint, copies bigint, vec binary"), "lists")
+    filed = written(nodes.mapInArrow(
+        file, "list bigint, home bigint, asks boolean, node bigint, copies bigint, vec binary"), "lists")
     sizes = filed.groupBy("list").agg(
         F.ceil(F.count_if(~F.col("asks")) / how.block).cast("int").alias("item_blocks"),
         F.ceil(F.count_if("asks") / how.block).cast("int").alias("query_blocks"),
@@ -174,7 +199,7 @@ def vector_links(nodes: DataFrame, index: Index, how: Quantiser, kind: type) ->
     others = F.sequence(F.lit(0), F.when(F.col("asks"), F.col("item_blocks")).otherwise(F.col("query_blocks")) - 1)
     blocked = filed.join(sizes, "list").withColumn("own", own).withColumn("other", F.explode(others)).select(
         "list", F.when(F.col("asks"), F.col("other")).otherwise(F.col("own")).alias("items"),
-        F.when(F.col("asks"), F.col("own")).otherwise(F.col("other")).alias("queries"), "asks", "node", "copies", "vec")
+        F.when(F.col("asks"), F.col("own")).otherwise(F.col("other")).alias("queries"), "home", "asks", "node", "copies", "vec")
 
     def compare(table: pa.Table) -> pa.Table:
         asks = table.column("asks").to_numpy()
@@ -183,12 +208,20 @@ def vector_links(nodes: DataFrame, index: Index, how: Quantiser, kind: type) ->
         q, x = np.flatnonzero(asks), np.flatnonzero(~asks)
         if not len(q) or not len(x):
             return pa.Table.from_batches([], LINKS)
-        centre = index.coarse[table.column("list")[0].as_py()]
+        here, home = table.column("list")[0].as_py(), table.column("home").to_numpy()
+        items = points[x]
+        codes, error = coded(index, items - index.coarse[here])
         us, vs, ns = [], [], []
+        back = np.zeros(len(x), np.int64)
         for start in range(0, len(q), 512):
             part = q[start : start + 512]
-            found = near(index, centre, points[part], points[x], reach, how.cosine)
+            found = near(index, index.coarse[here], points[part], items, codes, error, reach, how.cosine)
             linked = found & (node[part][:, None] != node[x][None, :])
+            # a pair within the list is asked for from both ends, any other from one
+            guest = home[part] != here
+            a, b = np.nonzero(linked & guest[:, None])
+            linked[a, b] = counted_here(index, here, home[part][a], points[part], items, a, b)
+            back += copies[part][guest] @ linked[guest]
             total = linked @ copies[x]
             hit = total > 0
             us += node[part][hit].tolist()
@@ -198,6 +231,10 @@ def vector_links(nodes: DataFrame, index: Index, how: Quantiser, kind: type) ->
                 us.append(u)
                 vs.append(v)
                 ns.append(0)
+        met = back > 0
+        us += node[x][met].tolist()
+        vs += [None] * int(met.sum())
+        ns += back[met].tolist()
         return pa.table([pa.array(us, pa.int64()), pa.array(vs, pa.int64()), pa.array(ns, pa.int64())], schema=LINKS)
 
     return blocked.groupBy("list", "items", "queries").applyInArrow(compare, "u bigint, v bigint, n bigint")

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from marquee.llm import cotraining, embedding_pq, hmm_lm, mixing, queries, shared_runs, simhash, substring_dedup
+from marquee.llm import common, cotraining, embedding_pq, hmm_lm, mixing, queries, shared_runs, simhash, substring_dedup
 from marquee.llm.common import fold
 
 FOLDER = "/root/testdata/sf0.001"
@@ -373,6 +373,25 @@ def test_steps_straight_toward_the_next_centroid(spark):
     check_vectors(rows, embedding_pq.near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect())
 
 
+def test_vectors_ask_few_lists(spark, monkeypatch):
+    """A link across a border is found from the end nearer to it; asking from both ends needs most lists."""
+    rng = np.random.default_rng(8)
+    points = rng.normal(size=(600, 64))
+    vectors = np.concatenate((points, points + 0.25 * rng.normal(size=(600, 64))))
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    filed = []
+
+    def counted(df, name, *parts):
+        out = common.written(df, name, *parts)
+        if name == "lists":
+            filed.append(out.where("asks").count())
+        return out
+
+    monkeypatch.setattr(embedding_pq, "written", counted)
+    check_vectors(rows, embedding_pq.near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect())
+    assert len(filed) == 1 and len(rows) <= filed[0] < 15 * len(rows)
+
+
 def test_vectors_on_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 2.0]), (2, [2.0, 4.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [nan, 1.0]), (7, [1.0, None]),
