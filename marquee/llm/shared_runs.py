@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marquee.llm.common import SPACE, text_bytes, widened, written
+from marquee.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -92,11 +93,21 @@ def _portions(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[by
         yield start, held
 
 
+def _later(text: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """1 for a block that equals one before it in its text, else 0."""
+    order = np.lexsort((key, text))  # stable: equal blocks stay in their order
+    same = (np.diff(text[order]) == 0) & (np.diff(key[order]) == 0)
+    out = np.zeros(len(key), np.int64)
+    out[order[1:][same]] = 1
+    return out
+
+
 def block_table(docs: DataFrame, how: Runs) -> DataFrame:
     """(_id, _th, spot, span, key) of the blocks of (_id, _th, _text).
 
-    ``spot`` is the number of a block times 256 and its words, ``span`` its first byte times
-    2**32 and its last: few columns, since all blocks of all texts are shuffled.
+    ``spot`` is the number of a block times 512, plus 256 if its text has an equal block
+    before, and its words; ``span`` its first byte times 2**32 and its last: few columns, since
+    all blocks of all texts are shuffled.
     """
     names = ["spot", "span", "key"]
 
@@ -105,7 +116,7 @@ def block_table(docs: DataFrame, how: Runs) -> DataFrame:
             for begin, texts in _portions(batch, 2):
                 text, number, start, end, words, key = blocks(texts, how.window)
                 take = pa.array(text + begin)
-                columns = (number << 8 | words, start << 32 | end, key)
+                columns = (number << 9 | _later(text, key) << 8 | words, start << 32 | end, key)
                 arrays = [batch.column(0).take(take), batch.column(1).take(take), *map(pa.array, columns)]
                 yield pa.RecordBatch.from_arrays(arrays, names=["_id", "_th", *names])
 
@@ -117,14 +128,24 @@ def shared_runs(docs: DataFrame, how: Runs = Runs()) -> DataFrame:
 
     The first place of a block, by id (null last), hash of the text and number, stays. Null,
     empty and short texts have no runs. Keys common to many texts are counted before they
-    move; the join that brings the first places back is left to adaptive skew handling.
+    move, with the first id alone, since all blocks move there; where an id has several texts,
+    the first of them is sought among the blocks of such ids. The join that brings the first
+    ids back is left to adaptive skew handling.
     """
     seen = written(block_table(docs.select("_id", "_th", text_bytes("text").alias("_text")), how), "blocks")
-    place = F.struct(F.col("_id").isNull().alias("none"), "_id", "_th", "spot")
-    firsts = seen.groupBy("key").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    again = seen.join(firsts, "key").where(~place.eqNullSafe(F.col("first"))).select("_id", "_th", "spot", "span")
+    kept = ["_id", "_th", "spot", "span"]
+    heads = seen.groupBy("key").agg(F.min("_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    met = seen.join(heads, "key")
+    first = F.col("_id").eqNullSafe(F.col("least")) & (F.col("spot").bitwiseAND(F.lit(256)) == 0)
+    again = met.where(~first).select(*kept)
+    texts = docs.groupBy("_id").agg(F.min("_th").alias("lo"), F.max("_th").alias("hi"))
+    several = cut_lineage(texts.where("lo <> hi").select(F.col("_id").alias("owner")))
+    if not several.isEmpty():
+        held = met.where(first).join(several, F.col("_id").eqNullSafe(F.col("owner")), "left_semi")
+        leads = held.groupBy("key").agg(F.min("_th").alias("lead"))
+        again = again.unionByName(held.join(leads, "key").where("_th <> lead").select(*kept))
     lane = Window.partitionBy("_id", "_th").orderBy("spot")
-    number = F.shiftright("spot", 8)
+    number = F.shiftright("spot", 9)
     # rows alike in id and text hold each block as often as they come; it counts once
     fresh = F.lag("spot").over(lane).isNull() | (F.lag("spot").over(lane) != F.col("spot"))
     islands = again.select(

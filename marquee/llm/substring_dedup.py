@@ -124,34 +124,44 @@ def _ident(doc_id: str, text: str) -> list:
 
 
 def paragraph_table(docs: DataFrame, doc_id: str, text: str, how: Passages) -> DataFrame:
-    """(_id, _th, pos, size, para, b0, b1, ...): occurrences of paragraphs (bytes, line end included) with their band keys."""
+    """(_id, _th, pos, size, para, b0, b1, ...): occurrences of paragraphs (bytes, line end included) with their band keys.
+
+    A task tells the band keys of a paragraph once; where it meets it again, they are null.
+    """
     bands = tuned_bands(how.similarity, how.rows, how.recall)
     picked = docs.select(*_ident(doc_id, text), text_bytes(text).alias("_text")).where(F.col("_text").isNotNull())
     names = ["pos", "size", "para", *[f"b{i}" for i in range(bands)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told: set[int] = set()
         for batch in batches:
-            held: list[tuple[int, int, int, int]] = []
+            held: list[tuple[int, int, int, int, bool]] = []
             hashes: list[int] = []
             starts: list[int] = []
             for row, data in enumerate(batch.column(2)):
                 text_ = data.as_py()
                 for pos, words in paragraphs(text_, how.min_words):
                     end = text_.find(b"\n", pos)
-                    held.append((row, pos, (end + 1 if end >= 0 else len(text_)) - pos, text_key(words)))
-                    starts.append(len(hashes))
-                    hashes += shingles(words, how.width)
-                    if len(hashes) > 300_000:
+                    para = text_key(words)
+                    held.append((row, pos, (end + 1 if end >= 0 else len(text_)) - pos, para, para not in told))
+                    if para not in told:
+                        if len(told) > 500_000:
+                            told.clear()
+                        told.add(para)
+                        starts.append(len(hashes))
+                        hashes += shingles(words, how.width)
+                    if len(hashes) > 300_000 or len(held) > 100_000:
                         yield out(batch, held, hashes, starts)
                         held, hashes, starts = [], [], []
             if held:
                 yield out(batch, held, hashes, starts)
 
     def out(batch: pa.RecordBatch, held: list, hashes: list, starts: list) -> pa.RecordBatch:
-        rows, pos, size, para = (np.array(x, np.int64) for x in zip(*held))
-        keys = band_keys(np.array(hashes, np.uint64), np.array(starts), how.rows, bands)
-        take = pa.array(rows)
-        columns = [batch.column(0).take(take), batch.column(1).take(take), pa.array(pos), pa.array(size), pa.array(para), *map(pa.array, keys)]
+        rows, pos, size, para, new = (np.array(x, np.int64) for x in zip(*held))
+        keys = band_keys(np.array(hashes, np.uint64), np.array(starts), how.rows, bands) if starts else np.zeros((bands, 0), np.int64)
+        take, own = pa.array(rows), pa.array(np.cumsum(new) - 1, mask=new == 0)
+        columns = [batch.column(0).take(take), batch.column(1).take(take), pa.array(pos), pa.array(size), pa.array(para),
+                   *(pa.array(k).take(own) for k in keys)]
         return pa.RecordBatch.from_arrays(columns, names=["_id", "_th", *names])
 
     return picked.mapInArrow(run, widened(picked.drop("_text").schema, ", ".join(f"{n} bigint" for n in names)))
@@ -216,8 +226,8 @@ def repeated_paragraphs(docs: DataFrame, doc_id: str, text: str, how: Passages)
     seen = written(paragraph_table(docs, doc_id, text, how), "paragraphs")
     place = F.struct(F.col("_id").isNull().alias("none"), "_id", "_th", "pos")
     names = [f"b{i}" for i in range(bands)]
-    # one row a paragraph before the bands move: a line in many documents is no hot key
-    distinct = seen.select("para", *names).dropDuplicates(["para"])
+    # a paragraph moves once a task: a line in many documents is no hot key
+    distinct = seen.where("b0 is not null").select("para", *names)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = distinct.select(F.explode(F.array(*names)).alias("key"), F.col("para").alias("node")).repartition(n, "key")
     # one shuffle serves the count and the join

@@ -244,6 +244,58 @@ def test_blocks_do_not_depend_on_their_neighbours():
         assert len(texts[i][start:end].split()) == n
 
 
+def test_first_places_of_blocks_and_what_moves_for_them(spark, monkeypatch):
+    """Ids that are null or have several texts, rows alike in both, blocks that repeat in their text."""
+    rng = np.random.default_rng(11)
+    word = lambda: f"w{rng.integers(0, 1 << 40)}"
+    shared = [" ".join(word() for _ in range(60)) for _ in range(3)]
+    docs = []
+    for i in range(40):
+        body = " ".join(word() for _ in range(80))
+        twice = f" {shared[2]} {shared[2]}" if i % 11 == 3 else ""
+        docs.append((None if i % 7 == 0 else i // 2, f"{body} {shared[i % 2]}{twice}"))
+    docs += [docs[19], docs[0]]
+    tables = {}
+
+    def kept(df, name, *parts):
+        tables[name] = common.written(df, name, *parts)
+        return tables[name]
+
+    monkeypatch.setattr(shared_runs, "written", kept)
+    rows = spark.createDataFrame(docs, "_id bigint, text string").withColumn("_th", F.xxhash64("text"))
+    runs = shared_runs.shared_runs(rows)
+    found = {tuple(r) for r in runs.collect()}
+    blocks = defaultdict(list)
+    for r in tables["blocks"].collect():
+        blocks[r["key"]].append((r["_id"] is None, r["_id"] or 0, r["_th"], r["spot"] >> 9, r["span"], r["spot"] & 255))
+    lanes = defaultdict(dict)
+    for places in blocks.values():
+        for place in places:
+            if len(places) > 1 and place[:4] != min(places)[:4]:
+                lanes[place[:3]][place[3]] = place[4:]
+    want = set()
+    for (none, id_, th), lane in lanes.items():
+        for start in lane:
+            if start - 1 not in lane:
+                end = start
+                while end + 1 in lane:
+                    end += 1
+                if sum(lane[i][1] for i in range(start, end + 1)) >= 16:
+                    want.add((None if none else id_, th, lane[start][0] >> 32, lane[end][0] & 0xFFFFFFFF))
+    assert found == want and len(want) >= 30
+    # of all blocks no place moves, only the first id of a key
+    plan = runs._jdf.queryExecution().optimizedPlan().toString()
+    assert "named_struct" not in plan and "struct(none" not in plan
+
+
+def test_a_task_tells_the_bands_of_a_line_once(spark):
+    line = "the same line of more than ten words that every document has"
+    docs = spark.createDataFrame([(i, f"{line}\n{line}\n" + f"w{i} " * 12) for i in range(50)], "doc_id bigint, text string").coalesce(1)
+    rows = substring_dedup.paragraph_table(docs, "doc_id", "text", substring_dedup.Passages()).collect()
+    assert len(rows) == 150 and len({r["para"] for r in rows}) == 51
+    assert sum(r["b0"] is not None for r in rows) == 51
+
+
 def test_planted_passages_go_and_clean_text_stays(spark, make_docs):
     rng = np.random.default_rng(3)
     word = lambda: "".join(rng.choice(list("abcdefgh"), 6))
