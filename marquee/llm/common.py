@@ -47,12 +47,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def written(df: DataFrame, name: str, *parts: str) -> DataFrame:
     """Write once to the shared folder and read back: later readers repeat no work.
 
-    Survives lost executors, and unlike a checkpoint it is columnar and compressed.
+    Survives lost executors, and unlike a checkpoint it is columnar and compressed, with
+    zstandard: numbers of places and texts take less disk than with the default.
     A filter on ``parts`` reads only the folders it needs.
     """
     spark = df.sparkSession
     folder = job_folder(spark, name)
-    df.write.partitionBy(*parts).parquet(folder)
+    df.write.option("compression", "zstd").partitionBy(*parts).parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
 
 
