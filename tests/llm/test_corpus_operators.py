@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -714,3 +715,8 @@ def test_stages_on_odd_rows(spark, odd_docs, no_docs, name, stage):
     rows = stage(spark, odd_docs, FOLDER).collect()
     assert len(rows) > 0
     assert stage(spark, no_docs, FOLDER).count() == 0
+
+
+def test_job_tables_are_written_with_zstandard(spark):
+    name = common.written(spark.range(10), "codec").inputFiles()[0].removeprefix("file:").replace("///", "/")
+    assert pq.ParquetFile(name).metadata.row_group(0).column(0).compression == "ZSTD"
