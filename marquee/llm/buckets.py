@@ -14,6 +14,36 @@ from marquee.llm.common import packed
 #: (payloads of some nodes, payloads of others) -> which of them are linked.
 Linked = Callable[[list | np.ndarray, list | np.ndarray], np.ndarray]
 EDGES = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+#: Bits of the filter of wanted nodes or keys: 4 MB, whatever the input.
+FILTER_BITS = 1 << 25
+#: Bits of one row of the filter.
+ROW_BITS = 1 << 15
+
+
+def spots(node: int | np.ndarray) -> tuple:
+    """Two places of a node in the filter, from different bits of its number."""
+    return node & (FILTER_BITS - 1), (node >> 30) & (FILTER_BITS - 1)
+
+
+def bit_filter(nodes: DataFrame) -> np.ndarray:
+    """Fixed-size filter of the nodes (column node): those outside are not wanted for sure."""
+    number = F.col("node")
+    both = F.array(number.bitwiseAND(F.lit(FILTER_BITS - 1)), F.shiftright(number, 30).bitwiseAND(F.lit(FILTER_BITS - 1)))
+    placed = nodes.select(F.explode(both).alias("spot")).select(
+        F.shiftright("spot", 15).alias("at"), F.col("spot").bitwiseAND(F.lit(ROW_BITS - 1)).alias("bit"))
+    rows = placed.groupBy("at").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
+    out = np.zeros((FILTER_BITS // ROW_BITS, ROW_BITS // 8), np.uint8)
+    for r in rows:
+        out[r["at"]] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return out.ravel()
+
+
+def passing(wanted: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    """Which nodes pass the filter."""
+    found = np.ones(len(nodes), bool)
+    for spot in spots(nodes):
+        found &= (wanted[spot >> 3] >> (spot & 7).astype(np.uint8) & 1).astype(bool)
+    return found
 
 
 def star_edges(linked: np.ndarray, nodes: np.ndarray) -> list[tuple[int, int]]:

@@ -13,10 +13,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.buckets import bucket_links
+from marquee.llm.buckets import bit_filter, bucket_links, spots
 from marquee.llm.common import packed, text_bytes, widened, written
 from marquee.llm.simhash import shingle_hashes
-from marquee.llm.substring_dedup import SETS, JaccardAtLeast, Passages, _spots, band_keys, bit_filter, text_key, tuned_bands
+from marquee.llm.substring_dedup import SETS, JaccardAtLeast, Passages, band_keys, text_key, tuned_bands
 from marquee.operators.clusters import duplicate_clusters
 
 
@@ -58,7 +58,7 @@ def text_sets(docs: DataFrame, wanted: np.ndarray, how: Passages) -> DataFrame:
             for data in batch.column(0):
                 text = data.as_py() or b""
                 node = text_key(text.lower().split())
-                if node not in told and all(map(has, _spots(node))):
+                if node not in told and all(map(has, spots(node))):
                     if len(told) > 500_000:
                         told.clear()
                     told.add(node)

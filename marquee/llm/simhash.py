@@ -24,9 +24,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.buckets import bucket_links
+from marquee.llm.buckets import bit_filter, bucket_links, passing
 from marquee.llm.common import packed, text_bytes, widened, written
 from marquee.operators.clusters import duplicate_clusters
+from marquee.session import dealt
 
 WIDTHS = (23, 23, 18)
 STARTS = (0, 23, 46)
@@ -161,8 +162,15 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
 KEYS = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("payload", pa.int64())])
 
 
-def print_links(prints: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """(u, v): links between distinct fingerprints (one column, ``print``) within 3 bits."""
+def _mixed(keys: np.ndarray) -> np.ndarray:
+    """The keys, one to one, with all bits like random ones."""
+    bits = keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    bits = (bits ^ bits >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+    return (bits ^ bits >> np.uint64(32)).view(np.int64)
+
+
+def _keys(prints: DataFrame, wanted: np.ndarray | None = None) -> DataFrame:
+    """(key, node, payload) of all keys, or of those that pass the filter."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,10 +178,29 @@ def print_links(prints: DataFrame, chunk: int = CHUNK) -> DataFrame:
             for start in range(0, len(every), 2000):
                 own = every[start : start + 2000].copy()
                 rows, keys = fuzzy_keys(own)
+                keys = _mixed(keys)
+                if wanted is not None:
+                    good = passing(wanted, keys)
+                    rows, keys = rows[good], keys[good]
                 yield packed([keys, own[rows], own[rows]], KEYS)
 
-    keyed = prints.mapInArrow(emit, "key bigint, node bigint, payload bigint")
-    return bucket_links(keyed, WithinBits(3), chunk, numeric=True)
+    return prints.mapInArrow(emit, "key bigint, node bigint, payload bigint")
+
+
+def shared_keys(prints: DataFrame) -> DataFrame:
+    """(key, node, payload): the keys that two fingerprints share, and few others.
+
+    Most keys are of one fingerprint only. Of all keys only the numbers move, to be counted;
+    the rows are made again behind a filter of fixed size, so the others never move.
+    """
+    prints = dealt(prints)
+    counts = _keys(prints).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    return _keys(prints, bit_filter(counts.where("n > 1").select(F.col("key").alias("node"))))
+
+
+def print_links(prints: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """(u, v): links between distinct fingerprints (one column, ``print``) within 3 bits."""
+    return bucket_links(shared_keys(prints), WithinBits(3), chunk, numeric=True)
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chunk: int = CHUNK) -> DataFrame:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marquee.llm.buckets import bucket_links
+from marquee.llm.buckets import bit_filter, bucket_links, spots
 from marquee.llm.common import packed, text_bytes, widened, written
 from marquee.llm.shared_runs import Runs, shared_runs
 from marquee.operators.clusters import duplicate_clusters
@@ -168,28 +168,6 @@ def paragraph_table(docs: DataFrame, doc_id: str, text: str, how: Passages) -> D
 
 
 SETS = pa.schema([("node", pa.int64()), ("payload", pa.binary())])
-#: Bits of the filter of wanted paragraphs: 4 MB, whatever the input.
-FILTER_BITS = 1 << 25
-#: Bits of one row of the filter.
-ROW_BITS = 1 << 15
-
-
-def _spots(para: int) -> tuple[int, int]:
-    """Two places of a paragraph in the filter, from different bits of its number."""
-    return para & (FILTER_BITS - 1), (para >> 30) & (FILTER_BITS - 1)
-
-
-def bit_filter(nodes: DataFrame) -> np.ndarray:
-    """Fixed-size filter of the paragraphs (column node): those outside are not wanted for sure."""
-    para = F.col("node")
-    spots = F.array(para.bitwiseAND(F.lit(FILTER_BITS - 1)), F.shiftright(para, 30).bitwiseAND(F.lit(FILTER_BITS - 1)))
-    placed = nodes.select(F.explode(spots).alias("spot")).select(
-        F.shiftright("spot", 15).alias("at"), F.col("spot").bitwiseAND(F.lit(ROW_BITS - 1)).alias("bit"))
-    rows = placed.groupBy("at").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
-    out = np.zeros((FILTER_BITS // ROW_BITS, ROW_BITS // 8), np.uint8)
-    for r in rows:
-        out[r["at"]] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    return out.ravel()
 
 
 def shingle_sets(docs: DataFrame, wanted: np.ndarray, text: str, how: Passages) -> DataFrame:
@@ -204,7 +182,7 @@ def shingle_sets(docs: DataFrame, wanted: np.ndarray, text: str, how: Passages)
             for data in batch.column(0):
                 for _, words in paragraphs(data.as_py(), how.min_words):
                     para = text_key(words)
-                    if para not in told and all(map(has, _spots(para))):
+                    if para not in told and all(map(has, spots(para))):
                         if len(told) > 500_000:
                             told.clear()
                         told.add(para)

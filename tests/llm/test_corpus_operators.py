@@ -12,7 +12,9 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from marquee.llm import common, cotraining, embedding_pq, hmm_lm, mixing, queries, shared_runs, simhash, substring_dedup
+from marquee.llm import (
+    common, cotraining, embedding_pq, hmm_lm, mixing, queries, shared_runs, simhash, substring_dedup,
+)
 from marquee.llm.common import fold
 
 FOLDER = "/root/testdata/sf0.001"
@@ -111,6 +113,21 @@ def test_a_hot_key_is_cut_into_chunks_and_stays_whole(spark, monkeypatch):
     assert {p: groups.find(p) for p in want} == want
 
 
+def test_only_shared_keys_move(spark):
+    rng = np.random.default_rng(2)
+    alone = rng.integers(-(1 << 63), 1 << 63, 3000)
+    near = alone[:200] ^ (1 << rng.integers(0, 62, 200))
+    rows = spark.createDataFrame([(int(p),) for p in np.concatenate((alone, near))], "print bigint")
+    moved = simhash.shared_keys(rows).collect()
+    every = defaultdict(set)
+    for r, k in zip(*simhash.fuzzy_keys(np.concatenate((alone, near)))):
+        every[int(k)].add(int(r))
+    shared = sum(len(x) for x in every.values() if len(x) > 1)
+    assert shared <= len(moved) <= 1.1 * shared < 0.2 * sum(map(len, every.values()))
+    assert {(p, q) for p, q in zip(alone[:200].tolist(), near.tolist())} <= {
+        pair for u, v in simhash.print_links(rows).collect() for pair in ((u, v), (v, u))}
+
+
 def test_one_of_each_group_stays(odd_docs, no_docs):
     kept = simhash.one_of_each(odd_docs).collect()
     assert [r["doc_id"] for r in kept if r["text"] and r["text"].startswith("the quick")] == [4]
