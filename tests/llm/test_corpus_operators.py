@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from marquee.llm import (
-    common, cotraining, embedding_pq, hmm_lm, mixing, queries, shared_runs, simhash, substring_dedup,
+    common, cotraining, embedding_pq, hmm_lm, mixing, near_texts, queries, shared_runs, simhash, substring_dedup,
 )
 from marquee.llm.common import fold
 
@@ -389,6 +389,18 @@ def test_one_of_each_group_of_similar_texts_stays(spark):
     assert sorted(kept) == slow_similar({r["doc_id"]: r["text"] for r in documents(spark, MIDDLE).collect()})
 
 
+def test_fingerprints_alone_find_similar_texts(make_docs):
+    words = [f"w{i}" for i in range(900)]
+    docs = {1: words, 2: [*words[:-1], "last"], 3: words[300:], 4: [f"v{i}" for i in range(900)]}
+    prints = {d: simhash.fingerprint(simhash.shingle_hashes(" ".join(x).encode(), 5)) for d, x in docs.items()}
+    assert (prints[1] ^ prints[2]).bit_count() <= 3 < (prints[1] ^ prints[3]).bit_count()
+    rows = make_docs([(d, " ".join(x), "en", "a") for d, x in docs.items()])
+    # one band of 4,000 values, which only equal texts share
+    blind = substring_dedup.Passages(rows=4000, recall=0.0)
+    found = near_texts.similar_texts(rows, how=blind).collect()
+    assert dict(found) == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
 # -- vectors
 
 
