@@ -6,6 +6,8 @@ from datetime import datetime, timedelta
 from difflib import SequenceMatcher
 from math import atan2, cos, radians, sin, sqrt
 
+from pyspark.sql import functions as F
+
 from marquee.operators import matching as M
 from marquee.operators import merging as E
 from marquee.operators.clusters import duplicate_clusters
@@ -281,3 +283,33 @@ def test_prune_keeps_past_and_silent_sources(make_listings, spark):
     productive = spark.createDataFrame([("a",)], "source string")
     kept = E.prune_stale(stored, touched, productive, "2026-04-01")
     assert sorted(r.id for r in kept.collect()) == [1, 3, 4]
+
+
+def test_costly_bound_stays_out_of_the_join(spark):
+    names = spark.createDataFrame([("a quiet evening",), ("a quiet evenings",)], "name string")
+    found = similar_names(names, names, 0.85, [])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Join" in line and "array_intersect" in line]
+    assert found.count() == 4
+
+
+def test_wide_slots_and_cells_lose_no_pair(spark):
+    pick = random.Random(5)
+    first = datetime(1969, 12, 30)
+    rows = []
+    for i in range(400):
+        moment = first + timedelta(seconds=pick.choice([0, 1, 10799, 10800, 43200]) + 10800 * pick.randrange(30))
+        lat, lng = pick.choice([0.0, 34.0, -34.0, 89.99]), pick.choice([-118.0, 0.0, 118.0])
+        rows.append((i, moment, lat + pick.uniform(-0.004, 0.004), lng + pick.uniform(-0.004, 0.004)))
+    df = spark.createDataFrame(rows, "id bigint, start timestamp_ntz, lat double, lng double")
+
+    def apart(a, b):
+        return km(*({"latitude": x[2], "longitude": x[3]} for x in (a, b)))
+
+    close = [(a, b) for a in rows for b in rows if abs(a[1] - b[1]) <= timedelta(hours=3)]
+    found = {tuple(r) for r in M.geo_time_pairs(df, df).select("a_id", "b_id").collect()}
+    assert {(a[0], b[0]) for a, b in close if apart(a, b) <= 0.149} <= found <= {(a[0], b[0]) for a, b in close if apart(a, b) <= 0.151}
+    banded = [tuple(r) for r in M.band_join(df, df, 3).select("a_id", "b_id").collect()]
+    assert sorted(banded) == sorted((a[0], b[0]) for a, b in close)
+    # a row stands in few slots
+    assert df.select(M._around(F.col("start"), 10800, 4)).count() <= 2 * len(rows)
