@@ -11,7 +11,7 @@ from marquee import fixed_values as V
 from marquee.functions import dates as D
 from marquee.functions import text as X
 from marquee.operators.staging import staged
-from marquee.session import cut_lineage, spread
+from marquee.session import cut_lineage, dealt, spread
 
 DAY_CODES = ["MO", "TU", "WE", "TH", "FR", "SA", "SU"]
 
@@ -112,10 +112,6 @@ def _rule_parts(entries: DataFrame) -> DataFrame:
     return staged(parts, {"r_until": until, "r_clock": clock, "r_reason": F.when(F.col("rule").isNotNull(), reason)})
 
 
-RULE_COLUMNS = ["r_parts", "r_freq", "r_step", "r_days", "r_dates", "r_months", "r_places", "r_week", "r_count",
-                "r_until_text", "r_until_at", "r_first", "r_until", "r_clock", "r_begin", "r_end", "r_codes", "r_named"]
-
-
 def _week(d: Column) -> Column:
     """First day of the rule's week."""
     return F.date_sub(d, F.pmod(F.weekday(d) - F.col("r_week"), F.lit(7)))
@@ -244,27 +240,43 @@ def named_days(spans: DataFrame) -> DataFrame:
     return days.select("r_named", chosen.alias("r_chosen"))
 
 
+#: What makes the days of an entry's rule: its text, the entry's first day and the first day looked at.
+RULE_KEY = ["rule", "r_first", "r_low"]
+
+
+def _rule_windows(keys: DataFrame, high: Column) -> DataFrame:
+    """(RULE_KEY, r_until, r_count, r_high, r_reason, r_chosen) of distinct rules, first days and days looked from."""
+    parsed = _rule_parts(keys.withColumn("m_start", F.col("r_first").cast("timestamp_ntz")).drop("r_first"))
+    # A counted rule is followed from its first day, any other from the window.
+    begin = F.when(F.col("r_count").isNull(), F.greatest("r_first", "r_low")).otherwise(F.col("r_first"))
+    spans = staged(staged(parsed, {"r_high": high}), {
+        "r_begin": begin, "r_end": F.least(F.to_date("r_high"), F.to_date("r_until"))})
+    named = F.when(F.col("r_reason").isNull(), F.to_json(F.struct(*NAMING))).otherwise(
+        F.concat(F.lit("-"), F.to_json(F.struct(*RULE_KEY))))
+    spans = staged(spans, {"r_named": named})
+    days = named_days(spans)
+    return spans.join(days, "r_named", "left").select(
+        *RULE_KEY, "r_until", "r_count", "r_high", "r_reason",
+        F.coalesce("r_chosen", F.array().cast("array<date>")).alias("r_chosen"))
+
+
 def rule_moments(entries: DataFrame, low: Column, high: Column) -> DataFrame:
-    """Adds moments, the starts in [low, high] the entry's rule names, and r_reason.
+    """Adds moments, the starts in [low, high] the entry's rule names, spent, r_high and r_reason.
 
     FREQ DAILY, WEEKLY, MONTHLY and YEARLY with INTERVAL, BYDAY (with ordinals for
     MONTHLY and YEARLY), BYMONTHDAY from either end, BYMONTH, BYSETPOS, WKST, COUNT and
     UNTIL, alone or together. A rule with another part names no day; r_reason says
-    which. ``low`` and ``high`` may depend on the entry and on the columns r_*.
+    which. ``low`` may depend on the entry, ``high`` on the columns r_* of its rule and on
+    r_low, the day of ``low``. Every entry has a rule. Rules are read once per text, first
+    day and day looked from, not once per entry.
     """
-    parsed = _rule_parts(entries)
-    count, until, clock, first = F.col("r_count"), F.col("r_until"), F.col("r_clock"), F.col("r_first")
-    # A counted rule is followed from its first day, any other from the window.
-    begin = F.when(count.isNull(), F.greatest(first, F.to_date(low))).otherwise(first)
-    end = F.least(F.to_date(high), F.to_date(until))
-    spans = staged(parsed, {"r_begin": begin, "r_end": end, "r_high": high})
-    readable = F.col("r_reason").isNull() & F.col("rule").isNotNull()
-    spans = staged(spans, {"r_named": F.when(readable, F.to_json(F.struct(*NAMING))).otherwise(
-        F.xxhash64("uid", "m_start").cast("string"))})
-    spans = spans.join(named_days(spans), "r_named", "left")
-    chosen = F.coalesce("r_chosen", F.array().cast("array<date>"))
+    entries = staged(entries, {"r_first": F.to_date("m_start"), "r_low": F.to_date(low)})
+    windows = _rule_windows(dealt(entries.select(*RULE_KEY).distinct()), high)
+    spans = entries.join(windows, RULE_KEY)
+    count, until = F.col("r_count"), F.col("r_until")
+    clock = F.col("m_start") - F.col("r_first").cast("timestamp_ntz")
     starts = F.filter(
-        F.transform(chosen, lambda d: d.cast("timestamp_ntz") + clock),
+        F.transform("r_chosen", lambda d: d.cast("timestamp_ntz") + clock),
         lambda m: until.isNull() | (m <= until),
     )
     spans = staged(spans, {"r_starts": starts})
@@ -273,7 +285,8 @@ def rule_moments(entries: DataFrame, low: Column, high: Column) -> DataFrame:
     )
     moments = F.filter(counted, lambda m: m.between(low, F.col("r_high")))
     spent = F.coalesce(F.size("r_starts") >= count, F.lit(False)) | F.coalesce(F.col("r_high") >= until, F.lit(False))
-    return staged(spans, {"moments": moments, "spent": spent}).drop(*RULE_COLUMNS, "r_starts", "r_chosen")
+    return staged(spans, {"moments": moments, "spent": spent}).drop(
+        "r_first", "r_low", "r_until", "r_count", "r_starts", "r_chosen")
 
 
 def unread_rules(vevents: DataFrame) -> DataFrame:
@@ -329,11 +342,15 @@ LOOKAHEADS = (30, 400, 10_000)
 
 
 def _ahead(periods: int) -> Column:
-    """End of a lookahead of so many of the rule's periods, no later than the last date there is."""
+    """End of a lookahead of so many of the rule's periods, no later than the last date there is.
+
+    It begins with the rule where that is later, so a rule that starts far off answers in the first one.
+    """
     step, freq = F.col("r_step").cast("double") * periods, F.col("r_freq")
     days = F.when(freq == "YEARLY", step * 366).when(freq == "MONTHLY", step * 31).when(freq == "WEEKLY", step * 7).otherwise(step)
-    room = F.date_diff(F.to_date(F.lit(LAST_MOMENT)), F.to_date("cutoff"))
-    until = F.date_add(F.to_date("cutoff"), F.least(F.coalesce(days, F.lit(0.0)), room.cast("double")).cast("int"))
+    begin = F.greatest("r_first", "r_low")
+    room = F.date_diff(F.to_date(F.lit(LAST_MOMENT)), begin)
+    until = F.date_add(begin, F.least(F.coalesce(days, F.lit(0.0)), room.cast("double")).cast("int"))
     return F.least(until.cast("timestamp_ntz"), D.ntz(LAST_MOMENT))
 
 
@@ -346,7 +363,7 @@ def next_occurrence(vevents: DataFrame, as_of) -> DataFrame:
     now = D.ntz(as_of)
     zero = F.make_dt_interval(secs=F.lit(0).cast("decimal(18,6)"))
     length = F.when(F.col("m_end") > F.col("m_start"), F.col("m_end") - F.col("m_start"))
-    todo = staged(
+    entries = staged(
         _with_times(vevents),
         {
             "length": length,
@@ -354,15 +371,17 @@ def next_occurrence(vevents: DataFrame, as_of) -> DataFrame:
             "skipped": exception_dates(F.col("props"), F.col("m_start")),
         },
     )
-    columns, answers = todo.columns, []
+    columns = ["feed", "block", "uid", "m_start", "m_end", "rule", "length", "cutoff", "skipped"]
+    entries = cut_lineage(entries.select(*columns))
+    answers = [entries.where(F.col("rule").isNull()).withColumn("start", F.col("m_start"))]
+    todo = entries.where(F.col("rule").isNotNull())
     for periods in LOOKAHEADS:
         tried = rule_moments(todo, F.col("cutoff"), _ahead(periods))
         ahead = F.filter("moments", lambda m: ~F.coalesce(F.array_contains("skipped", m), F.lit(False)))
-        start = F.when(F.col("rule").isNull(), F.col("m_start")).otherwise(F.array_min(ahead))
-        tried = cut_lineage(staged(tried, {"start": start}).drop("moments"))
+        tried = cut_lineage(staged(tried, {"start": F.array_min(ahead)}).drop("moments"))
         ended = F.col("spent") | F.col("r_reason").isNotNull() | (F.col("r_high") >= D.ntz("9999-12-31 00:00:00"))
         answers.append(tried.where(F.col("start").isNotNull()).select(*columns, "start"))
-        todo = tried.where(F.col("start").isNull() & F.col("rule").isNotNull() & ~ended).select(*columns)
+        todo = tried.where(F.col("start").isNull() & ~ended).select(*columns)
         if todo.isEmpty():
             break
     found = answers[0]

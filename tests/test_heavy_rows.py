@@ -56,3 +56,26 @@ def test_small_blocks_are_compared_without_an_index(spark, monkeypatch):
     monkeypatch.setattr(names, "_indexed", refused)
     whole = {tuple(r) for r in names.similar_names(df, df, 0.85, ["slot"]).select("a_name", "b_name").collect()}
     assert whole == indexed and len(whole) == 100
+
+
+def test_rules_are_read_once_per_text_and_day(spark, monkeypatch):
+    rows = [("f", i, {"UID": str(i), "DTSTART": f"2026010{5 + i % 2}T{10 + i % 5}0000", "RRULE": "FREQ=WEEKLY;INTERVAL=2;BYDAY=MO,TU"})
+            for i in range(50)]
+    rows += [("f", 50, {"UID": "s", "DTSTART": "20260301T120000"}), ("f", 51, {"UID": "l", "DTSTART": "20400102T120000", "RRULE": "FREQ=DAILY"}),
+             ("f", 52, {"UID": "d", "DTSTART": "20250101T120000", "RRULE": "FREQ=DAILY;COUNT=3"}),
+             ("f", 53, {"UID": "x", "DTSTART": "20260105T120000", "RRULE": "FREQ=DAILY", "EXDATE": "20260105"})]
+    df = spark.createDataFrame(rows, "feed string, block int, props map<string,string>")
+    read, plain_parts = [], R._rule_parts
+
+    def counted(entries):
+        read.append(entries.count())
+        return plain_parts(entries)
+
+    monkeypatch.setattr(R, "_rule_parts", counted)
+    found = {r.block: str(r.start) for r in R.next_occurrence(df, "2026-01-05 12:30:00").collect()}
+    # two first days of one rule, and three more rules
+    assert read == [5]
+    # Mondays and Tuesdays of every second week: the first day is over at half past twelve only by its clock
+    assert all(found[i] == (f"2026-01-05 {10 + i % 5}:00:00" if i % 2 == 0 and i % 5 > 2 else f"2026-01-06 {10 + i % 5}:00:00") for i in range(50))
+    assert found[50] == "2026-03-01 12:00:00" and found[51] == "2040-01-02 12:00:00" and found[53] == "2026-01-06 12:00:00"
+    assert 52 not in found and len(found) == 53
