@@ -1,10 +1,15 @@
 """Work that is heavy per row: dealt over all tasks, done once for what rows share."""
 
+import random
+from datetime import datetime, timedelta
+from difflib import SequenceMatcher
+
 import pytest
 from pyspark.sql import functions as F
 
 from marquee.functions import dates as D
-from marquee.operators import names
+from marquee.functions import similarity
+from marquee.operators import matching, names
 from marquee.operators import recurrence as R
 from marquee.plans import feed_plans, series_plans
 from marquee.plans.views import Tables
@@ -79,3 +84,26 @@ def test_rules_are_read_once_per_text_and_day(spark, monkeypatch):
     assert all(found[i] == (f"2026-01-05 {10 + i % 5}:00:00" if i % 2 == 0 and i % 5 > 2 else f"2026-01-06 {10 + i % 5}:00:00") for i in range(50))
     assert found[50] == "2026-03-01 12:00:00" and found[51] == "2040-01-02 12:00:00" and found[53] == "2026-01-06 12:00:00"
     assert 52 not in found and len(found) == 53
+
+
+def test_the_fast_ratio_is_that_of_difflib():
+    draw = random.Random(7)
+    texts = ["".join(draw.choice("abcd é#") for _ in range(draw.randint(1, 24))) for _ in range(400)]
+    texts += ["a" * 150, "ab" * 110, "the long night of the open doors", "open doors: the long night"]
+    for x in texts[::3]:
+        for y in texts[::5]:
+            for least in (0.0, 0.45, 0.85):
+                plain = SequenceMatcher(None, x, y)
+                assert similarity.ratio(x, y, least) == (plain.ratio() if plain.quick_ratio() >= least else 0.0), (x, y)
+
+
+def test_pairs_of_one_table_leave_the_joins_once(spark, make_listings):
+    day = datetime(2026, 1, 5, 10)
+    rows = [{"id": i, "title": f"Open doors {i % 3}", "venue_name": "Hall", "source": f"s{i}", "event_date": day + timedelta(hours=i)}
+            for i in range(8)]
+    reps = matching.representatives(matching.match_facts(make_listings(rows)))
+    ends = ["a_id", "b_id"]
+    every = matching.candidates(reps, reps).select(*ends).collect()
+    once = matching.candidates(reps, reps, falling=True).select(*ends).collect()
+    assert sorted(once) == sorted(r for r in every if r.a_id > r.b_id)
+    assert len(once) == 28
