@@ -107,3 +107,19 @@ def test_pairs_of_one_table_leave_the_joins_once(spark, make_listings):
     once = matching.candidates(reps, reps, falling=True).select(*ends).collect()
     assert sorted(once) == sorted(r for r in every if r.a_id > r.b_id)
     assert len(once) == 28
+
+
+def test_letters_are_found_once_per_title(spark, make_listings, monkeypatch):
+    rows = [{"id": i, "title": f"Open doors {i % 3}", "url": f"https://a.example/{i}"} for i in range(30)]
+    seen, plain_marks = [], matching.with_letter_marks
+
+    def counted(df, name):
+        seen.append(df.count())
+        return plain_marks(df, name)
+
+    monkeypatch.setattr(matching, "with_letter_marks", counted)
+    facts = matching.match_facts(make_listings(rows))
+    reps = matching.representatives(facts)
+    assert seen == [3] and reps.count() == 30
+    own = plain_marks(facts, "title").select("id", "m0", "m1", "m2", "m3").collect()
+    assert sorted(own) == sorted(reps.select("id", "m0", "m1", "m2", "m3").collect())
