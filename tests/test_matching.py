@@ -313,3 +313,26 @@ def test_wide_slots_and_cells_lose_no_pair(spark):
     assert sorted(banded) == sorted((a[0], b[0]) for a, b in close)
     # a row stands in few slots
     assert df.select(M._around(F.col("start"), 10800, 4)).count() <= 2 * len(rows)
+
+
+def test_every_row_of_a_group_of_copies_is_paired(make_listings):
+    """Copies, also under one id, are pairs of their own; an id may stand for unlike rows."""
+    from collections import Counter
+    from types import SimpleNamespace
+
+    from marquee.plans import load_plans
+
+    left, right = random_rows(25, 21, 1000), random_rows(30, 22)
+    show = {"title": "Jazz Night", "venue_name": "Pier", "url": "http://x/9", "event_date": datetime(2026, 3, 1, 20)}
+    left += [{**show, "id": 2000 + i, "source": "a"} for i in (0, 1, 1)] + [{**show, "id": 2001, "source": "b", "url": ""}]
+    right += [{**show, "id": 3000 + i, "source": "a"} for i in (0, 1, 2)] + [{**left[3], "id": 3002}, {**left[3], "id": 3003}]
+    tables = [make_listings(rows) for rows in (left, right)]
+    want = Counter((x["id"], y["id"], rule(x, y)) for x in left for y in right if rule(x, y))
+    assert want[2001, 3000, "url"] == 2 and sum(n for (a, b, _), n in want.items() if a >= 2000 and b >= 3000) >= 12
+    plans = load_plans().PLANS
+    for name, views in (("j5_score_pairs", ("spaced_incoming", "spaced")), ("j5_exact_methods", ("incoming", "listings"))):
+        got = Counter(tuple(r) for r in plans[name](SimpleNamespace(**dict(zip(views, tables)))).collect())
+        if name == "j5_score_pairs":
+            assert got == want
+        else:
+            assert got[2001, 3000, "url"] == 2 and all(n == want[k] for k, n in got.items())
