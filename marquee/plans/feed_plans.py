@@ -3,6 +3,7 @@
 Feeds are built from listings rows, so reading them back must give those rows.
 """
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from marquee.functions import dates as D
@@ -23,6 +24,8 @@ def iso(c):
 
 # A payload holds at most this many ids of one source, however large the tables.
 PER_PAYLOAD = 200
+# A file of items holds at most this many ids of one source.
+PER_FILE = 50_000
 PART = "source || '-' || (id // 200)"
 
 
@@ -204,11 +207,17 @@ def _(t):
 
 @query("s10_read_rss", RSS_ROWS.replace("SELECT id, 'T '", "SELECT 'T '"), "listings")
 def _(t):
-    """The same items written as feed files, one of bounded size per part of a source, and read by the file reader."""
+    """The same items written as feed files, one of bounded size per range of a source, and read by the file reader."""
     folder = job_folder(t.spark, "rss")
     items = _rss(t).join(t.listings.select("id", "source"), "id")
-    files = items.groupBy("source", part().alias("part")).agg(F.concat(F.lit("<channel>"), F.array_join(F.collect_list("payload"), ""), F.lit("</channel>")).alias("value"))
-    files.write.partitionBy("source", "part").text(folder)
+    file = F.xxhash64("source", F.floor(F.col("id") / PER_FILE)).alias("file")
+    lines = items.groupBy("source", part().alias("part"), file).agg(F.array_join(F.collect_list("payload"), "").alias("line"))
+    # a file is one channel, so that its first line opens it and its last one closes it; a line is a part
+    order = Window.partitionBy("file").orderBy("part", "source")
+    opened = F.when(F.lag("file").over(order).isNull(), "<channel>").otherwise("")
+    closed = F.when(F.lead("file").over(order).isNull(), "</channel>").otherwise("")
+    files = lines.select("file", F.row_number().over(order).alias("place"), F.concat(opened, "line", closed).alias("value"))
+    files.sortWithinPartitions("file", "place").drop("place").write.partitionBy("file").option("maxRecordsPerFile", 0).text(folder)
     rows = S.from_rss(S.read_rss(t.spark, folder), AS_OF)
     return plain(rows.select("title", "url", "venue_name", "event_date", "price", "image_url"))
 

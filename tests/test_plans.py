@@ -69,3 +69,23 @@ def test_rss_files_hold_bounded_payloads(spark):
     new = set(glob.glob(f"{above}/**/*.txt", recursive=True)) - before
     lines = [line for path in new for line in open(path)]
     assert lines and max(line.count("<item ") for line in lines) <= PER_PAYLOAD
+
+
+def test_rss_files_hold_many_parts(spark, make_listings):
+    """A part of a source is a line of its own, but no file of its own; no item is lost between the lines."""
+    import glob
+    from datetime import datetime
+    from types import SimpleNamespace
+
+    from marquee.plans import load_plans
+    from marquee.plans.feed_plans import PER_PAYLOAD
+    from marquee.session import job_folder
+
+    above = job_folder(spark, "rss").removeprefix("file:").rsplit("/", 1)[0]
+    before = set(glob.glob(f"{above}/**/*.txt", recursive=True))
+    rows = [{"id": i, "source": "ab"[i % 2], "event_date": datetime(1998, 6, 20, 20)} for i in range(0, 12_000, 7)]
+    found = load_plans().PLANS["s10_read_rss"](SimpleNamespace(spark=spark, listings=make_listings(rows)))
+    assert sorted(r.title for r in found.collect()) == sorted(f"T {r['id']}" for r in rows if r["id"] % 5 != 3)
+    new = set(glob.glob(f"{above}/**/*.txt", recursive=True)) - before
+    lines = [line for path in new for line in open(path)]
+    assert len(new) == 2 and len(lines) == 2 * 60 and max(line.count("<item ") for line in lines) <= PER_PAYLOAD
