@@ -308,27 +308,41 @@ def _with_times(vevents: DataFrame) -> DataFrame:
     return staged(vevents, times).where(F.col("m_start").isNotNull())
 
 
+#: Replaced moments of one series that its entries carry; those of more are looked up per occurrence.
+REPLACED_IN_ROW = 1000
+
+
 def expand_rrule(vevents: DataFrame, first, last) -> DataFrame:
     """Occurrences in [first, last] of (feed, block, props) calendar entries.
 
-    Exception dates are dropped inside the row; occurrences that another entry
-    of the feed replaces are dropped by an anti join on (feed, uid, moment).
+    Exception dates are dropped inside the row, and so are occurrences that another entry
+    of the feed replaces: entries take the replaced moments of their (feed, uid), so no
+    occurrence moves. Where one series has very many, an anti join drops them.
     """
     low, high = D.ntz(first), D.ntz(last)
     entries = _with_times(vevents)
-    recurring = staged(
-        entries.where(F.col("rule").isNotNull()), {"skipped": exception_dates(F.col("props"))}
-    )
-    kept = lambda m: ~F.coalesce(F.array_contains("skipped", m), F.lit(False))
-    recurring = rule_moments(recurring, low, high)
     replaced = entries.where(F.col("replaces").isNotNull()).select(
         "feed", "uid", F.col("replaces").alias("start")
     )
-    repeats = (
-        recurring.withColumn("start", F.explode(F.filter("moments", kept)))
-        .drop("moments", "skipped", "spent", "r_reason", "r_high")
-        .join(replaced, ["feed", "uid", "start"], "left_anti")
+    tally = replaced.groupBy("feed", "uid").agg(F.count(F.lit(1)).alias("n"))
+    many = cut_lineage(tally.where(F.col("n") > REPLACED_IN_ROW).drop("n"))
+    crowded = not many.isEmpty()
+    few = replaced.join(many, ["feed", "uid"], "left_anti") if crowded else replaced
+    moved = few.groupBy("feed", "uid").agg(F.collect_set("start").alias("moved"))
+    recurring = staged(
+        dealt(entries.where(F.col("rule").isNotNull()).join(moved, ["feed", "uid"], "left")),
+        {"skipped": exception_dates(F.col("props"))},
     )
+
+    def kept(m: Column) -> Column:
+        gone = [F.coalesce(F.array_contains(c, m), F.lit(False)) for c in ("skipped", "moved")]
+        return ~(gone[0] | gone[1])
+
+    recurring = rule_moments(recurring, low, high)
+    repeats = recurring.withColumn("start", F.explode(F.filter("moments", kept))).drop(
+        "moments", "skipped", "moved", "spent", "r_reason", "r_high")
+    if crowded:
+        repeats = repeats.join(replaced.join(many, ["feed", "uid"], "left_semi"), ["feed", "uid", "start"], "left_anti")
     single = entries.where(F.col("rule").isNull() & F.col("m_start").between(low, high))
     found = repeats.unionByName(single.withColumn("start", F.col("m_start")))
     return found.select(

@@ -64,6 +64,27 @@ def test_replaced_occurrence_is_left_to_its_own_entry(spark):
     assert got == [datetime(2026, 1, 5, 10), datetime(2026, 1, 20, 11)]
 
 
+def test_replaced_occurrences_are_dropped_inside_the_row(spark, monkeypatch):
+    """Occurrences do not move to be looked up, except those of series with very many replaced ones."""
+    def entry(block, uid, start, **more):
+        uid = {} if uid is None else {"UID": uid}
+        return (more.pop("feed", "f"), block, {**uid, "DTSTART": start, **{k.replace("_", "-"): v for k, v in more.items()}})
+
+    daily = {"RRULE": "FREQ=DAILY;COUNT=5"}
+    rows = [entry(0, "a", "20260105T100000", **daily), entry(1, "a", "20260105T100000", feed="g", **daily),
+            entry(2, None, "20260105T100000", **daily), entry(3, "b", "20260105T100000", feed=None, **daily),
+            entry(4, "b", "20260201T100000", feed=None, RECURRENCE_ID="20260106T100000"), entry(5, None, "20260201T100000", RECURRENCE_ID="20260107T100000")]
+    rows += [entry(10 + k, "a", "20260201T100000", RECURRENCE_ID=f"202601{day:02d}T100000") for k, day in enumerate((6, 8, 8, 20))]
+    df = spark.createDataFrame(rows, "feed string, block int, props map<string,string>")
+    gone = {(0, 6), (0, 8), (2, 7)}
+    want = sorted((b, datetime(2026, 1, d, 10)) for b in range(4) for d in range(5, 10) if (b, d) not in gone)
+    for most in (R.REPLACED_IN_ROW, 2):
+        monkeypatch.setattr(R, "REPLACED_IN_ROW", most)
+        found = R.expand_rrule(df, "2026-01-01", "2026-01-31")
+        assert sorted((r.block, r.start) for r in found.collect()) == want
+        assert ("LeftAnti" in found._jdf.queryExecution().optimizedPlan().toString()) == (most == 2)
+
+
 @pytest.mark.parametrize("month,day,weekday,now,want", [
     (11, 22, 5, "2026-01-10", None), (11, 22, 6, "2026-01-10", date(2026, 11, 22)),
     (1, 5, None, "2026-06-01", None), (2, 29, 1, "2026-06-01", date(2028, 2, 29)),
