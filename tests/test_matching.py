@@ -336,3 +336,12 @@ def test_every_row_of_a_group_of_copies_is_paired(make_listings):
             assert got == want
         else:
             assert got[2001, 3000, "url"] == 2 and all(n == want[k] for k, n in got.items())
+
+
+def test_tables_of_a_join_are_not_sent_whole(make_listings):
+    """A stored table looks small to the planner, which would send it to the driver and all executors."""
+    facts = M.match_facts(make_listings(random_rows(30, 23)))
+    reps = M.representatives(facts)
+    for found in (M.candidates(reps, reps), M.members(facts, reps), M.dup_by_url(reps, reps), M.geo_time_pairs(reps, reps)):
+        joins = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in line]
+        assert "SortMergeJoin" in joins[0]  # the one on top
